@@ -28,7 +28,7 @@ SAMPLE = 2000
 class Tables:
     """Directions, offsets and key multipliers. The width is a multiple of the median distance in a bounded sample."""
 
-    def __init__(self, dim: int, spread: float, tables: int = 12, hashes: int = 12, width: float = 1.77, seed: int = 3) -> None:
+    def __init__(self, dim: int, spread: float, tables: int = 16, hashes: int = 12, width: float = 1.77, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.shape = (tables, hashes)
         self.width = width * spread
@@ -85,7 +85,7 @@ def matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(-1, dim) if len(lists) else np.empty((0, dim))
 
 
-def nearest(rows: DataFrame, k: int = 10, every: int = 100, probes: int = 300, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", **table_options) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, every: int = 100, probes: int = 400, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", **table_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose id is divisible by `every`, among all rows but
     those of its own id; by distance, ties to the smaller id; all of them if there are fewer.
 

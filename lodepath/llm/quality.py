@@ -118,8 +118,9 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray, least_texts: int = 3, cost
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 5000, **fit_options) -> NbSvm | None:
     """Fit on at most `most` labelled texts outside the held-out fold."""
-    rows = training_rows(docs, labels, "quality", most, True)
-    return fit([np.array(r.h, np.int64).view(np.uint64) for r in rows], np.array([r.y for r in rows], np.float64), **fit_options)
+    rows = training_rows(docs, labels, "quality", most)
+    h, at = hashed_words(pa.array([r.text for r in rows], pa.string()), True)
+    return fit([h[s:e] for s, e in zip(at, at[1:])], np.array([r.y for r in rows], np.float64), **fit_options)
 
 
 def score(docs: DataFrame, model: NbSvm | None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words are hashed to 2^24 buckets; buckets that enough training texts hold have an embedding, all others share the zero
-vector, so a rare word can neither be learnt by heart nor stand in for one. Filters of several widths run over the whole
-text, each keeps its greatest answer, and a logistic layer makes the score. At scoring time the filters' answers are
-sums of table rows (embedding times filter, made once), so a word costs a few look-ups.
+A word's embedding is the sum of those of its hash and of the hashes of its runs of 4 and 5 characters (word ends
+included), in 2^24 buckets; buckets that enough training texts hold have one, all others the zero vector, so a rare word
+is known by its parts and can't be learnt by heart. Filters of several widths run over the whole text, each keeps its
+greatest answer, and a logistic layer makes the score. Embeddings and their products with the filters are made once for
+each different word of a batch, so a word costs a few look-ups.
 """
 
 from __future__ import annotations
@@ -13,18 +14,49 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodepath.llm.session import bounded_batches, held_out
-from lodepath.llm.words import hashed_words, platt
+from lodepath.llm.words import platt, split_words
 
 BUCKETS = 1 << 24
+RUNS = (4, 5)
+
+
+def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word, one word after another, and where each word's begin (one more entry than words)."""
+    own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    line = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    word, left = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size) - np.arange(len(line))
+    whose, what = [np.arange(len(words))], [own]
+    for n in RUNS:
+        h = np.full(max(len(line) - n + 1, 0), n, np.uint64)
+        for k in range(n):
+            h = (h ^ line[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        fits = left[: len(h)] >= n
+        whose.append(word[: len(h)][fits])
+        what.append(h[fits])
+    whose, what = np.concatenate(whose), (np.concatenate(what) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    order = np.argsort(whose, kind="stable")
+    return what[order], np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(words)))])
+
+
+def sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of each segment of rows; segments may be empty."""
+    out = np.zeros((len(at) - 1, rows.shape[1]), rows.dtype)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = np.add.reduceat(rows, at[full], axis=0)
+    return out
 
 
 @dataclass
 class Cnn:
-    """vocab: sorted buckets with an embedding; row 0 of emb is the zero vector of all others."""
+    """vocab: sorted buckets that have an embedding, a row of emb each."""
 
     vocab: np.ndarray
     emb: np.ndarray
@@ -34,56 +66,41 @@ class Cnn:
     base: float
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
-    tables: list[list[np.ndarray]] = field(default_factory=list)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        buckets = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-        at = np.searchsorted(self.vocab, buckets)
-        at[at == len(self.vocab)] = 0
-        return np.where(self.vocab[at] == buckets, at + 1, 0) if len(self.vocab) else np.zeros(len(buckets), np.int64)
-
-    def prepare(self) -> None:
-        self.tables = [[self.emb @ w[o] for o in range(len(w))] for w in self.conv]
-
-    def pooled(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each width: greatest answer of each filter over each text, before the bias, and the padded word ids.
-
-        Texts are parted by width - 1 zero ids, so no filter sees two texts; a text without words has one zero id."""
-        tops, padded = [], []
-        n = len(at) - 1
-        for tables in self.tables:
-            w = len(tables)
-            size = np.maximum(np.diff(at), 1) + w - 1
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            line = np.zeros(int(size.sum()) + w, np.int64)
-            line[np.repeat(start - at[:-1], np.diff(at)) + np.arange(at[-1])] = ids
-            total = len(line) - w
-            z = tables[0][line[:total]]
-            for o in range(1, w):
-                z += tables[o][line[o : o + total]]
-            tops.append((np.maximum.reduceat(z, start, axis=0) if n else z[:0], z, start, size))
-            padded.append(line)
-        return tops, padded
-
-    def margins(self, ids: np.ndarray, at: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+
+    def known(self, buckets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of emb of the buckets that have one, and where each word's begin."""
+        row = np.minimum(np.searchsorted(self.vocab, buckets), max(len(self.vocab) - 1, 0))
+        keep = self.vocab[row] == buckets if len(self.vocab) else np.zeros(len(buckets), bool)
+        return row[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+    def tables(self, vectors: np.ndarray) -> list[list[np.ndarray]]:
+        """Products of word vectors with each filter column; row 0 is the padding's."""
+        vectors = np.concatenate([np.zeros((1, vectors.shape[1]), np.float32), vectors])
+        return [[vectors @ w[o] for o in range(len(w))] for w in self.conv]
+
+    def margins(self, texts: pa.Array, chunk: int = 1 << 18) -> np.ndarray:
         """Of whole texts. Texts are taken some at a time, a very long one by overlapping pieces, so memory is bounded."""
+        words, at = split_words(texts)
+        coded = words.dictionary_encode()
+        rows, starts = self.known(*parts(coded.dictionary.to_pylist()))
+        tables = self.tables(sums(self.emb[rows], starts))
+        ids = coded.indices.to_numpy().astype(np.int64) + 1
         out = np.empty(len(at) - 1)
         widest, first = max(map(len, self.conv)), 0
         while first < len(out):
             last = max(first + 1, int(np.searchsorted(at, at[first] + chunk, side="right")) - 1)
             lo, hi = int(at[first]), int(at[last])
             if last == first + 1 and hi - lo > chunk:
-                cuts = list(range(lo, hi, chunk))
-                parts = [self._tops(ids[c : min(c + chunk + widest - 1, hi)], np.array([0, min(chunk + widest - 1, hi - c)])) for c in cuts]
-                h = np.max(np.concatenate(parts), axis=0, keepdims=True)
+                ends = [(c, min(c + chunk + widest - 1, hi)) for c in range(lo, hi, chunk)]
+                tops = [self.answers(pooled(tables, ids[s:e], np.array([0, e - s]))) for s, e in ends]
+                h = np.max(np.concatenate(tops), axis=0, keepdims=True)
             else:
-                h = self._tops(ids[lo:hi], at[first : last + 1] - lo)
+                h = self.answers(pooled(tables, ids[lo:hi], at[first : last + 1] - lo))
             out[first:last] = np.maximum(h, 0) @ self.out + self.base
             first = last
         return out
 
-    def _tops(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        tops, _ = self.pooled(ids, at)
+    def answers(self, tops: list[tuple]) -> np.ndarray:
         return np.concatenate([t[0] + b for t, b in zip(tops, self.bias)], axis=1)
 
     def scores(self, margin: np.ndarray) -> np.ndarray:
@@ -91,70 +108,99 @@ class Cnn:
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
 
-def fit(hashes: list[np.ndarray], labels: np.ndarray, langs: list[str | None], dim: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 8, batch: int = 32, least_texts: int = 4, rate: float = 0.1, decay: float = 1e-5, seed: int = 11) -> Cnn | None:
-    """Train on texts given as word hashes; None if there is one class only. A fifth of the texts is kept from the
-    training to fit the score's scale and each language's threshold."""
+def pooled(tables: list[list[np.ndarray]], ids: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """For each width: greatest answer of each filter over each text (before the bias), all answers, where each text's begin,
+    how many they are, and the padded word ids.
+
+    Texts are parted by width - 1 zero ids, so no filter sees two texts; a text without words has a zero id."""
+    found = []
+    for cols in tables:
+        w = len(cols)
+        size = np.maximum(np.diff(at), 1) + w - 1
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        line = np.zeros(int(size.sum()) + w, np.int64)
+        line[np.repeat(start - at[:-1], np.diff(at)) + np.arange(at[-1])] = ids
+        total = len(line) - w
+        z = cols[0][line[:total]]
+        for o in range(1, w):
+            z += cols[o][line[o : o + total]]
+        found.append((np.maximum.reduceat(z, start, axis=0) if len(size) else z[:0], z, start, size, line))
+    return found
+
+
+def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], dim: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 6, steps: int = 900, batch: int = 32, least_texts: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Cnn | None:
+    """Train with Adagrad, for `epochs` rounds or as many as make `steps` steps if that is more; None if there is one class only.
+    A fifth of the texts is kept from the training to fit the score's scale and each language's threshold."""
     if len(labels) < 10 or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
     cut = len(order) - len(order) // 5
     train, held = order[:cut], order[cut:]
-    seen = np.concatenate([np.unique((hashes[i] & np.uint64(BUCKETS - 1)).astype(np.int64)) for i in train] or [np.empty(0, np.int64)])
-    vocab, n = np.unique(seen, return_counts=True)
-    vocab = vocab[n >= least_texts]
-    emb = rng.normal(0, 0.3, (len(vocab) + 1, dim)).astype(np.float32)
-    emb[0] = 0
+    words, at = split_words(pa.array([texts[i] for i in train], pa.string()))
+    coded = words.dictionary_encode()
+    ids = coded.indices.to_numpy().astype(np.int64)
+    ids = [ids[s:e] for s, e in zip(at, at[1:])]
+    bucket, first = parts(coded.dictionary.to_pylist())
+    n_texts = np.zeros(BUCKETS, np.int32)
+    for x in ids:
+        some = np.unique(x)
+        n = first[some + 1] - first[some]
+        n_texts[np.unique(bucket[np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    vocab = np.flatnonzero(n_texts >= least_texts)
+    del n_texts
+    emb = rng.normal(0, 0.1, (len(vocab), dim)).astype(np.float32)
     conv = [rng.normal(0, 0.5 / np.sqrt(w), (w, dim, filters)).astype(np.float32) for w in widths]
     model = Cnn(vocab, emb, conv, [np.zeros(filters, np.float32) for _ in widths], rng.normal(0, 0.3, filters * len(widths)), float(np.log(labels.mean() / (1 - labels.mean()))))
-    ids = [model.ids(h) for h in hashes]
+    rows, first = model.known(bucket, first)
     squares = [np.full_like(x, 1e-6) for x in (*conv, *model.bias, model.out)]
     emb_squares, base_square = np.full_like(emb, 1e-6), 1e-6
-    for _ in range(epochs):
-        mixed = rng.permutation(train)
-        for first in range(0, len(mixed), batch):
-            some = mixed[first : first + batch]
+    y = labels[train]
+    for _ in range(max(epochs, -(-steps * batch // len(train)))):
+        mixed = rng.permutation(len(train))
+        for start_at in range(0, len(mixed), batch):
+            some = mixed[start_at : start_at + batch]
             at = np.concatenate([[0], np.cumsum([len(ids[i]) for i in some])])
-            line_ids = np.concatenate([ids[i] for i in some]) if at[-1] else np.empty(0, np.int64)
-            here, local = np.unique(line_ids, return_inverse=True)
-            if not len(here) or here[0] != 0:
-                here, local = np.concatenate([[0], here]), local + 1
-            # the tables of this batch's words only
-            model.tables = [[model.emb[here] @ w[o] for o in range(len(w))] for w in model.conv]
-            tops, padded = model.pooled(local, at)
-            h = np.concatenate([t[0] + b for t, b in zip(tops, model.bias)], axis=1)
+            here, local = np.unique(np.concatenate([ids[i] for i in some]), return_inverse=True)
+            n = first[here + 1] - first[here]
+            mine = rows[np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            vectors = sums(model.emb[mine], np.concatenate([[0], np.cumsum(n)]))
+            tops = pooled(model.tables(vectors), local + 1, at)
+            h = model.answers(tops)
             a = np.maximum(h, 0)
             p = 1 / (1 + np.exp(-np.clip(a @ model.out + model.base, -30, 30)))
-            miss = (p - labels[some]) / len(some)
-            grad_out = a.T @ miss + decay * model.out
+            miss = (p - y[some]) / len(some)
             back = (miss[:, None] * model.out) * (h > 0)
-            base_grad = float(miss.sum())
-            emb_grad = np.zeros((len(here), model.emb.shape[1]), np.float32)
+            padded = np.concatenate([np.zeros((1, dim), np.float32), vectors])
+            word_grad = np.zeros_like(padded)
             grads = []
-            for k, (top, z, start, size) in enumerate(tops):
+            for k, (_, z, start, size, line) in enumerate(tops):
                 dz = back[:, k * filters : (k + 1) * filters].astype(np.float32)
                 won = np.stack([z[s : s + m].argmax(axis=0) + s for s, m in zip(start, size)])
                 g = np.zeros_like(model.conv[k])
                 for o in range(len(g)):
-                    word = padded[k][won + o]  # texts x filters
-                    g[o] = np.einsum("nfd,nf->df", model.emb[here[word]], dz)
-                    np.add.at(emb_grad, word.ravel(), (dz[..., None] * model.conv[k][o].T[None]).reshape(-1, emb_grad.shape[1]))
-                grads.append((g, dz.sum(axis=0)))
-            emb_grad[0] = 0
+                    word = line[won + o]  # texts x filters
+                    g[o] = np.einsum("nfd,nf->df", padded[word], dz)
+                    np.add.at(word_grad, word.ravel(), (dz[..., None] * model.conv[k][o].T[None]).reshape(-1, dim))
+                grads.append((g + decay * model.conv[k], dz.sum(axis=0)))
+            touched = np.flatnonzero(np.abs(word_grad[1:]).sum(axis=1))
+            n_touched = n[touched]
+            where = np.repeat((np.cumsum(n) - n)[touched] - np.cumsum(n_touched) + n_touched, n_touched) + np.arange(n_touched.sum())
+            at_row, local_row = np.unique(mine[where], return_inverse=True)
+            emb_grad = np.zeros((len(at_row), dim), np.float32)
+            np.add.at(emb_grad, local_row, np.repeat(word_grad[1:][touched], n_touched, axis=0))
+            emb_grad += decay * model.emb[at_row]
             weights = [*model.conv, *model.bias, model.out]
-            for x, sq, g in zip(weights, squares, [*(g for g, _ in grads), *(b for _, b in grads), grad_out]):
+            for x, sq, g in zip(weights, squares, [*(g for g, _ in grads), *(b for _, b in grads), a.T @ miss + decay * model.out]):
                 sq += g * g
                 x -= rate * g / np.sqrt(sq)
-            emb_squares[here] += emb_grad**2
-            model.emb[here] -= rate * emb_grad / np.sqrt(emb_squares[here])
-            model.emb[0] = 0
-            base_square += base_grad**2
-            model.base -= rate * base_grad / np.sqrt(base_square)
-    model.prepare()
-    margin = np.concatenate([model.margins(ids[i], np.array([0, len(ids[i])])) for i in held])
+            emb_squares[at_row] += emb_grad**2
+            model.emb[at_row] -= rate * emb_grad / np.sqrt(emb_squares[at_row])
+            base_square += float(miss.sum()) ** 2
+            model.base -= rate * float(miss.sum()) / np.sqrt(base_square)
+    margin = model.margins(pa.array([texts[i] for i in held], pa.string()))
     model.scale = platt(margin, labels[held])
-    score = model.scores(margin)
-    model.thresholds = thresholds(score, labels[held], [langs[i] for i in held])
+    model.thresholds = thresholds(model.scores(margin), labels[held], [langs[i] for i in held])
     return model
 
 
@@ -176,31 +222,23 @@ def thresholds(score: np.ndarray, label: np.ndarray, langs: list[str | None], de
     return {x: t for x, t in found.items()} | {"": default}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, marks: bool) -> list:
-    """(hashes, label, lang) of at most `most` labelled texts outside the held-out fold, chosen by a hash of their id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
+    """(id, y, text, lang) of at most `most` labelled texts outside the held-out fold, chosen by a hash of their id.
 
-    Contradicting labels of an id: the mean, 1 from a half on. Null labels don't count.
+    Contradicting labels of an id: the mean, 1 from a half on. Null labels don't count. Of rows of one id, one is taken.
     """
-    bounded_batches(docs.sparkSession)
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id_"))
-    known = known.agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y")).where(~held_out("id_"))
-    # so that a sample of rows, not of ids alone, is bounded: repeated rows of an id count too
-    texts = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, at = hashed_words(b.column("text"), marks)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id_"), lists, b.column("y"), b.column("lang")], names=["id", "h", "y", "lang"])
-
-    picked = texts.join(chosen, "id_").dropDuplicates(["id_"]).select("id_", "text", "y", "lang")
-    return sorted(picked.mapInArrow(run, "id long, h array<long>, y int, lang string").collect())
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id"))
+    known = known.agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y")).where(~held_out("id"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    picked = chosen.join(texts, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("t"))
+    return sorted(picked.select("id", "y", "t.text", "t.lang").collect(), key=lambda r: r.id)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 5000, **fit_options) -> Cnn | None:
-    rows = training_rows(docs, labels, "toxic", most, False)
-    return fit([np.array(r.h, np.int64).view(np.uint64) for r in rows], np.array([r.y for r in rows], np.float64), [r.lang for r in rows], **fit_options)
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000, **fit_options) -> Cnn | None:
+    """Fit on at most `most` labelled texts outside the held-out fold."""
+    rows = training_rows(docs, labels, "toxic", most)
+    return fit([r.text for r in rows], np.array([r.y for r in rows], np.float64), [r.lang for r in rows], **fit_options)
 
 
 def score(docs: DataFrame, model: Cnn | None, keep: bool = False) -> DataFrame:
@@ -223,8 +261,7 @@ def score(docs: DataFrame, model: Cnn | None, keep: bool = False) -> DataFrame:
             if m is None:
                 s = np.zeros(b.num_rows)
             else:
-                h, at = hashed_words(b.column("t_"))
-                s = m.scores(m.margins(m.ids(h), at))
+                s = m.scores(m.margins(b.column("t_")))
             limit = m.thresholds if m else {}
             t = [limit.get(x, limit.get("", 0.7)) if x is not None else limit.get("", 0.7) for x in b.column("l_").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(t, pa.float64())], names=[b.schema.names[0], "score", "threshold"])
