@@ -79,9 +79,9 @@ def bfs(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int = 1
         going = going.where(F.col("level") > level)
     known = most.join(hit.select("query_id", "target_rank"), "query_id", "left").join(done.select("query_id", F.col("path").alias("p")), "query_id", "left")
     free = F.when(F.col("target_rank").isNotNull(), F.col("target_rank")).otherwise(F.col("n"))
-    path, visited = capped(F.coalesce("p", F.array().cast("array<string>")), free, F.lit(cap))
-    out = queries.select("query_id").join(known, "query_id", "left")
-    return out.select("query_id", F.coalesce(path, F.array().cast("array<string>")).alias("path"), F.coalesce(visited, F.lit(0)).cast("long").alias("visited"))
+    known = queries.select("query_id").join(known, "query_id", "left")  # queries outside the graph visit nothing
+    path, visited = capped(F.coalesce("p", F.array().cast("array<string>")), F.coalesce(free, F.lit(0)), F.lit(cap))
+    return known.select("query_id", path.alias("path"), visited.cast("long").alias("visited"))
 
 
 def reach(queries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -139,10 +139,9 @@ def dijkstra(queries: DataFrame, edges: DataFrame, cap: int = -1) -> DataFrame:
         if going.isEmpty():
             break
     known = visits.join(done.select("query_id", F.col("path").alias("p")), "query_id", "left")
-    path, visited = capped(F.coalesce("p", F.array().cast("array<string>")), F.col("n"), F.lit(cap))
-    out = queries.select("query_id").join(known, "query_id", "left")
-    path = F.coalesce(path, F.array().cast("array<string>"))
-    return out.select("query_id", path.alias("path"), F.coalesce(visited, F.lit(0)).cast("long").alias("visited"), F.when(F.size(path) > 0, F.col("goal")).alias("path_cost"))
+    known = queries.select("query_id").join(known, "query_id", "left")
+    path, visited = capped(F.coalesce("p", F.array().cast("array<string>")), F.coalesce("n", F.lit(0)), F.lit(cap))
+    return known.select("query_id", path.alias("path"), visited.cast("long").alias("visited"), F.when(F.size(path) > 0, F.col("goal")).alias("path_cost"))
 
 
 class Graph:
