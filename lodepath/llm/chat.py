@@ -46,7 +46,6 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, system_role
     """
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = Window.partitionBy("conv_id")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -54,6 +53,8 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, system_role
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS)
     rows = rows.withColumn("pos", F.row_number().over(by))
+    by = Window.partitionBy("conv_id").orderBy("pos")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == system_role))
     rows = rows.withColumn("system_tokens", F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole))
     rows = rows.withColumn("at", F.coalesce(F.sum(F.when(~F.col("is_system"), F.col("tokens")).otherwise(0)).over(before), F.lit(0)))
@@ -143,3 +144,35 @@ def digest(formatted: DataFrame) -> DataFrame:
 def formatted_digest(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
     """Write the windows to the shared folder, read them back and digest them."""
     return digest(stored(windows(turns, budget, history), "chat"))
+
+
+def _sql_escape(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+#: DuckDB's form of op9 with a budget of 512 and a history of 128: digests from the rows, lengths from the windows' rule.
+SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {TURN_TOKENS} AS tokens,
+  length({_sql_escape('role')}) + length({_sql_escape('text')}) + {len(START + SEP + END) + 1} AS chars FROM t),
+s AS (SELECT *, pos = 1 AND role = 'system' AS sys, coalesce(max(tokens) FILTER (pos = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS sys_tokens,
+  coalesce(sum(CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre FROM r),
+k AS (SELECT *, greatest(384 - sys_tokens, 64) AS stride FROM s),
+c AS (SELECT *, CASE WHEN NOT sys THEN floor(pre / stride)::BIGINT * 2 + (pre + tokens > (floor(pre / stride)::BIGINT + 1) * stride)::INTEGER END AS key FROM k),
+o AS (SELECT *, coalesce(key <> lag(key) OVER (PARTITION BY conv_id ORDER BY pos), key IS NOT NULL) AS opens FROM c),
+w AS (SELECT *, greatest(sum(opens::INTEGER) OVER (PARTITION BY conv_id ORDER BY pos) - 1, 0)::BIGINT AS win FROM o),
+op AS (SELECT conv_id, win, pre FROM w WHERE opens),
+n AS (SELECT w.*, CASE WHEN sys THEN max(w.win) OVER (PARTITION BY w.conv_id) + 1
+  ELSE 1 + coalesce((a.pre - w.pre <= 128)::INTEGER, 0) + coalesce((b.pre - w.pre <= 128)::INTEGER, 0) END AS times, max(w.win) OVER (PARTITION BY w.conv_id) + 1 AS windows
+  FROM w LEFT JOIN op a ON a.conv_id = w.conv_id AND a.win = w.win + 1 LEFT JOIN op b ON b.conv_id = w.conv_id AND b.win = w.win + 2)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(length(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant')), 0) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars * times)::BIGINT AS formatted_chars, max(windows)::BIGINT AS n_windows
+FROM n GROUP BY conv_id
+"""

@@ -82,4 +82,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_site_line_dedup": lines.SQL,
+    "op9_chat_windows": chat.SQL,
 }

@@ -92,7 +92,7 @@ class Cnn:
             lo, hi = int(at[first]), int(at[last])
             if last == first + 1 and hi - lo > chunk:
                 ends = [(c, min(c + chunk + widest - 1, hi)) for c in range(lo, hi, chunk)]
-                tops = [self.answers(pooled(tables, ids[s:e], np.array([0, e - s]))) for s, e in ends]
+                tops = [self.answers(pooled(tables, ids[s:e], np.array([0, e - s]), chunk)) for s, e in ends]
                 h = np.max(np.concatenate(tops), axis=0, keepdims=True)
             else:
                 h = self.answers(pooled(tables, ids[lo:hi], at[first : last + 1] - lo))
@@ -108,23 +108,27 @@ class Cnn:
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
 
-def pooled(tables: list[list[np.ndarray]], ids: np.ndarray, at: np.ndarray) -> list[tuple]:
+def pooled(tables: list[list[np.ndarray]], ids: np.ndarray, at: np.ndarray, most_starts: int | None = None) -> list[tuple]:
     """For each width: greatest answer of each filter over each text (before the bias), all answers, where each text's begin,
     how many they are, and the padded word ids.
 
-    Texts are parted by width - 1 zero ids, so no filter sees two texts; a text without words has a zero id."""
+    A filter starts at each word (at the first most_starts only, if given) and sees zero ids beyond the text's end, never
+    another text; a text without words is a zero id."""
     found = []
     for cols in tables:
         w = len(cols)
-        size = np.maximum(np.diff(at), 1) + w - 1
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        line = np.zeros(int(size.sum()) + w, np.int64)
+        n = np.maximum(np.diff(at), 1)
+        start = np.concatenate([[0], np.cumsum(n + w - 1)[:-1]])
+        total = int((n + w - 1).sum()) + 1
+        line = np.zeros(total + w, np.int64)
         line[np.repeat(start - at[:-1], np.diff(at)) + np.arange(at[-1])] = ids
-        total = len(line) - w
         z = cols[0][line[:total]]
         for o in range(1, w):
             z += cols[o][line[o : o + total]]
-        found.append((np.maximum.reduceat(z, start, axis=0) if len(size) else z[:0], z, start, size, line))
+        n = n if most_starts is None else np.minimum(n, most_starts)
+        # segments from each start to its text's end; those between are left out
+        tops = np.maximum.reduceat(z, np.stack([start, start + n], axis=1).ravel(), axis=0)[::2] if len(n) else z[:0]
+        found.append((tops, z, start, n, line))
     return found
 
 
