@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodepath.llm.session import bounded_batches, held_out
-from lodepath.llm.toxicity import training_rows
+from lodepath.llm.toxicity import fitted, training_rows
 from lodepath.llm.words import hashed_words, platt
 
 BITS = 22
@@ -118,9 +118,12 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray, least_texts: int = 3, cost
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 5000, **fit_options) -> NbSvm | None:
     """Fit on at most `most` labelled texts outside the held-out fold."""
-    rows = training_rows(docs, labels, "quality", most)
-    h, at = hashed_words(pa.array([r.text for r in rows], pa.string()), True)
-    return fit([h[s:e] for s, e in zip(at, at[1:])], np.array([r.y for r in rows], np.float64), **fit_options)
+
+    def fit_rows(texts: pa.Array, y: np.ndarray, langs: list) -> NbSvm | None:
+        h, at = hashed_words(texts, True)
+        return fit([h[s:e] for s, e in zip(at, at[1:])], y, **fit_options)
+
+    return fitted(training_rows(docs, labels, "quality", most), fit_rows)
 
 
 def score(docs: DataFrame, model: NbSvm | None) -> DataFrame:

@@ -9,7 +9,8 @@ each different word of a batch, so a word costs a few look-ups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +26,13 @@ BUCKETS = 1 << 24
 RUNS = (4, 5)
 
 
-def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def parts(words: list[str], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word, one word after another, and where each word's begin (one more entry than words)."""
+    made = [_parts(words[i : i + chunk]) for i in range(0, len(words), chunk)] or [_parts([])]
+    return np.concatenate([m[0] for m in made]), np.concatenate([[0], np.cumsum(np.concatenate([m[1] for m in made]))])
+
+
+def _parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
     line = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words], np.int64)
@@ -41,8 +47,7 @@ def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whose.append(word[: len(h)][fits])
         what.append(h[fits])
     whose, what = np.concatenate(whose), (np.concatenate(what) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    order = np.argsort(whose, kind="stable")
-    return what[order], np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(words)))])
+    return what[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
 
 
 def sums(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -132,7 +137,7 @@ def pooled(tables: list[list[np.ndarray]], ids: np.ndarray, at: np.ndarray, most
     return found
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], dim: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 6, steps: int = 900, batch: int = 32, least_texts: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Cnn | None:
+def fit(texts: pa.Array, labels: np.ndarray, langs: list[str | None], dim: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 8, epochs: int = 6, steps: int = 900, batch: int = 32, least_texts: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Cnn | None:
     """Train with Adagrad, for `epochs` rounds or as many as make `steps` steps if that is more; None if there is one class only.
     A fifth of the texts is kept from the training to fit the score's scale and each language's threshold."""
     if len(labels) < 10 or labels.min() == labels.max():
@@ -141,7 +146,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], dim: int
     order = rng.permutation(len(labels))
     cut = len(order) - len(order) // 5
     train, held = order[:cut], order[cut:]
-    words, at = split_words(pa.array([texts[i] for i in train], pa.string()))
+    words, at = split_words(texts.take(pa.array(train)))
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy().astype(np.int64)
     ids = [ids[s:e] for s, e in zip(at, at[1:])]
@@ -202,7 +207,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], dim: int
             model.emb[at_row] -= rate * emb_grad / np.sqrt(emb_squares[at_row])
             base_square += float(miss.sum()) ** 2
             model.base -= rate * float(miss.sum()) / np.sqrt(base_square)
-    margin = model.margins(pa.array([texts[i] for i in held], pa.string()))
+    margin = np.concatenate([model.margins(texts.take(pa.array(held[i : i + 512]))) for i in range(0, len(held), 512)])
     model.scale = platt(margin, labels[held])
     model.thresholds = thresholds(model.scores(margin), labels[held], [langs[i] for i in held])
     return model
@@ -226,7 +231,7 @@ def thresholds(score: np.ndarray, label: np.ndarray, langs: list[str | None], de
     return {x: t for x, t in found.items()} | {"": default}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(id, y, text, lang) of at most `most` labelled texts outside the held-out fold, chosen by a hash of their id.
 
     Contradicting labels of an id: the mean, 1 from a half on. Null labels don't count. Of rows of one id, one is taken.
@@ -236,13 +241,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     picked = chosen.join(texts, "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("t"))
-    return sorted(picked.select("id", "y", "t.text", "t.lang").collect(), key=lambda r: r.id)
+    return picked.select("id", "y", "t.text", "t.lang")
+
+
+def fitted(rows: DataFrame, fit_rows: Callable[[pa.Array, np.ndarray, list], object | None]):
+    """Fit a model to a bounded sample in one task of an executor, in the order of ids: fit_rows(texts, labels, languages). Only the
+    model comes to the driver; the task can be run again if its executor is lost."""
+    bounded_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            model = fit_rows(t["text"].combine_chunks(), t["y"].to_numpy().astype(np.float64), t["lang"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 6000, **fit_options) -> Cnn | None:
     """Fit on at most `most` labelled texts outside the held-out fold."""
-    rows = training_rows(docs, labels, "toxic", most)
-    return fit([r.text for r in rows], np.array([r.y for r in rows], np.float64), [r.lang for r in rows], **fit_options)
+    return fitted(training_rows(docs, labels, "toxic", most), lambda texts, y, langs: fit(texts, y, langs, **fit_options))
 
 
 def score(docs: DataFrame, model: Cnn | None, keep: bool = False) -> DataFrame:

@@ -84,7 +84,7 @@ def test_awkward_texts_and_missing_labels(spark):
 
 def test_a_long_text_in_pieces_has_the_score_of_the_whole():
     rows, labels = corpus(120)
-    model = toxicity.fit([r[1] for r in rows], np.array([x[2] for x in labels], float), [r[2] for r in rows], steps=60)
+    model = toxicity.fit(pa.array([r[1] for r in rows]), np.array([x[2] for x in labels], float), [r[2] for r in rows], steps=60)
     texts = pa.array([" ".join(r[1] for r in rows[:40]), "", None, rows[50][1]])
     assert np.allclose(model.margins(texts), model.margins(texts, chunk=7))
 
