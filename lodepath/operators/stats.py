@@ -12,12 +12,18 @@ from lodepath.operators.evaluate import f1
 CONFUSION = ("tp", "fp", "fn")
 
 
+PRIME = 2147483647
+
+
 def hash_draw(*parts: Column) -> Column:
-    """A deterministic draw from [0, 2^31): mixed congruential steps over integers that any engine can repeat."""
+    """A deterministic draw from [0, PRIME): the parts go in one by one, each followed by two squarings modulo the prime, so that
+    neighbouring places have unrelated draws. Integers below 2^63 only, so any engine can repeat it."""
     out = F.lit(12345).cast("long")
     for p in parts:
-        out = F.pmod((out * 1103 + p.cast("long")) * 69069 + 1, F.lit(2147483647))
-    return F.pmod(out * 48271, F.lit(2147483647))
+        out = F.pmod(out * 48271 + p.cast("long") * 69069 + 1, F.lit(PRIME))
+        out = F.pmod(out * out + out * 69621 + 11, F.lit(PRIME))
+        out = F.pmod(out * out + 48271, F.lit(PRIME))
+    return F.pmod(out * 48271, F.lit(PRIME))
 
 
 def resampled(aligned: DataFrame, draws: int, stratified: bool = True) -> DataFrame:

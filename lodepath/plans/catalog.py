@@ -459,7 +459,7 @@ def _aligned(spark, sf) -> DataFrame:
 @query("""WITH x AS (SELECT quality = 1 AS t, toxic = 0 AS a, doc_id % 3 <> 0 AS b FROM labels), cells AS (SELECT t, a, b, count(*) AS n FROM x GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY t ORDER BY a, b) AS hi FROM cells), tot AS (SELECT t, sum(n)::BIGINT AS total FROM cells GROUP BY 1),
 pl AS (SELECT t, total, unnest(range(0, total)) AS k FROM tot), draws AS (SELECT unnest(range(0, 300)) AS draw),
-h AS (SELECT draw, t, total, k, ((((((((12345::HUGEINT * 1103 + draw) * 69069 + 1) % 2147483647) * 1103 + k) * 69069 + 1) % 2147483647) * 1103 + t::INTEGER) * 69069 + 1) % 2147483647 * 48271 % 2147483647 % total AS pos FROM pl, draws),
+h AS (SELECT draw, t, total, k, (12345::BIGINT * 48271 + draw * 69069 + 1) % 2147483647 AS x0, (x0 * x0 + x0 * 69621 + 11) % 2147483647 AS x1, (x1 * x1 + 48271) % 2147483647 AS x, (x * 48271 + k * 69069 + 1) % 2147483647 AS y0, (y0 * y0 + y0 * 69621 + 11) % 2147483647 AS y1, (y1 * y1 + 48271) % 2147483647 AS y, (y * 48271 + t::BIGINT * 69069 + 1) % 2147483647 AS z0, (z0 * z0 + z0 * 69621 + 11) % 2147483647 AS z1, (z1 * z1 + 48271) % 2147483647 AS z, z * 48271 % 2147483647 % total AS pos FROM pl, draws),
 hit AS (SELECT h.draw, c.t, c.a, c.b FROM h JOIN cum c ON c.t = h.t AND h.pos >= c.hi - c.n AND h.pos < c.hi),
 f AS (SELECT draw, 2 * count(*) FILTER (t AND a) / (2 * count(*) FILTER (t AND a) + count(*) FILTER (t <> a)) - 2 * count(*) FILTER (t AND b) / (2 * count(*) FILTER (t AND b) + count(*) FILTER (t <> b)) AS d FROM hit GROUP BY 1),
 o AS (SELECT count(*) AS num_examples, 2 * count(*) FILTER (t AND a) / (2 * count(*) FILTER (t AND a) + count(*) FILTER (t <> a)) AS f1_a, 2 * count(*) FILTER (t AND b) / (2 * count(*) FILTER (t AND b) + count(*) FILTER (t <> b)) AS f1_b FROM x)
