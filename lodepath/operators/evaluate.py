@@ -9,6 +9,15 @@ from lodepath.functions import models as M
 from lodepath.functions import text as X
 
 
+#: What a family summary says of a family.
+DECISIONS = {
+    "rejected": "rejected: best F1 is below {:.2f}",
+    "selected": "selected: effective enough and fastest viable",
+    "better": "more effective, but slower",
+    "slower": "effective enough, but slower",
+}
+
+
 def covered_questions(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Questions of which both concepts are nodes."""
     n = nodes.select(F.col("node").alias("n_"))
@@ -182,10 +191,10 @@ def family_summary(rows: DataFrame, least_f1: float = 0.8) -> DataFrame:
     )
     chosen = rows.where(viable).agg(F.min_by(what, key).alias("chosen"))
     decision = (
-        F.when(F.col("fastest_viable").isNull(), f"rejected: best F1 is below {least_f1:.2f}")
-        .when((X.normal_path(F.col("fastest_viable.model_path")) == X.normal_path(F.col("chosen.model_path"))) & (F.col("fastest_viable.dimension") == F.col("chosen.dimension")), "selected: effective enough and fastest viable")
-        .when(F.col("fastest_viable.f1_score") > F.col("chosen.f1_score"), "more effective, but slower")
-        .otherwise("effective enough, but slower")
+        F.when(F.col("fastest_viable").isNull(), DECISIONS["rejected"].format(least_f1))
+        .when((X.normal_path(F.col("fastest_viable.model_path")) == X.normal_path(F.col("chosen.model_path"))) & (F.col("fastest_viable.dimension") == F.col("chosen.dimension")), DECISIONS["selected"])
+        .when(F.col("fastest_viable.f1_score") > F.col("chosen.f1_score"), DECISIONS["better"])
+        .otherwise(DECISIONS["slower"])
     )
     return by.crossJoin(chosen).select("family", "num_candidates", "best", "fastest", "fastest_viable", decision.alias("decision"))
 
