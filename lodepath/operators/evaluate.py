@@ -267,3 +267,50 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each group of keys: the first by order."""
     cond = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("r_", F.row_number().over(cond)).where("r_ = 1").drop("r_")
+
+
+def shared_caps(reference: DataFrame, variants: DataFrame) -> DataFrame:
+    """Ablation variants under the one reference run's cap; none or several reference rows are an error."""
+    n = reference.limit(2).count()
+    if n != 1:
+        raise ValueError("the reference must have one cap")
+    return variants.crossJoin(F.broadcast(reference.select("cap")))
+
+
+def budget_index(entries: DataFrame) -> DataFrame:
+    """(model, dim, cap) of listed analyses (ordinal, model, dimension text, p95): the last entry of a pair counts, and dimensions
+    that aren't whole numbers are left out."""
+    rows = entries.withColumn("dim", F.col("dimension").try_cast("int")).where("dim IS NOT NULL AND p95 IS NOT NULL")
+    return rows.groupBy("model", "dim").agg(X.budget_of(F.max_by("p95", "ordinal")).alias("cap"))
+
+
+def step_epochs(history: DataFrame, value_tag: str, epoch_tag: str = "epoch") -> DataFrame:
+    """(run, step, epoch, value): scalars of one tag with the epoch logged at the same step, null if there is none."""
+    values = history.where(F.col("tag") == value_tag).select("run", "step", "value")
+    epochs = history.where(F.col("tag") == epoch_tag).groupBy("run", "step").agg(F.max("value").cast("int").alias("epoch"))
+    return values.join(epochs, ["run", "step"], "left").select("run", "step", "epoch", "value")
+
+
+def latest(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest file (path, modified) of each group; the greater path among equals."""
+    return files.groupBy(*keys).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+
+
+def metric_of(models: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(model, metric): as the metadata (model, distance) says, cosine without metadata; a row without the field is an error."""
+    known = metadata.select("model", F.coalesce(M.distance(F.col("distance")), F.raise_error(F.concat(F.lit("no distance for "), "model"))).alias("d_"))
+    return models.join(known, "model", "left").select("model", F.coalesce("d_", F.lit("cosine")).alias("metric"))
+
+
+def universe_of(runs: DataFrame, universes: DataFrame) -> DataFrame:
+    """runs (graph, …) with the node universe of their graph; an unknown graph is an error when read."""
+    u = F.broadcast(universes.select("graph", F.col("universe").alias("u_")))  # a registry of a few rows
+    return runs.join(u, "graph", "left").withColumn("universe", F.coalesce("u_", F.raise_error(F.concat(F.lit("no universe for "), "graph")))).drop("u_")
+
+
+def per_batch_average(pairs: DataFrame) -> DataFrame:
+    """(distinct_avg, batch_avg) of visits: over different pairs, and over batches as a validation that repeats a pair in each of its
+    batches counts it. pairs: (batch, source, target, visited)."""
+    one = pairs.groupBy("source", "target").agg(F.first("visited").alias("v")).agg(F.avg("v").alias("distinct_avg"))
+    two = pairs.dropDuplicates(["batch", "source", "target"]).groupBy("batch").agg(F.avg("visited").alias("v")).agg(F.avg("v").alias("batch_avg"))
+    return one.crossJoin(two)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodepath.functions import models as M
 from lodepath.functions import text as X
 from lodepath.functions import vectors as V
+from lodepath.operators import encode
 from lodepath.operators import evaluate as E
 from lodepath.operators import graph as G
 from lodepath.operators import lookup as L
@@ -600,3 +601,34 @@ def run_names(spark, sf):
     run = F.concat("p_brand", F.lit("_relu_cos_norm"))
     parsed = table(spark, sf, "part").select("p_partkey", run.alias("run"), M.parsed(F.concat(F.lit("a\\b/"), run)).alias("m"), F.array_join(M.matryoshka_dims(F.col("p_size")), " ").alias("dims"))
     return parsed.select("p_partkey", "run", "m.*", "dims")
+
+
+@query("""WITH r AS (SELECT event_type AS model, user_id % 7 AS d, event_id, value FROM events WHERE user_id % 7 <> 3)
+SELECT model, d::INTEGER AS dim, ceil(arg_max(value, event_id))::BIGINT AS cap FROM r GROUP BY ALL""")
+def budget_index_last_wins(spark, sf):
+    dim = F.when(F.col("user_id") % 7 == 3, "full").otherwise((F.col("user_id") % 7).cast("string"))
+    return E.budget_index(table(spark, sf, "events").select(F.col("event_type").alias("model"), dim.alias("dimension"), F.col("event_id").alias("ordinal"), F.col("value").alias("p95")))
+
+
+@query("""SELECT a.event_type AS run, a.event_id AS step, b.user_id::INTEGER AS epoch, a.value FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) b USING (event_id)""")
+def step_epoch_join(spark, sf):
+    e = table(spark, sf, "events")
+    loss = e.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.lit("loss").alias("tag"), "value")
+    epoch = e.where("event_id % 2 = 0").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.lit("epoch").alias("tag"), F.col("user_id").cast("double").alias("value"))
+    return E.step_epochs(loss.unionByName(epoch), "loss")
+
+
+@query("""SELECT 'v' || vec_id AS node, round(list_sum((embedding::DOUBLE[])[1:8]), 5) AS total FROM embeddings WHERE label <> 3""")
+def sliced_vectors(spark, sf):
+    e = D.vectors_v(spark, sf)
+    labelled = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("node"), "label")
+    full = e.join(labelled.where("label <> 3"), "node").select("node", "vec")
+    low = full.join(labelled.where("label < 3"), "node").select("node", F.slice("vec", 1, 8).alias("vec"))
+    found, _ = encode.sliced_cache(e, 8, [low, full])
+    return found.select("node", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query(f"""{MEMBER_SQL}, ends AS (SELECT dataset, id, 'cause' AS role, cause AS node FROM qp UNION ALL SELECT dataset, id, 'effect', effect FROM qp)
+SELECT dataset, role, count(*) AS occurrences, count(DISTINCT node) AS endpoints FROM ends GROUP BY ALL""")
+def endpoint_roles(spark, sf):
+    return R.endpoint_rows(_questions_p(spark, sf)).groupBy("dataset", "role").agg(F.count("*").alias("occurrences"), F.countDistinct("node").alias("endpoints"))

@@ -193,3 +193,50 @@ def test_permuted_rows_change_nothing(spark):
     pairs = list(itertools.permutations("abcd", 2))
     edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "cause string, effect string, edge_seq long")
     assert sorted(map(tuple, G.dedup_edges(edges.repartition(5), []).collect())) == sorted(map(tuple, G.dedup_edges(edges, []).collect()))
+
+
+def test_encoding_resumes_and_caches_fill_in_order(spark):
+    from lodepath.operators import encode as C
+
+    nodes = spark.createDataFrame([("a",), ("bb",), ("ccc",)], "node string")
+    done = spark.createDataFrame([("a", [9.0, 9.0]), ("gone", [1.0, 1.0])], "node string, vec array<float>")
+    lengths = lambda texts: np.array([[len(t), 1.0] for t in texts])
+    assert {r.node: r.vec for r in C.encode_missing(nodes, done, lengths, 1).collect()} == {"a": [9.0, 9.0], "bb": [2.0, 1.0], "ccc": [3.0, 1.0]}
+    low, full = done.select("node", F.slice("vec", 1, 1).alias("vec")), spark.createDataFrame([("a", [1.0, 2.0]), ("bb", [3.0, 4.0])], done.schema)
+    found, rest = C.sliced_cache(nodes, 1, [low, full])
+    assert {r.node: r.vec for r in found.collect()} == {"a": [9.0], "bb": [3.0]} and [r.node for r in rest.collect()] == ["ccc"]
+    assert {r.node: r.vec for r in C.sliced_cache(nodes, 2, [low, full])[0].collect()}["a"] == [1.0, 2.0]
+
+
+def test_losses(spark):
+    from lodepath.operators import encode as C
+
+    v = lambda *x: [float(i) for i in x]
+    rows = spark.createDataFrame([(v(0, 0), v(3, 4), v(1, 0), v(6, 8)), (v(0, 0), v(1, 0), v(0, 5), v(1, 1))], "current array<double>, positive array<double>, negative array<double>, end array<double>")
+    d = lambda a, b: math.dist(a, b)
+    deltas = {k: [d(c[:k], p[:k]) + d(p[:k], e[:k]) - d(c[:k], n[:k]) - d(n[:k], e[:k]) for c, p, n, e in rows.collect()] for k in (1, 2)}
+    for name, act in (("relu", lambda x: max(x, 0)), ("gelu", lambda x: 0.5 * x * (1 + math.erf(x / math.sqrt(2))))):
+        got = {r.dim: r.loss for r in C.rank_loss(rows, [1, 2], name).collect()}
+        assert got == pytest.approx({k: np.mean([act(x) for x in deltas[k]]) for k in (1, 2)})
+    one = spark.createDataFrame([("What is the  rain",)], "t string").select(C.words_of(F.col("t")).alias("a"), C.words_of(F.col("t"), ["is", "the"]).alias("b")).first()
+    assert one.a == ["What", "is", "the", "rain"] and one.b == ["what", "rain"]
+
+
+def test_registries_and_defaults(spark):
+    m = spark.createDataFrame([("a",), ("b",)], "model string")
+    meta = spark.createDataFrame([("a", "L2")], "model string, distance string")
+    assert {r.model: r.metric for r in E.metric_of(m, meta).collect()} == {"a": "euclidean", "b": "cosine"}
+    with pytest.raises(Exception):
+        E.metric_of(m, spark.createDataFrame([("a", None)], meta.schema)).collect()
+    runs = spark.createDataFrame([("g", 1)], "graph string, n int")
+    assert E.universe_of(runs, spark.createDataFrame([("g", "u")], "graph string, universe string")).first().universe == "u"
+    with pytest.raises(Exception):
+        E.universe_of(runs, spark.createDataFrame([("h", "u")], "graph string, universe string")).collect()
+    cap = spark.createDataFrame([(27,)], "cap int")
+    assert E.shared_caps(cap, m).count() == 2
+    with pytest.raises(ValueError):
+        E.shared_caps(cap.union(cap), m)
+    files = spark.createDataFrame([("k", "p1", 5), ("k", "p2", 7), ("k", "p0", 7)], "key string, path string, modified long")
+    assert E.latest(files, ["key"]).first().path == "p2"
+    pairs = spark.createDataFrame([(1, "a", "b", 4), (1, "a", "b", 4), (1, "c", "d", 8), (2, "a", "b", 4)], "batch int, source string, target string, visited int")
+    assert tuple(E.per_batch_average(pairs).first()) == (6.0, 5.0)
