@@ -22,6 +22,8 @@ from lodepath.llm.session import bounded_batches, stored
 
 SEED = 42
 QUARTERS = 4
+#: Closest neighbours whose texts are compared, for each fingerprint and pair of tiles.
+CANDIDATES = 8
 BLOCK = 256
 #: A to Z in lower case, in bytes of UTF-8; bytes.split() then parts words at exactly the six ASCII white spaces.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -73,6 +75,36 @@ def roots_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning(fps: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links u-v between fingerprints, a few that connect the same ones: each part takes its closest link to another part,
+    again and again (Boruvka), so close pairs stay linked directly."""
+    order = np.argsort(np.bitwise_count(fps[u] ^ fps[v]), kind="stable")
+    u, v = u[order], v[order]
+    label, kept = np.arange(len(fps)), []
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        ends, link = np.stack([a, b], axis=1).ravel(), np.repeat(np.arange(len(u)), 2)
+        pick = np.unique(link[np.unique(ends, return_index=True)[1]])
+        kept.append(np.stack([u[pick], v[pick]]))
+        label = roots_of(len(fps), a[pick], b[pick])[label]
+    return tuple(np.concatenate(kept, axis=1)) if kept else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def closest_links(fps: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the links that are among the `most` closest ones of either end."""
+    far = np.bitwise_count(fps[u] ^ fps[v])
+    ends, link = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((link, far[link], ends))
+    ends = ends[order]
+    first = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+    rank = np.arange(len(ends)) - np.repeat(first, np.diff(np.concatenate([first, [len(ends)]])))
+    return np.unique(link[order][rank < most])
+
+
 def quarters(fps: np.ndarray) -> np.ndarray:
     """Population counts of the 16-bit quarters, low first: a row for each fingerprint."""
     return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, QUARTERS)).astype(np.int16)
@@ -95,10 +127,11 @@ def ordered(fps: np.ndarray) -> np.ndarray:
     return fps[np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links within the radius between tile a and tile b (None: within a).
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, closest: int = 0, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links within the radius between tile a and tile b (None: within a), and each fingerprint's
+    `closest` links besides.
 
-    Links are reduced to a forest whenever hold of them have gathered, so a tile full of near copies costs no more
+    Links are reduced to these whenever hold more of them have gathered, so a tile full of near copies costs no more
     memory than another.
     """
     a = ordered(a)
@@ -112,9 +145,14 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, hold: int = 1 <
     def forest() -> tuple[np.ndarray, np.ndarray]:
         if not us:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        root = roots_of(len(both), np.concatenate(us), np.concatenate(vs))
-        member = np.flatnonzero(root != np.arange(len(both)))
-        return root[member], member
+        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = u[u != v], v[u != v]
+        x, y = spanning(both, u, v)
+        if closest and len(u):
+            near = closest_links(both, u, v, closest)
+            x, y = np.concatenate([x, u[near]]), np.concatenate([y, v[near]])
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return pair[0], pair[1]
 
     for i, j in todo.tolist():
         x, y = a[i * BLOCK : (i + 1) * BLOCK], other[j * BLOCK : (j + 1) * BLOCK]
@@ -149,7 +187,7 @@ def tile_plan(cells: np.ndarray, counts: np.ndarray, tile: int) -> tuple[np.ndar
     return first, parts, np.int64(now + 1)
 
 
-def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, most_tiles: int = 50_000) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, closest: int = 0, most_tiles: int = 50_000) -> DataFrame:
     """Distinct longs (fp) -> (u, v): links that span every component of the fingerprints within the radius.
 
     The driver sees the histogram of cells only: at most 17 to the power 4, 83,521 rows, however large the corpus. Tiles
@@ -201,23 +239,69 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, most_tiles: in
         for b in batches:
             for t, s, xs, ys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 x = xs.values.to_numpy().view(np.uint64)
-                u, v = tile_links(x, None if s == t else ys.values.to_numpy().view(np.uint64), radius)
+                u, v = tile_links(x, None if s == t else ys.values.to_numpy().view(np.uint64), radius, closest)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     bounded_batches(spark, rows=64)
     return pairs.select("tile", "from_tile", "from_fps", "fps").mapInArrow(compare, "u long, v long")
 
 
-def near_components(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 8192, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's different shingles, ascending; the whole sequence if it has fewer words, none if it has none."""
+    parts = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    runs = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64)).view(np.int64)
+
+
+def similar_links(links: DataFrame, texts: DataFrame, similar: float, words: int) -> DataFrame:
+    """The links (u, v) of which the texts (fp, text) share shingles: Jaccard similarity, exact, of at least `similar`. Texts of
+    linked fingerprints only are turned into shingles, one for each fingerprint."""
+    bounded_batches(links.sparkSession, rows=256)
+    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), words) for t in b.column(1)]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["fp", "shingles"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = stored(texts.join(ends, "fp", "left_semi").select("fp", "text").mapInArrow(shingled, "fp long, shingles array<long>"), "shingles")
+    pairs = links.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return pairs.mapInArrow(judged, "u long, v long")
+
+
+def near_components(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 8192, seed: int = SEED, similar: float | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (doc_id, fp, component_id), the component's smallest doc_id.
 
+    With `similar`, fingerprints within the radius are candidates only: a link also needs texts whose shingles of `shingle`
+    words are that similar (Jaccard). In each pair of tiles a fingerprint's CANDIDATES closest neighbours are tried, and links
+    that span its neighbourhood; of equal fingerprints the text of the smallest id stands for all.
+
     Nulls: a null text has no words, so fingerprint 0, which links to others like any value; a null id is kept, and is a
-    component's id only if all its ids are null. Repeated rows are repeated in the result. An empty table gives an
-    empty result. Copies share a fingerprint and are compared once. Other columns are not read.
+    component's id only if all its ids are null (then it has no similar texts either). Repeated rows are repeated in the
+    result. An empty table gives an empty result. Copies share a fingerprint and are compared once. Other columns are not
+    read.
     """
     made = stored(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    names = components(near_links(distinct.select("fp"), radius, tile))
+    links = near_links(distinct.select("fp"), radius, tile, 0 if similar is None else CANDIDATES)
+    if similar is not None:
+        links = stored(links, "candidates")
+        ids = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("least").alias("id_"))
+        plain = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text"))
+        texts = ids.join(plain, "id_").groupBy("fp").agg(F.min("text").alias("text"))
+        links = similar_links(links, texts, similar, shingle)
+    names = components(links)
     linked = distinct.join(names, distinct.fp == names.node).select("fp", "least", "root")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     known = distinct.join(linked.select("fp", "root"), "fp", "left").join(roots, "root", "left")

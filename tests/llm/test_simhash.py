@@ -84,3 +84,37 @@ def test_contraction_finds_components_of_paths_stars_and_cliques(spark):
         groups.setdefault(r.root, set()).add(r.node)
     assert sorted(map(len, groups.values())) == [8, 40, 61]
     assert components(spark.createDataFrame([(5, 5)], "u long, v long")).count() == 0
+
+
+def test_spanning_links_are_links_and_connect_the_same():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 9, 120, dtype=np.uint64))
+    x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 1)
+    u, v = S.spanning(fps, x, y)
+    assert (np.bitwise_count(fps[u] ^ fps[v]) <= 1).all() and len(u) < len(fps)
+    assert np.array_equal(S.roots_of(len(fps), u, v), S.roots_of(len(fps), x, y))
+    apart = x != y
+    x, y = x[apart], y[apart]
+    near = set(S.closest_links(fps, x, y, 2).tolist())
+    for i in range(len(fps)):
+        mine = np.flatnonzero((x == i) | (y == i))
+        assert len(mine) == 0 or len(near & set(mine.tolist())) >= min(2, len(mine))
+
+
+def test_similarity_is_checked_on_the_texts(spark):
+    rng = random.Random(9)
+    base = [[f"t{g}w{rng.randint(0, 10**6)}" for _ in range(200)] for g in range(6)]
+    rows, group = [], {}
+    for g, words_ in enumerate(base):
+        for k in range(3):
+            w = list(words_)
+            for i in rng.sample(range(200), k):  # 2 words of 200 leave over 0.8 of the shingles
+                w[i] = f"x{rng.random()}"
+            rows.append((10 * g + k, " ".join(w), "en", "s", 1))
+            group[10 * g + k] = 10 * g
+    rows += [(900, "few words", "en", "s", 1), (901, "", "en", "s", 1), (902, None, "en", "s", 1), (903, " ".join(base[0][:100] + base[1][:100]), "en", "s", 1), rows[0]]
+    group |= {900: 900, 901: 901, 902: 901, 903: 903}
+    got = S.near_components(spark.createDataFrame(rows, SCHEMA), radius=16, similar=0.8, tile=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == group and len(got) == len(rows)
+    strict = S.near_components(spark.createDataFrame(rows, SCHEMA), radius=16, similar=0.999, tile=8).collect()
+    assert {r.doc_id: r.component_id for r in strict} == {i: 901 if i == 902 else i for i in group}
