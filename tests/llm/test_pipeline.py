@@ -45,6 +45,12 @@ def test_awkward_documents_and_empty_tables(spark, tmp_path):
     assert C.run(spark, sf).count() == 0
 
 
+def test_rows_without_an_id_stay(spark):
+    rows = [(None, f"text {i} of many words here", "en", "s", 1) for i in range(3)] * 2 + [(1, "same words " * 9, "en", "s", 1), (2, "same words " * 9, "en", "s", 1), (1, "same words " * 9, "en", "s", 1)]
+    left = C.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted((r.doc_id or 0, r.text[:6]) for r in left.collect()) == [(0, "text 0"), (0, "text 1"), (0, "text 2"), (1, "same w")]
+
+
 def test_guard_of_the_entry():
     import __spark_entry__ as e
 
