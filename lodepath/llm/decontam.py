@@ -128,10 +128,9 @@ def blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[int, st
         yield some
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, block_words: int = 2_000_000, keep: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, coverage, tiles (starts in item and document, length) of each pair of which
-    the tiles cover at least the given share of the item; with keep, the struct row_ in place of doc_id, and one row for each
-    document that no block contaminates, item_id null.
+    the tiles cover at least the given share of the item.
 
     Words are lower-cased runs of letters and digits. Null and empty texts share nothing; an item of fewer than `least`
     words can't be found. Repeated documents and items are reported each; a null id is kept. Empty tables: no rows.
