@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 A table's hash of a vector is floor((a . v + b) / w) for a few Gaussian directions a. A query looks into the bucket it falls
-in and into buckets perturbed by one step in some coordinates, in the order of their estimated success (sums of squared
-distances to the borders crossed, least first). What the tables offer is merged and ranked by exact distance.
+in and into buckets perturbed by one step in some coordinates, in the order of their estimated success: a query ranks its
+distances to the borders, and sets of ranks are tried by the expected sum of squares, least first. What the tables offer is
+merged and ranked by exact distance.
 
 The index is a row for each different vector: its bucket in each table, the vector, and the least ids that have it; copies
 share a row, so a vector that fills a third of the table is hashed and compared once. Queries are taken in blocks of a
@@ -13,6 +14,7 @@ grows with queries and parts, never with pairs.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,22 +45,39 @@ class Tables:
         """A 64-bit key for each table; vectors that share cells share it."""
         return (cells.astype(np.int64).view(np.uint64) * self.mult).sum(axis=-1, dtype=np.uint64)
 
-    def probes(self, vector: np.ndarray, most: int) -> np.ndarray:
-        """(tables, most) keys: the own bucket first, then perturbed ones in estimated success order."""
-        place = self.places(vector[None])[0]
-        cell = np.floor(place)
-        left = place - cell
-        home = self.keys(cell)
-        out = np.repeat(home[:, None], most, axis=1)
-        for t in range(self.shape[0]):
-            cost = np.concatenate([left[t], 1 - left[t]]) ** 2
-            step = np.concatenate([0 - self.mult[t], self.mult[t]])
-            order = np.argsort(cost, kind="stable")
-            for n, chosen in zip(range(1, most), perturbations(cost[order], order % self.shape[1])):
-                out[t, n : n + 1] = home[t : t + 1] + step[order[list(chosen)]].sum(keepdims=True, dtype=np.uint64)
+    def probes(self, vectors: np.ndarray, most: int) -> np.ndarray:
+        """(vectors, tables, most) keys: the own bucket first, then perturbed ones in estimated success order."""
+        sets = template(self.shape[1], most)
+        zero = np.zeros(1, np.uint64)
+        steps = np.concatenate([zero - self.mult, self.mult], axis=1)
+        out = np.empty((len(vectors), self.shape[0], len(sets)), np.uint64)
+        for i, v in enumerate(vectors):
+            place = self.places(v[None])[0]
+            cell = np.floor(place)
+            left = place - cell
+            order = np.argsort(np.concatenate([left, 1 - left], axis=1), axis=1, kind="stable")
+            ranked = np.concatenate([np.take_along_axis(steps, order, axis=1), np.zeros((len(order), 1), np.uint64)], axis=1)
+            out[i] = self.keys(cell)[:, None] + ranked[:, sets].sum(axis=2, dtype=np.uint64)
         return out
 
 
+def template(hashes: int, most: int) -> np.ndarray:
+    """The sets of steps to try, as ranks of the 2 * hashes border distances, padded with 2 * hashes: the empty set, then by the
+    expected sum of squares of the distances at those ranks. The order is the same for all queries; what stands at a rank is
+    each query's own. Rank r and its mirror are the two steps of one coordinate, so no set holds both."""
+    m = hashes
+    j = np.arange(1, m + 1)
+    near = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    k = np.arange(m + 1, 2 * m + 1)
+    far = 1 - (2 * m + 1 - k) / (m + 1) + (2 * m + 1 - k) * (2 * m + 2 - k) / (4 * (m + 1) * (m + 2))
+    axis = np.minimum(np.arange(2 * m), 2 * m - 1 - np.arange(2 * m))
+    sets = [(), *itertools.islice(perturbations(np.concatenate([near, far]), axis), most - 1)]
+    out = np.full((len(sets), max(map(len, sets)) or 1), 2 * m)
+    for i, s in enumerate(sets):
+        out[i, : len(s)] = s
+    return out
+
+
 def perturbations(cost: np.ndarray, axis: np.ndarray) -> Iterator[tuple[int, ...]]:
     """Sets of positions in ascending costs, by ascending sum; sets that step both ways along an axis are left out."""
     queue = [(float(cost[0]), (0,))]
@@ -146,7 +165,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, probes: int = 400, b
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, vectors = shared.value
             t = spread.value
-            looked = [np.sort(t.probes(v, probes), axis=1) for v in vectors] if probed else None
+            looked = np.sort(t.probes(vectors, probes), axis=2) if probed else None
             best = [(np.empty(0), np.empty(0, np.int64))] * len(names)
             for b in batches:
                 v, lists = matrix(b.column(0), dim), b.column(1)
@@ -158,7 +177,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, probes: int = 400, b
                     if probed:
                         hit = np.zeros(len(v), bool)
                         for x, (u, where) in enumerate(sets):
-                            p = np.minimum(np.searchsorted(looked[n][x], u), probes - 1)
+                            p = np.minimum(np.searchsorted(looked[n][x], u), looked.shape[2] - 1)
                             hit |= (looked[n][x][p] == u)[where]
                         c = np.flatnonzero(hit)
                     else:

@@ -80,7 +80,7 @@ class Items:
         self.vocab = words.unique()
         ids = pc.index_in(words, value_set=self.vocab).to_numpy()
         self.items = [ids[s:e] for s, e in zip(at, at[1:])]
-        # an item shorter than a seed is one seed of its own length and can't be tiled otherwise
+        # an item shorter than a seed has none
         h = [rolled(x, least) for x in self.items]
         item = np.concatenate([np.full(len(x), i) for i, x in enumerate(h)] or [np.empty(0, np.int64)])
         place = np.concatenate([np.arange(len(x)) for x in h] or [np.empty(0, np.int64)])
