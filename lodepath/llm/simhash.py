@@ -5,6 +5,10 @@ Distinct fingerprints are laid out in cells of equal population counts of their
 neighbouring cells, or hashed parts of a large cell. Two fingerprints within a radius differ by no more than it in
 the sum of the differences of their quarters' counts, so most pairs of tiles, and of blocks within tiles, are skipped
 without a comparison; what is left is compared with numpy's exclusive-or and bitwise_count. No pair is lost.
+
+Where texts must be alike, candidates come from the texts instead: with the shingles of all texts in one order, texts of a
+Jaccard similarity of s or more share one of their first n - ceil(s n) + 1 shingles (n: how many a text has). The order puts
+shingles that are common in a sample last, which saves comparisons and loses none. All candidates are decided exactly.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from lodepath.llm.session import bounded_batches, stored
 
 SEED = 42
 QUARTERS = 4
-#: Closest neighbours whose texts are compared, for each fingerprint and pair of tiles.
-CANDIDATES = 8
+#: Texts of which common shingles are counted, and how many of them a common shingle is in at least, and the most that are kept.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 100_000
+#: Fingerprints that share a shingle are compared pair by pair up to so many, else in cells of so many texts and shingles.
+FEW, CELL_TEXTS, CELL_SHINGLES = 16, 1024, 400_000
 BLOCK = 256
 #: A to Z in lower case, in bytes of UTF-8; bytes.split() then parts words at exactly the six ASCII white spaces.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,9 +133,8 @@ def ordered(fps: np.ndarray) -> np.ndarray:
     return fps[np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, closest: int = 0, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links within the radius between tile a and tile b (None: within a), and each fingerprint's
-    `closest` links besides.
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links within the radius between tile a and tile b (None: within a).
 
     Links are reduced to these whenever hold more of them have gathered, so a tile full of near copies costs no more
     memory than another.
@@ -148,9 +153,6 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, closest: int =
         u, v = np.concatenate(us), np.concatenate(vs)
         u, v = u[u != v], v[u != v]
         x, y = spanning(both, u, v)
-        if closest and len(u):
-            near = closest_links(both, u, v, closest)
-            x, y = np.concatenate([x, u[near]]), np.concatenate([y, v[near]])
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pair[0], pair[1]
 
@@ -187,7 +189,7 @@ def tile_plan(cells: np.ndarray, counts: np.ndarray, tile: int) -> tuple[np.ndar
     return first, parts, np.int64(now + 1)
 
 
-def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, closest: int = 0, most_tiles: int = 50_000) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, most_tiles: int = 50_000) -> DataFrame:
     """Distinct longs (fp) -> (u, v): links that span every component of the fingerprints within the radius.
 
     The driver sees the histogram of cells only: at most 17 to the power 4, 83,521 rows, however large the corpus. Tiles
@@ -239,7 +241,7 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, closest: int =
         for b in batches:
             for t, s, xs, ys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 x = xs.values.to_numpy().view(np.uint64)
-                u, v = tile_links(x, None if s == t else ys.values.to_numpy().view(np.uint64), radius, closest)
+                u, v = tile_links(x, None if s == t else ys.values.to_numpy().view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     bounded_batches(spark, rows=64)
@@ -253,54 +255,195 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64)).view(np.int64)
 
 
-def similar_links(links: DataFrame, texts: DataFrame, similar: float, words: int) -> DataFrame:
-    """The links (u, v) of which the texts (fp, text) share shingles: Jaccard similarity, exact, of at least `similar`. Texts of
-    linked fingerprints only are turned into shingles, one for each fingerprint."""
-    bounded_batches(links.sparkSession, rows=256)
-    ends = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the shingles that several texts of a sample share. They only set the order of shingles."""
+    bounded_batches(texts.sparkSession, rows=256)
+    rate = min(1.0, SAMPLE / max(texts.count(), 1))
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < int(rate * (1 << 20))).select("text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), words))], names=["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    got = found.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    h, n = (np.asarray(c.combine_chunks() if c.num_chunks else pa.array([], pa.int64()), dtype=np.int64) for c in got.columns)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, similar: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a text (ascending hashes): of those of any text as similar, at least one is among them."""
+    most = len(shingles) - int(np.ceil(similar * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    count = np.zeros(len(shingles), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        count = np.where(common[0][at] == shingles, common[1][at], 0)
+    return shingles[np.argsort(count, kind="stable")[:most]]
+
+
+def prefixed(docs: DataFrame, words: int, seed: int, similar: float, shingle: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, prefix)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            fps = np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)
+            firsts = [prefix(shingle_hashes(t, shingle), similar, shared.value) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "fp", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, prefix array<long>")
+
+
+def is_similar(both, x, y, similar: float):
+    """Whether sets of x and y members, `both` of them in common, have that Jaccard similarity."""
+    return (both >= similar * (x + y - both)) & (both > 0)
+
+
+def alike(x: list[np.ndarray], y: list[np.ndarray], similar: float, wide: int = 4096) -> np.ndarray:
+    """A matrix: which of the sets x are similar to which of the sets y."""
+    size = [np.array([len(s) for s in z], np.int64) for z in (x, y)]
+    flat = [np.concatenate(z) if z else np.empty(0, np.int64) for z in (x, y)]
+    row = [np.repeat(np.arange(len(z)), n) for z, n in zip((x, y), size)]
+    shared = np.intersect1d(*flat)
+    if x is y:
+        values, times = np.unique(flat[0], return_counts=True)
+        shared = values[times > 1]
+    at = [np.searchsorted(shared, f) for f in flat]
+    known = [np.flatnonzero(shared[np.minimum(a, len(shared) - 1)] == f) if len(shared) else np.empty(0, np.int64) for a, f in zip(at, flat)]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(shared), wide):
+        parts = []
+        for a, k, r, z in zip(at, known, row, (x, y)):
+            k = k[(a[k] >= low) & (a[k] < low + wide)]
+            part = np.zeros((len(z), min(wide, len(shared) - low)), np.float32)
+            part[r[k], a[k] - low] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return is_similar(both.astype(np.int64), size[0][:, None], size[1][None], similar)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, text) -> (fp, n, shingles)."""
+    bounded_batches(texts.sparkSession, rows=256)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in b.column(1)]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "n", "shingles"])
+
+    return texts.select("fp", "text").mapInArrow(shingled, "fp long, n long, shingles array<long>")
+
+
+def within(u: np.ndarray, v: np.ndarray, radius: int | None) -> np.ndarray:
+    return np.bitwise_count(u ^ v) <= (64 if radius is None else radius)
+
+
+def pair_links(buckets: DataFrame, sets: DataFrame, similar: float, radius: int | None) -> DataFrame:
+    """The links (u, v) within buckets (fps) of few fingerprints: each different pair is decided once."""
+    ends = buckets.select("fps", F.posexplode("fps").alias("i", "u"))
+    pairs = ends.select("u", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("v")).distinct()
+    if radius is not None:
+        pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both) and both > 0)
+                keep.append(bool(is_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similar)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = stored(texts.join(ends, "fp", "left_semi").select("fp", "text").mapInArrow(shingled, "fp long, shingles array<long>"), "shingles")
-    pairs = links.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
-    return pairs.mapInArrow(judged, "u long, v long")
+    # what differs too much in size can't be similar
+    x, y = sets.toDF("u", "m", "x"), sets.toDF("v", "n", "y")
+    alike_sizes = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similar - 1e-9)
+    return pairs.join(x, "u").join(y, "v").where(alike_sizes).select("u", "v", "x", "y").mapInArrow(judged, "u long, v long")
+
 
+def cell_links(buckets: DataFrame, sets: DataFrame, similar: float, radius: int | None) -> DataFrame:
+    """Links (u, v) that span all links within buckets (fps) of many fingerprints.
 
-def near_components(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 8192, seed: int = SEED, similar: float | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Buckets that share the member of the least hash are mostly the same texts and are joined. Their members are dealt to cells by
+    size, a factor of 1 / similar each, and to parts of bounded texts and shingles; each cell meets itself, those of its size and
+    those of the next, and its links are reduced to a forest as they are found. No pair is made into a row.
+    """
+    spark = buckets.sparkSession
+    lead = F.expr("array_min(transform(fps, f -> struct(xxhash64(f) AS h, f AS f))).f")
+    members = buckets.select(lead.alias("key"), F.explode("fps").alias("fp")).distinct()
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(similar) + 1e-9))).alias("band")
+    members = stored(members.join(sets.select("fp", "n"), "fp").select("key", "fp", "n", band), "members")
+    parts = F.ceil(F.greatest(F.sum("n") / CELL_SHINGLES, F.count("*") / CELL_TEXTS)).alias("parts")
+    cells = stored(members.groupBy("key", "band").agg(parts), "cells")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
+    dealt = members.join(F.broadcast(cells), ["key", "band"]).select("key", "band", part, "fp").join(sets, "fp")
+    tiles = stored(dealt.groupBy("key", "band", "part").agg(F.collect_list(F.struct("fp", "shingles")).alias("sets")), "cell_sets")
+    each = cells.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    other = each.toDF("key", "to_band", "to_part")
+    units = each.join(other, "key").where("to_band = band AND to_part >= part OR to_band = band + 1")
+    units = units.join(tiles, ["key", "band", "part"]).withColumnRenamed("sets", "x")
+    units = units.join(tiles.toDF("key", "to_band", "to_part", "y"), ["key", "to_band", "to_part"])
+    units = units.select((F.col("band") == F.col("to_band")).alias("a"), (F.col("part") == F.col("to_part")).alias("b"), "x", "y")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for same, own, *both in zip(*b.columns):
+                one = same.as_py() and own.as_py()
+                fps = [z.values.field("fp").to_numpy() for z in both]
+                x, y = ([s.values.to_numpy() for s in z.values.field("shingles")] for z in both)
+                if one:
+                    y = x
+                u, v = np.nonzero(alike(x, y, similar) & within(fps[0][:, None], fps[1][None], radius))
+                ends = fps[0].view(np.uint64) if one else np.concatenate(fps).view(np.uint64)
+                v = v if one else v + len(fps[0])
+                u, v = spanning(ends, u[u != v], v[u != v])
+                yield pa.RecordBatch.from_arrays([pa.array(ends[u].view(np.int64)), pa.array(ends[v].view(np.int64))], names=["u", "v"])
+
+    bounded_batches(spark, rows=2)
+    return units.mapInArrow(judged, "u long, v long")
+
+
+def similar_links(made: DataFrame, ids: DataFrame, docs: DataFrame, similar: float, words: int, radius: int | None) -> DataFrame:
+    """Links (u, v) that span all pairs of fingerprints whose texts share shingles, Jaccard similarity of at least `similar`, exact.
+
+    made has (fp, prefix), ids the doc_id whose text in docs stands for a fingerprint. Only texts that share a first shingle are turned into shingles.
+    """
+    spark = made.sparkSession
+    by_shingle = made.select("fp", F.explode("prefix").alias("h")).groupBy("h").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    buckets = stored(by_shingle.select(F.array_sort("fps").alias("fps")).distinct(), "buckets")
+    ends = buckets.select(F.explode("fps").alias("fp")).distinct().join(ids, "fp")
+    texts = ends.join(docs, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+    sets = stored(shingle_sets(texts, words), "shingles")
+    many = stored(cell_links(buckets.where(F.size("fps") > FEW), sets, similar, radius), "cell_links")
+    bounded_batches(spark, rows=256)
+    few = stored(pair_links(buckets.where(F.size("fps") <= FEW), sets, similar, radius), "pair_links")
+    return many.unionByName(few)
+
+
+def near_components(docs: DataFrame, words: int = 4, radius: int | None = 4, tile: int = 8192, seed: int = SEED, similar: float | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (doc_id, fp, component_id), the component's smallest doc_id.
 
-    With `similar`, fingerprints within the radius are candidates only: a link also needs texts whose shingles of `shingle`
-    words are that similar (Jaccard). In each pair of tiles a fingerprint's CANDIDATES closest neighbours are tried, and links
-    that span its neighbourhood; of equal fingerprints the text of the smallest id stands for all.
+    With `similar`, a link also needs texts whose shingles of `shingle` words are that similar (Jaccard); all such texts are
+    found. The radius may then be None, for any distance. Of equal fingerprints the text of the smallest id stands for all.
 
     Nulls: a null text has no words, so fingerprint 0, which links to others like any value; a null id is kept, and is a
     component's id only if all its ids are null (then it has no similar texts either). Repeated rows are repeated in the
     result. An empty table gives an empty result. Copies share a fingerprint and are compared once. Other columns are not
     read.
     """
-    made = stored(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if similar is None:
+        made = stored(fingerprints(plain, words, seed), "fingerprints")
+    else:
+        made = stored(prefixed(plain, words, seed, similar, shingle), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(distinct.select("fp"), radius, tile, 0 if similar is None else CANDIDATES)
-    if similar is not None:
-        links = stored(links, "candidates")
-        ids = links.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("least").alias("id_"))
-        plain = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text"))
-        texts = ids.join(plain, "id_").groupBy("fp").agg(F.min("text").alias("text"))
-        links = similar_links(links, texts, similar, shingle)
+    if similar is None:
+        links = near_links(distinct.select("fp"), radius, tile)
+    else:
+        ids = distinct.select("fp", F.col("least").alias("doc_id"))
+        links = similar_links(made, ids, plain, similar, shingle, radius)
     names = components(links)
     linked = distinct.join(names, distinct.fp == names.node).select("fp", "least", "root")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -118,3 +118,48 @@ def test_similarity_is_checked_on_the_texts(spark):
     assert {r.doc_id: r.component_id for r in got} == group and len(got) == len(rows)
     strict = S.near_components(spark.createDataFrame(rows, SCHEMA), radius=16, similar=0.999, tile=8).collect()
     assert {r.doc_id: r.component_id for r in strict} == {i: 901 if i == 902 else i for i in group}
+
+
+def five_word_components(rows, similar=0.8):
+    """doc_id -> least doc_id of its component, by comparing all pairs of texts."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(r[1]) for r in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similar * (len(sets[i]) + len(sets[j]) - both):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return {r[0]: rows[g][0] for r, g in zip(rows, group)}
+
+
+def family(n=160, size=100, own=2, seed=4):
+    """n texts of which all but two words are the same; those whose own words stand close are similar."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        w = [f"b{k}" for k in range(size)]
+        for k in rng.sample(range(size), own):
+            w[k] = f"y{i}x{k}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    return rows
+
+
+def test_every_candidate_of_a_family_is_decided(spark, monkeypatch):
+    rows = family()
+    want = five_word_components(rows)
+    assert len(set(want.values())) == 132
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = S.near_components(docs, radius=64, similar=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    monkeypatch.setattr(S, "CELL_TEXTS", 50)
+    monkeypatch.setattr(S, "FEW", 3)
+    got = S.near_components(docs, radius=64, similar=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_matrix_of_similar_sets_matches_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 14))) for _ in range(40)] + [np.empty(0, np.int64)]
+    slow = lambda a, b: len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b)) and len(set(a) & set(b)) > 0
+    for x, y in ((sets, sets), (sets[:9], sets[5:])):
+        assert S.alike(x, y, 0.5, wide=5).tolist() == [[slow(a, b) for b in y] for a in x]
