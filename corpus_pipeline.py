@@ -17,10 +17,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays; of repeated rows of it, one. Near copies are SimHash
-    neighbours within 10 bits whose texts are alike: a similarity of 0.8 or more on shingles of five words. Documents without
+    """Of each group of near copies the document of the least id stays; of repeated rows of it, one. Near copies have equal
+    SimHashes, or texts that are alike, at whatever distance: a similarity of 0.8 or more on shingles of five words. Documents without
     an id have no near copies; those of equal texts count as repeated rows, as do rows of one id and text."""
-    groups = simhash.near_components(docs, radius=10, similar=0.8, shingle=5)
+    groups = simhash.near_components(docs, radius=None, similar=0.8, shingle=5)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct()
     named = docs.join(keep, F.col("doc_id").cast("long") == F.col("keep_"), "left_semi")
     return named.unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])

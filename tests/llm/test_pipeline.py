@@ -51,6 +51,24 @@ def test_rows_without_an_id_stay(spark):
     assert sorted((r.doc_id or 0, r.text[:6]) for r in left.collect()) == [(0, "text 0"), (0, "text 1"), (0, "text 2"), (1, "same w")]
 
 
+def test_all_near_copies_go(spark):
+    import random
+
+    from test_simhash import five_word_components
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(80):
+        w = [f"d{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        x = list(w)
+        for i in rng.sample(range(200), 4 + g % 2):  # similarities on both sides of 0.8, SimHashes up to some 16 bits apart
+            x[i] = f"x{rng.random()}"
+        rows += [(2 * g, " ".join(w), "en", "s", 1), (2 * g + 1, " ".join(x), "en", "s", 1)]
+    want = five_word_components(rows)
+    left = {r.doc_id for r in C.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert left == set(want.values()) and 90 < len(left) < 150
+
+
 def test_guard_of_the_entry():
     import __spark_entry__ as e
 
