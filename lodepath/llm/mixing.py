@@ -4,7 +4,8 @@ Targets come from weights by water filling; Sainte-Lague (highest quotients v /
 each source, and a source's blocks into quotas for its shards. A shard is a bounded, hash-ordered part of a source's
 token stream, cut into equal blocks; block i of n is taken floor((i + 1) q / n + u) - floor(i q / n + u) times for a
 quota q and a seeded u, so a shard takes exactly q blocks, spread evenly over it, and no block more than once above
-another. What a document gives follows from its place in its shard's prefix sums: no block is ever made into a row.
+another. Blocks are long, so that what is left out is whole documents or long stretches; sources too small for so many
+long blocks have shorter ones. What a document gives follows from its place in its shard's prefix sums: no block is ever made into a row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from lodepath.llm.session import WORD, bounded_batches, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
+#: Words of a block: at most, at least, and a source's size over this between them.
+LONGEST, SHORTEST, BLOCKS = 4096, 8, 100
 #: What two real numbers that should be equal may differ by, relative to them.
 SLACK = 1e-12
 
@@ -85,20 +88,22 @@ def apportion(votes: DataFrame, key: list[str], seats: Column, vote: Column, wit
     return out.select(*votes.columns, (F.col("low_") + F.coalesce("won_", F.lit(0))).cast("long").alias("quota"))
 
 
-def placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int, shard_tokens: int, seed: int, **cols: str) -> DataFrame:
+def placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int | None, shard_tokens: int, seed: int, **cols: str) -> DataFrame:
     """A row for each row of docs: doc_id, text_hash, size, source, source_size, target, and its place: start (tokens before it
-    in its shard), n_blocks, quota and phase of the shard."""
+    in its shard), n_blocks, quota and phase of the shard, and the words of a block."""
     sized = stored(sizes(docs, **cols), "sizes")
     aims = stored(targets(sized, weights, most), "targets")
     spread = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_tokens))))
     known = sized.join(aims.select(F.col("source").alias("source_"), "source_size", "target"), sized.source.eqNullSafe(F.col("source_")))
+    words = F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.floor(F.col("source_size") / BLOCKS))) if block is None else F.lit(block)
+    known = known.withColumn("block", words.cast("long"))
     known = known.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
     known = known.withColumn("shard", F.pmod(F.col("order_"), spread).cast("long")).drop("source_")
     inside = Window.partitionBy("source", "shard").orderBy("order_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     known = stored(known.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("long")), "placed")
 
-    shards = known.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.floor(F.col("shard_size") / block))).otherwise(0).cast("long")
+    shards = known.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("block").alias("block"))
+    blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.floor(F.col("shard_size") / F.col("block")))).otherwise(0).cast("long")
     shards = shards.withColumn("n_blocks", blocks)
     by_source = shards.groupBy("source").agg(F.sum("n_blocks").alias("blocks"), F.first("source_size").alias("size"), F.first("target").alias("aim"))
     # a source's vote is its target in blocks of its own mean length, so a target of k times its size is k times its blocks
@@ -113,15 +118,15 @@ def placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int,
     return known.join(quotas, F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_"))).drop("source_", "shard_", "order_")
 
 
-def taken_before(x: Column, block: int) -> Column:
+def taken_before(x: Column) -> Column:
     """Tokens that the mix takes of the first x tokens of a shard, repeats counted."""
-    j = F.greatest(F.least(F.floor(x / F.lit(block)), F.col("n_blocks") - 1), F.lit(0))
+    j = F.greatest(F.least(F.floor(x / F.col("block")), F.col("n_blocks") - 1), F.lit(0))
     upto = lambda i: F.floor(i * F.col("quota") / F.col("n_blocks") + F.col("phase"))
-    full = upto(j) * block
-    return F.when(F.col("n_blocks") > 0, full + (x - j * block) * (upto(j + 1) - upto(j))).otherwise(0).cast("long")
+    full = upto(j) * F.col("block")
+    return F.when(F.col("n_blocks") > 0, full + (x - j * F.col("block")) * (upto(j + 1) - upto(j))).otherwise(0).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int = 8, shard_tokens: int = 1 << 20, seed: int = 17, **cols: str) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int | None = None, shard_tokens: int = 1 << 20, seed: int = 17, **cols: str) -> DataFrame:
     """What a mix takes of each row of docs: doc_id, source, size, source_size, target, taken.
 
     Nulls: a null text has size 0 and gives nothing; a null source is a source, the last one; a null id is kept. Repeated
@@ -129,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     text, so reruns agree. An empty table gives an empty result. Other columns are not read.
     """
     rows = placed(docs, weights, most, block, shard_tokens, seed, **cols)
-    taken = taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)
+    taken = taken_before(F.col("start") + F.col("size")) - taken_before(F.col("start"))
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -149,7 +154,7 @@ def copies(start: int, size: int, n: int, quota: int, phase: float, block: int)
     return found
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int = 8, shard_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block: int | None = None, shard_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each copy of a document, its text the spans taken.
 
     A copy that takes all blocks of a document keeps its text untouched; other spans are cut between words and joined by
@@ -159,7 +164,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     bounded_batches(docs.sparkSession)
     places = placed(docs, weights, most, block, shard_tokens, seed)
     same = Window.partitionBy("i", "h", "s").orderBy("i")  # repeated rows are numbered, and each meets one place
-    place = places.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("source").alias("s"), F.struct("start", "size", "n_blocks", "quota", "phase").alias("place"))
+    place = places.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("source").alias("s"), F.struct("start", "size", "n_blocks", "quota", "phase", "block").alias("place"))
     place = place.withColumn("n", F.row_number().over(same)).toDF("i_", "h_", "s_", "place", "n_")
     whole = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("source").cast("string").alias("s"))
     whole = whole.withColumn("n", F.row_number().over(same))
@@ -172,7 +177,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
             at, texts = [], []
             for n, (text, place) in enumerate(zip(b.column("text"), b.column("place"))):
                 text, p, ends = text.as_py(), place.as_py(), None
-                for spans in copies(p["start"], p["size"], p["n_blocks"], p["quota"], p["phase"], block):
+                for spans in copies(p["start"], p["size"], p["n_blocks"], p["quota"], p["phase"], p["block"]):
                     got = text
                     if spans != [(0, p["size"])]:
                         ends = ends or [m.span() for m in word.finditer(text)]

@@ -88,6 +88,18 @@ def test_mixed_documents_are_the_words_taken(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_texts_stay_in_long_stretches(spark):
+    rows = [(1000 * s + i, " ".join(f"{s}w{i}x{k}" for k in range(400)), "en", f"s{s}", 1) for s in range(3) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text = {r[0]: r[1] for r in rows}
+    made = M.mixed_documents(docs).collect()
+    for s, ratio in enumerate((0.5, 1.0, 1.5)):
+        mine = [r for r in made if r.source == f"s{s}"]
+        assert abs(sum(len(words(r.text)) for r in mine) / (300 * 400) - ratio) < 0.015
+        assert sum(r.text.count("\n") + 1 for r in mine) < 1.2 * len(mine)
+        assert sum(r.text == text[r.doc_id] for r in mine) > 0.6 * ratio * 300
+
+
 def test_copies_are_what_taken_before_counts():
     for size, start, n, quota in [(30, 0, 7, 11), (5, 12, 7, 20), (1, 27, 7, 3), (9, 20, 3, 9)]:
         spans = M.copies(start, size, n, quota, 0.37, 4)
