@@ -327,15 +327,19 @@ def alike(x: list[np.ndarray], y: list[np.ndarray], similar: float, wide: int =
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(fp, text) -> (fp, n, shingles)."""
+    """(fp, text) -> (fp, n, sketch, shingles): the sketch counts the shingles by their hashes' highest 6 bits."""
     bounded_batches(texts.sparkSession, rows=256)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "n", "shingles"])
+            sketch = [np.bincount((x.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int32) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketch, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))],
+                names=["fp", "n", "sketch", "shingles"],
+            )
 
-    return texts.select("fp", "text").mapInArrow(shingled, "fp long, n long, shingles array<long>")
+    return texts.select("fp", "text").mapInArrow(shingled, "fp long, n long, sketch array<int>, shingles array<long>")
 
 
 def within(u: np.ndarray, v: np.ndarray, radius: int | None) -> np.ndarray:
@@ -357,10 +361,14 @@ def pair_links(buckets: DataFrame, sets: DataFrame, similar: float, radius: int
                 keep.append(bool(is_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similar)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # what differs too much in size can't be similar
-    x, y = sets.toDF("u", "m", "x"), sets.toDF("v", "n", "y")
-    alike_sizes = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similar - 1e-9)
-    return pairs.join(x, "u").join(y, "v").where(alike_sizes).select("u", "v", "x", "y").mapInArrow(judged, "u long, v long")
+    # sets have no more in common than their sketches: most pairs end here, before whole sets are joined to them
+    x, y = sets.select("fp", "n", "sketch").toDF("u", "m", "x"), sets.select("fp", "n", "sketch").toDF("v", "n", "y")
+    most = F.expr("aggregate(zip_with(x, y, (a, b) -> least(a, b)), 0L, (t, a) -> t + a)")
+    hope = most >= (F.col("m") + F.col("n") - most) * F.lit(similar - 1e-9)
+    sizes = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similar - 1e-9)
+    pairs = stored(pairs.join(x, "u").join(y, "v").where(sizes).where(hope).select("u", "v"), "pairs")
+    x, y = sets.select("fp", "shingles").toDF("u", "x"), sets.select("fp", "shingles").toDF("v", "y")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(judged, "u long, v long")
 
 
 def cell_links(buckets: DataFrame, sets: DataFrame, similar: float, radius: int | None) -> DataFrame:
@@ -378,7 +386,7 @@ def cell_links(buckets: DataFrame, sets: DataFrame, similar: float, radius: int
     parts = F.ceil(F.greatest(F.sum("n") / CELL_SHINGLES, F.count("*") / CELL_TEXTS)).alias("parts")
     cells = stored(members.groupBy("key", "band").agg(parts), "cells")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
-    dealt = members.join(F.broadcast(cells), ["key", "band"]).select("key", "band", part, "fp").join(sets, "fp")
+    dealt = members.join(F.broadcast(cells), ["key", "band"]).select("key", "band", part, "fp").join(sets.select("fp", "shingles"), "fp")
     tiles = stored(dealt.groupBy("key", "band", "part").agg(F.collect_list(F.struct("fp", "shingles")).alias("sets")), "cell_sets")
     each = cells.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     other = each.toDF("key", "to_band", "to_part")
