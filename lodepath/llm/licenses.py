@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every passage of a file (its lines, and the whole of a file that is about as short as a template) is compared with every
-template. Only words of the templates can add to a product; how common they are is counted over all files. A file
+Every passage of a file (its lines, the runs of lines from each line on that are about as long as a template, and the whole of
+a file that is about as short as one) is compared with every template. Only words of the templates can add to a product; how common they are is counted over all files. A file
 without a licence of its own inherits from the nearest directory above it that holds a licence file.
 """
 
@@ -35,6 +35,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 ]
 LICENCE_FILE = re.compile(r"(?i)^(un)?(licen[cs]e|copying|notice)([-._].*)?$")
 
@@ -55,7 +58,8 @@ class Templates:
             np.add.at(tf[i], ids[s:e], 1.0)
         tf *= self.idf
         self.rows = tf / np.linalg.norm(tf, axis=1, keepdims=True)
-        self.longest = int(np.diff(at).max())
+        self.lengths = np.diff(at)
+        self.longest = int(self.lengths.max())
 
     def word_ids(self, words: pa.Array) -> np.ndarray:
         return pc.fill_null(pc.index_in(words, value_set=self.vocab), -1).to_numpy().astype(np.int64)
@@ -80,6 +84,26 @@ class Templates:
                 out[i] = (top, float(min(cos[top], 1.0)))
         return out
 
+    def runs(self, words: pa.Array, at: np.ndarray, files: np.ndarray, least: float) -> np.ndarray:
+        """Runs of two or more lines of a file that may reach the cosine: rows of (first line, past the last). at has the
+        words before each line, files the lines before each file. From each line on, the runs that end just before and just
+        after a template's length are tried. A bound that leaves out repeats of words parts most of them, for all at once."""
+        ids, lines = self.word_ids(words), np.arange(len(at) - 1)
+        lines = lines[np.diff(at) > 0]
+        last = files[np.searchsorted(files, lines, "right")]
+        weight = np.where(ids >= 0, self.idf[ids], self.rare)
+        square = np.concatenate([[0.0], np.cumsum(weight**2)])
+        found = []
+        for row, length in zip(self.rows, self.lengths):
+            part = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, weight * row[ids], 0.0))])
+            over = np.searchsorted(at, at[lines] + length)
+            for end in (over, over - 1):
+                end = np.minimum(end, last)
+                size = square[at[end]] - square[at[lines]]
+                may = (end > lines + 1) & (part[at[end]] - part[at[lines]] >= (least - 1e-9) * np.sqrt(np.maximum(size, 0)))
+                found.append(np.stack([lines[may], end[may]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
 
 def document_frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """Number of files, and of those that hold each word of the templates. One small row for each batch and word."""
@@ -122,10 +146,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
             offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
             words, at = split_words(parts.flatten())
             lines = t.best(words, at, least)
+            runs = t.runs(words, at, offsets, least)
+            best = [t.best(words.slice(at[s], at[e] - at[s]), np.array([0, at[e] - at[s]]), least)[0] for s, e in runs.tolist()]
+            of_file = np.searchsorted(runs[:, 0], offsets)
             # a file of several lines that is about as long as a template may be one, broken into lines
             name, sim, whole = [], [], []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                hits = [x for x in lines[s:e] if x]
+            for k, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                hits = [x for x in [*lines[s:e], *best[of_file[k] : of_file[k + 1]]] if x]
                 size = int(at[e] - at[s])
                 one = None
                 if e - s > 1 and 2 <= size <= 3 * t.longest:

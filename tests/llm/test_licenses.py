@@ -46,5 +46,26 @@ def test_headers_files_and_inheritance(spark):
     assert math.isclose(got[6].similarity, slow_cosine([r[2] for r in rows], f"# {apache}", apache), rel_tol=1e-9)
 
 
+def test_wrapped_headers_and_full_texts_are_found(spark):
+    import textwrap
+
+    code = "\n".join(f"def f{i}(x{i}): return g{i}(x{i}, {i})" for i in range(60))
+    wrap = lambda t, mark="": textwrap.fill(t, 60, initial_indent=mark, subsequent_indent=mark)
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    full = {n: t for n, t in L.TEMPLATES if len(t) > 400}
+    rows = [
+        (1, "a/x.py", wrap(gpl, "# ") + "\n" + code),
+        (2, "a/y.py", code + "\n" + wrap(full["Apache-2.0"], "// ") + "\n" + code),
+        (3, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(full["MIT"])),
+        (4, "m/sub/z.py", code),
+        (5, "b/COPYING", "Copyright 2021, Some One\n" + wrap(full["BSD-3-Clause"]) + "\n" + code),
+        (6, "c/plain.py", code),
+    ]
+    got = {r.file_id: r for r in L.scan(spark.createDataFrame(rows, FILES)).collect()}
+    assert {i: r.own_license for i, r in got.items()} == {1: "GPL-3.0", 2: "Apache-2.0", 3: "MIT", 4: None, 5: "BSD-3-Clause", 6: None}
+    assert (got[4].licence, got[4].inherited_from) == ("MIT", "m")
+    assert {i for i, r in got.items() if r.is_licence_file} == {3, 5}
+
+
 def test_no_rows(spark):
     assert L.scan(spark.createDataFrame([], FILES)).count() == 0
