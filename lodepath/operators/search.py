@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,17 +35,18 @@ def capped(path: Column, visited: Column, cap: Column) -> tuple[Column, Column]:
     return F.when(within, path).otherwise(F.array().cast("array<string>")), F.when(within, visited).otherwise(cap + 1)
 
 
-def bfs_ranks(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int = 1000) -> DataFrame:
+def bfs_ranks(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int | None = None) -> DataFrame:
     """(query_id, node, level, rank, parent): nodes in the order in which a queue would find them, the source first (rank 0).
 
     A level is one join. Nodes of a level rank by their first finder and that finder's edge order, as in a queue. Finished
     queries (target found, or more nodes found than the budget) leave the frontier. Levels are checkpointed.
+    All levels are searched unless max_levels is given.
     """
     start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent"))
     seen = _cut(start)
     frontier = seen.where("node <> target")
     adj = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "pos")
-    for level in range(1, max_levels + 1):
+    for level in count(1) if max_levels is None else range(1, max_levels + 1):
         found = frontier.join(adj, "node").groupBy("query_id", F.col("next").alias("node")).agg(
             F.min(F.struct("rank", "pos")).alias("by"), F.min_by("node", F.struct("rank", "pos")).alias("parent"), F.first("target").alias("target")
         )
@@ -62,7 +64,7 @@ def bfs_ranks(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: i
     return seen
 
 
-def bfs(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int = 1000) -> DataFrame:
+def bfs(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int | None = None) -> DataFrame:
     """Breadth-first search; the path follows first finders."""
     ranks = bfs_ranks(queries, edges, cap, max_levels)
     hit = ranks.where("node = target").select("query_id", "target", "level", F.col("rank").alias("target_rank"))
@@ -96,15 +98,16 @@ def reach(queries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def distances(queries: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def distances(queries: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(query_id, node, dist, parent): shortest costs from each source, by relaxation rounds. Costs must not be negative.
 
-    Only nodes whose cost fell in a round go on; a query's nodes that cost more than its target are not followed."""
+    Only nodes whose cost fell in a round go on; a query's nodes that cost more than its target are not followed.
+    Rounds go on until no cost falls, unless max_rounds is given: then only paths of so many edges count."""
     start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"))
     best = _cut(start)
     frontier = best
     adj = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cost")
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         goal = best.where("node = target").select("query_id", F.col("dist").alias("goal"))
         step = frontier.where("node <> target").join(adj, "node").select("query_id", "target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("node").alias("parent"))
         # nodes at the target's own cost still count as visited, so they stay

@@ -175,3 +175,14 @@ def test_diamond_star_and_single_edge(spark):
     got = {r.query_id: (r.path, r.visited) for r in S.astar(q, edges, vectors).collect()}
     assert got[1][0] in (["start", "left", "goal"], ["start", "right", "goal"]) and got[2] == (["goal"], 0) and got[3] == ([], 1) and got[4] == ([], 0)
     assert {r.query_id: (r.path, r.visited) for r in S.bfs(q, edges).collect()}[1] == (["start", "left", "goal"], 3)
+
+
+def test_searches_have_no_limit_of_levels_by_default(spark):
+    import inspect
+
+    for f, limit in ((S.bfs_ranks, "max_levels"), (S.bfs, "max_levels"), (S.distances, "max_rounds")):
+        assert inspect.signature(f).parameters[limit].default is None
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i, 1.0) for i in range(5)], "src string, dst string, pos long, cost double")
+    query = spark.createDataFrame([(1, "n0", "n5")], "query_id long, source string, target string")
+    assert S.bfs(query, edges).first().path == [f"n{i}" for i in range(6)]
+    assert S.distances(query, edges).where("node = target").first().dist == 5.0
