@@ -8,12 +8,13 @@ the whole sequence follows from the files' totals, of which there is one for eac
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,66 +32,88 @@ FORMAT = {
 }
 #: Words of Latin letters with ASCII marks after them: the library's own rules split them there, lower the letters and keep
 #: marks together (none is an apostrophe). All other words go to the library whole.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?%#$&*|]*)")
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)(?P<marks>[.,;:!?%#$&*|]*)$"
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of flat (of the given sizes, one after another) in a given order, and where each ends."""
+    first = np.cumsum(size) - size
+    lengths = size[order]
+    stop = np.cumsum(lengths)
+    return flat[np.repeat(first[order] - (stop - lengths), lengths) + np.arange(stop[-1] if len(stop) else 0)], stop
 
 
 class WordIds:
     """Ids of words between ASCII white spaces, from the tokenizers library; what it found for a word is kept.
 
-    The vocabulary ends its pieces at word ends and drops white space, so a text's ids are its words' ids in a row. At
-    most `most` pieces are kept; then the store starts anew. One of these lives as long as its Python worker.
+    The vocabulary ends its pieces at word ends and drops white space, so a text's ids are its words' ids in a row. Arrow
+    splits the texts and the words; Python sees each different piece of a batch once. The store has a young and an old
+    half of at most `most` pieces in all; when the young one is full it takes the old one's place. One of these lives as
+    long as its Python worker.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         #: Bytes as the printable characters that byte-level vocabularies write them with.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
     def piece(self, lower: str) -> bytes:
-        got = self.known.get(lower)
+        got = self.young.get(lower)
         if got is None:
-            text = lower if lower.isascii() else "".join(map(self.letters.__getitem__, lower.encode()))
-            got = np.array([t.id for t in self.model.tokenize(text)], np.int32).tobytes()
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[lower] = got
+            got = self.old.get(lower)
+            if got is None:
+                text = lower if lower.isascii() else "".join(map(self.letters.__getitem__, lower.encode()))
+                got = array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(self.young) >= self.most // 2:
+                self.old, self.young = self.young, {}
+            self.young[lower] = got
         return got
 
     def word(self, word: str) -> bytes:
-        plain = PLAIN.fullmatch(word)
-        if plain:
-            letters, marks = plain.groups()
-            return self.piece(letters.lower()) + self.piece(marks) if marks else self.piece(letters.lower())
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
+        return array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after another, and how many each has."""
+        parts = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        fits = parts.filter(pa.array(plain))
+        letters = pc.utf8_lower(fits.field("letters")).dictionary_encode()
+        marks = fits.field("marks").dictionary_encode()
+        other = words.filter(pa.array(~plain)).to_pylist()
+        known = [*map(self.piece, letters.dictionary.to_pylist()), *map(self.piece, marks.dictionary.to_pylist()), *map(self.word, other), b""]
+        size = np.array([len(x) >> 2 for x in known], np.int64)
+        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
+        # two segments for each word: its letters and its marks, or all of it and nothing
+        order = np.full((len(words), 2), len(known) - 1)
+        order[plain, 0] = letters.indices.to_numpy()
+        order[plain, 1] = marks.indices.to_numpy() + n_letters
+        order[~plain, 0] = np.arange(len(other)) + n_letters + n_marks
+        flat, _ = gathered(np.frombuffer(b"".join(known), np.int32), size, order.ravel())
+        return flat, size[order].sum(axis=1)
 
     def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: its ids with the end id, one after another, and how many they are."""
-        words, n_words = [], np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            # a surrogate can't be in Arrow text; bytes.split() splits at the six ASCII white spaces only
-            some = (t.as_py() or "").encode().split()
-            n_words[i] = len(some)
-            words += some
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        ids = [self.word(w.decode()) for w in coded.dictionary.to_pylist()] + [np.array([end_id], np.int32).tobytes()]
-        size = np.array([len(x) >> 2 for x in ids], np.int64)
-        flat, first = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(size)[:-1]])
-        ends = np.cumsum(n_words + 1)
-        order = np.full(int(ends[-1]) if len(ends) else 0, len(ids) - 1)  # an end id after each text's words
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # at the six ASCII white spaces; empty words have no ids
+        coded = lists.flatten().dictionary_encode()
+        flat, size = self.words(coded.dictionary)
+        flat, size = np.append(flat, np.int32(end_id)), np.append(size, 1)
+        ends = np.cumsum(np.diff(np.asarray(lists.offsets)) + 1)
+        order = np.full(int(ends[-1]), len(size) - 1)  # an end id after each text's words
         inside = np.ones(len(order), bool)
         inside[ends - 1] = False
         order[inside] = coded.indices.to_numpy()
-        lengths = size[order]
-        stop = np.cumsum(lengths)
-        out = flat[np.repeat(first[order] - (stop - lengths), lengths) + np.arange(stop[-1] if len(stop) else 0)]
-        return out, np.diff(np.concatenate([[0], stop[ends - 1]])) if len(ends) else np.empty(0, np.int64)
+        ids, stop = gathered(flat, size, order)
+        return ids, np.diff(stop[ends - 1], prepend=0)
 
 
 _words: dict[str, WordIds] = {}
