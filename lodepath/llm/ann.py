@@ -132,7 +132,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, probes: int = 400, b
     least = Window.partitionBy("v").orderBy("id")
     kept = good.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     reps = kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    bounded_batches(spark, rows=8192)
+    bounded_batches(spark)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = spread.value

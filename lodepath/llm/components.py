@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import stored
+from lodepath.llm.session import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,9 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     Hubs are pre-aggregated on the map side; nothing is collected but one count a round. No links: no rows.
     """
     pair = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    links = stored(pair.union(pair.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    names = links.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
+    # both directions from one evaluation of the links, which may be dear
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("w")
+    links = stored(pair.select(ways).select("w.u", "w.v").distinct(), "links")
+    names = stored(links.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")), "names")
     while not links.isEmpty():
+        old = links, names
         own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("to"))
         other = F.min(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("to")))
         step = stored(links.groupBy("u").agg(other.alias("o")).select("u", F.least(own, F.col("o"))["to"].alias("to")), "step")
@@ -32,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
             links.join(left, "u").join(right, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(),
             "links",
         )
+        discard(*old, step)
+    discard(links)
     return names

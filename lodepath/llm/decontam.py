@@ -136,7 +136,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: fl
     words can't be found. Repeated documents and items are reported each; a null id is kept. Empty tables: no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=1024)
+    bounded_batches(spark)
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     schema = "doc_id long, item_id long, item_words int, covered_words int, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>"
@@ -188,7 +188,7 @@ def in_texts(items: Items, texts: pa.Array) -> list[list]:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """docs without the contaminated rows, all columns kept; a row is judged by its own text."""
     spark = docs.sparkSession
-    bounded_batches(spark, rows=1024)
+    bounded_batches(spark)
     left = docs
     for some in blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast(Items(some, least))

@@ -107,7 +107,7 @@ class Templates:
 
 def document_frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """Number of files, and of those that hold each word of the templates. One small row for each batch and word."""
-    bounded_batches(files.sparkSession, rows=1024)
+    bounded_batches(files.sparkSession)
     plain = Templates(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     """
     spark = files.sparkSession
     n, df = document_frequencies(files, templates)
-    bounded_batches(spark, rows=1024)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Templates(templates, n, df))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: NbSvm | None) -> DataFrame:
     is 0.5. Repeated rows are scored alike; other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=1024)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the cluster names none (tests), a local one."""
+    """The folder of spark.checkpoint.dir, or else the one that setCheckpointDir named. Without either there is no folder that
+    all executors see, and this raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodepath-"))
-        root = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
     return root
 
 
@@ -33,13 +32,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs a read only."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> None:
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that stored() wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: What an Arrow batch to Python holds at most: the same for every operator, so it doesn't matter which one set it last.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches to Python are bounded in rows and bytes, so that a run of long texts doesn't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
 
 
 def held_out(doc_id: str = "doc_id"):

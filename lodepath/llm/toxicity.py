@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Cnn | None, keep: bool = False) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=1024)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     first = F.struct("*").alias("row_") if keep else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(first, F.col("text").cast("string").alias("t_"), F.col("lang").cast("string").alias("l_"))

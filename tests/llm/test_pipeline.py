@@ -1,6 +1,7 @@
 import corpus_pipeline as C
 from docs import SCHEMA, awkward
 from lodepath.llm.session import stored
+from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -69,6 +70,17 @@ def test_all_near_copies_go(spark):
     assert left == set(want.values()) and 90 < len(left) < 150
 
 
+def test_near_copies_with_clashing_ids_and_columns(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "another text " * 20, "en", "s", 1), (1, body, "en", "s", 1), (2, body + " tail", "en", "s", 1), (2, "third text of id two", "en", "s", 1), (2, "third text of id two", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("keep_", "row_", "i_", "h_", "h", "c", "root", "text_"):
+        docs = docs.withColumn(c, F.lit(c))
+    left = C.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:5], r.keep_) for r in left.collect()) == [(1, "anoth", "keep_"), (1, body[:5], "keep_"), (2, "third", "keep_")]
+
+
 def test_guard_of_the_entry():
     import __spark_entry__ as e
 

@@ -93,12 +93,6 @@ def test_spanning_links_are_links_and_connect_the_same():
     u, v = S.spanning(fps, x, y)
     assert (np.bitwise_count(fps[u] ^ fps[v]) <= 1).all() and len(u) < len(fps)
     assert np.array_equal(S.roots_of(len(fps), u, v), S.roots_of(len(fps), x, y))
-    apart = x != y
-    x, y = x[apart], y[apart]
-    near = set(S.closest_links(fps, x, y, 2).tolist())
-    for i in range(len(fps)):
-        mine = np.flatnonzero((x == i) | (y == i))
-        assert len(mine) == 0 or len(near & set(mine.tolist())) >= min(2, len(mine))
 
 
 def test_similarity_is_checked_on_the_texts(spark):
@@ -152,7 +146,6 @@ def test_every_candidate_of_a_family_is_decided(spark, monkeypatch):
     got = S.near_components(docs, radius=64, similar=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
     monkeypatch.setattr(S, "CELL_TEXTS", 50)
-    monkeypatch.setattr(S, "FEW", 3)
     got = S.near_components(docs, radius=64, similar=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
@@ -163,3 +156,48 @@ def test_matrix_of_similar_sets_matches_brute_force():
     slow = lambda a, b: len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b)) and len(set(a) & set(b)) > 0
     for x, y in ((sets, sets), (sets[:9], sets[5:])):
         assert S.alike(x, y, 0.5, wide=5).tolist() == [[slow(a, b) for b in y] for a in x]
+
+
+def test_sketches_keep_similar_pairs_and_candidates_connect_them():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = []
+    for n in (1, 3, 5, 8, 20, 60, 100, 150, 300, 700, 2500):
+        base = [f"g{n}w{rng.randrange(10**7)}" for _ in range(n)]
+        for k in range(5):
+            w = list(base)
+            for i in rng.sample(range(n), n * k // 150):
+                w[i] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    sets = S.shingled(pa.array([*texts, " \n", None, "Ab  c\td"]), 5)
+    assert [len(x) for x in sets[-3:]] == [0, 0, 1] and len(S.shingled(pa.array(["aB c D "]), 5)[0]) == 1
+    assert S.shingled(pa.array(["aB c D "]), 5)[0] == S.shingled(pa.array([" Ab\nC d"]), 5)[0] and all((np.diff(x) > 0).all() for x in sets)
+    slow = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t.lower()) for t in texts)]
+    assert [len(x) for x in sets[:-3]] == [len(x) for x in slow]
+    made = np.array([S.sketch(x) for x in sets[:-3]], np.uint64).view(np.int64)
+    rows = dict(zip(S.SKETCH, made.T)) | {"n": np.array([len(x) for x in slow])}
+    _, one = np.unique(rows["c"], return_index=True)
+    rows = {k: x[one] for k, x in rows.items()}
+    slow = [slow[i] for i in one]
+    want = [(i, j) for i in range(len(slow)) for j in range(i) if len(slow[i] & slow[j]) >= 0.8 * len(slow[i] | slow[j])]
+    assert len(want) > 20
+    half = {k: x[::2] for k, x in rows.items()}, {k: x[1::2] for k, x in rows.items()}
+    for parts in ([(rows, None)], [(half[0], None), (half[1], None), half]):
+        links = [S.candidates(*p, 20, 0.8, rows=3, columns=7, hold=4) for p in parts]
+        at = {c: i for i, c in enumerate(rows["c"].tolist())}
+        u, v = (np.array([at[c] for some in links for c in some[k].tolist()], int) for k in (0, 1))
+        label = S.roots_of(len(slow), u, v)
+        assert all(label[i] == label[j] for i, j in want) and len(set(label.tolist())) > 6
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    """Rows (1, B) and (2, B') are similar; a row (1, A) changes nothing for them."""
+    rng = random.Random(5)
+    a, b = ([f"{g}{rng.randrange(10**6)}" for _ in range(120)] for g in "ab")
+    near = [*b[:60], "new", *b[61:]]
+    rows = [(1, " ".join(a), "en", "s", 1), (1, " ".join(b), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (None, " ".join(near[:-1]), "en", "s", 1)]
+    got = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.8, radius=20)
+    assert sorted(((r.doc_id or 0, r.component_id) for r in got.collect())) == [(0, 1), (1, 1), (1, 1), (2, 1)]
+    left = S.least_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {1}
