@@ -17,13 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays; of repeated rows of it, one. Near copies have equal
-    SimHashes, or texts that are alike, at whatever distance: a similarity of 0.8 or more on shingles of five words. Documents without
-    an id have no near copies; those of equal texts count as repeated rows, as do rows of one id and text."""
-    groups = simhash.near_components(docs, radius=None, similar=0.8, shingle=5)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep_")).distinct()
-    named = docs.join(keep, F.col("doc_id").cast("long") == F.col("keep_"), "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+    """Of each group of near copies the document of the least id stays: those of a similarity of 0.8 or more on sets of five-word
+    shingles, and what they connect. Documents without an id count after all others.
+
+    Null and empty texts have no words and are copies of each other. Rows of one id and one text are one document, of one id and
+    different texts different ones. Long texts are compared whole. No rows: none. Other columns, whatever their names, are kept.
+    """
+    keep = simhash.least_documents(docs)
+    row = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("i_"), F.xxhash64(F.col("text").cast("string")).alias("h_"))
+    left = row.join(keep, F.col("i_").eqNullSafe(F.col("doc_id")) & (F.col("h_") == F.col("h")), "left_semi").dropDuplicates(["i_", "h_"])
+    return left.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
