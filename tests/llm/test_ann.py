@@ -28,7 +28,7 @@ def rows():
 def test_recall_and_exact_scores(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("q", F.lit("clash")).withColumn("keys", F.lit(1))
     got = {}
-    for r in ann.nearest(df, every=20, block=9).collect():
+    for r in ann.nearest(df, every=20, piece=100, queries=9).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
     want = slow(rows, 20)
     assert set(got) == set(want)
@@ -68,3 +68,22 @@ def test_perturbations_come_in_order_and_are_valid():
     got = list(ann.perturbations(cost[order], order % 4))
     sums = [cost[order][list(s)].sum() for s in got]
     assert np.allclose(sums, sorted(sums)) and len(got) == len(set(got)) == 3**4 - 1
+
+
+def test_clustered_vectors_are_offered_few_rows(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(60, 32))
+    rows = [(i, (centre[i % 60] + rng.normal(size=32) * 0.05).tolist()) for i in range(3000)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), piece=500).collect()
+    want = slow(rows, 100)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r)
+    assert set(found) == set(want)
+    hits = sum(len({i for _, i in want[q]} & {r.vec_id for r in mine}) for q, mine in found.items())
+    share = np.mean([mine[0].offered / len(rows) for mine in found.values()])
+    assert hits / (10 * len(want)) >= 0.9 and share < 0.1, (hits, share)
+    # a hot bucket is salted: all rows in one part, dealt to pieces, give the same
+    again = ann.nearest(spark.createDataFrame(rows, SCHEMA), piece=10**6, probes=ann.MOST_PROBES).select("query_id", "rank", "vec_id")
+    salted = ann.nearest(spark.createDataFrame(rows, SCHEMA), piece=40, probes=ann.MOST_PROBES).select("query_id", "rank", "vec_id")
+    assert again.exceptAll(salted).isEmpty() and salted.exceptAll(again).isEmpty()
