@@ -3,7 +3,12 @@
 Prefix sums of turn tokens cut a conversation into cells of a stride; the turns inside a cell make one window and a turn
 that crosses a cell's end makes a window of its own, so that no window takes more new tokens than the stride unless a
 single turn does. Every window starts with the system turn and repeats the turns just before it as far as the history
-budget goes; both are masked wherever they are repeated, so each assistant text is under the loss exactly once.
+budget goes, however many windows back; both are masked wherever they are repeated, so each assistant text is under the
+loss exactly once.
+
+No step holds a conversation: rows are dealt by ranges of conversation, turn and text, sums and numbers are taken within
+a range and then moved by the totals of the ranges before, and a turn finds the windows that repeat it by joining their
+starts in steps of the history budget.
 """
 
 from __future__ import annotations
@@ -35,65 +40,84 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def after(rows: DataFrame, parts: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with running sums before each row of its conversation: sums has new column -> column. `parts` numbers ascending parts of
+    a conversation, of which each fits a task; the totals of a conversation's parts are few."""
+    inside = Window.partitionBy("conv_id", parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy(parts).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("conv_id", parts).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = totals.select(F.col("conv_id").alias("c_"), F.col(parts).alias("p_"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n + "_") for n in sums])
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    met = rows.join(totals, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col(parts) == F.col("p_")))
+    return met.withColumns({n: F.col(n) + F.col(n + "_") for n in sums}).drop("c_", "p_", *[n + "_" for n in sums])
+
+
 def windows(turns: DataFrame, budget: int = 512, history: int = 128, system_role: str = "system", loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, text) -> one row for each window: conv_id, window (from 0), n_context (turns at its start that
     are repeated), n_turns (new ones), n_tokens, formatted, loss_spans (start and length in code points of formatted).
 
     Rows go by turn (null first), then role and text, so ties and repeated rows have an order. Null roles and texts are
-    empty; a null conv_id is a conversation like others. History is at most the turns of the two windows before, within
-    the history budget. A turn longer than the stride is whole in a window of its own, which then exceeds the budget; a
-    system turn that leaves less than an eighth of the budget makes its windows exceed it too. No rows: no windows.
+    empty; a null conv_id is a conversation like others. History is all turns before a window that end within the history budget.
+    A turn longer than the stride is whole in a window of its own, which then exceeds the budget; a system turn that
+    leaves less than an eighth of the budget makes its windows exceed it too: n_tokens says so. Very long turns are kept
+    whole. No rows: no windows. Other columns are not read.
     """
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    whole = Window.partitionBy("conv_id")
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS)
-    rows = rows.withColumn("pos", F.row_number().over(by))
-    by = Window.partitionBy("conv_id").orderBy("pos")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == system_role))
-    rows = rows.withColumn("system_tokens", F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole))
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.when(~F.col("is_system"), F.col("tokens")).otherwise(0)).over(before), F.lit(0)))
+    ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).cast("long"))
+    # ranges go by the first characters of a text; rows that are alike in those stay together and are sorted by all of it
+    order = ["turn", "role", "text"]
+    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).withColumn("part", F.spark_partition_id().cast("long"))
+    rows = stored(rows, "turns")
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("part", *order)).alias("f"))
+    system = first.where(F.col("f.role") == system_role).select(F.col("conv_id").alias("c_"), F.col("f").alias("system"))
+    rows = after(rows.withColumn("one", F.lit(1).cast("long")), "part", order, {"pos": "one", "all_tokens": "tokens"}).drop("one")
+    rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("c_")), "left").drop("c_")
+    has_system = F.col("system").isNotNull()
+    rows = rows.withColumn("is_system", has_system & (F.col("pos") == 0))
+    system_tokens = F.when(has_system, F.regexp_count("system.text", F.lit(WORD)) + TURN_TOKENS).otherwise(0).cast("long")
+    rows = rows.withColumn("system_tokens", system_tokens).drop("system")
+    rows = rows.withColumn("at", F.greatest(F.col("all_tokens") - F.col("system_tokens"), F.lit(0))).drop("all_tokens")
     rows = rows.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(max(1, budget // 8))))
     cell = F.floor(F.col("at") / F.col("stride"))
     crosses = (F.col("at") + F.col("tokens") > (cell + 1) * F.col("stride")).cast("long")
-    rows = rows.withColumn("key", F.when(~F.col("is_system"), cell * 2 + crosses))
-    opens = F.coalesce(F.col("key") != F.lag("key").over(by), F.col("key").isNotNull())
-    rows = rows.withColumn("opens", opens)
-    rows = rows.withColumn("win", F.greatest(F.sum(F.col("opens").cast("long")).over(by) - 1, F.lit(0)))
-    after = Window.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next_at", F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(after))
-    rows = rows.withColumn("second_at", F.last(F.when(F.col("opens"), F.col("next_at")), ignorenulls=True).over(after))
-    rows = rows.withColumn("last_win", F.max("win").over(whole))
-
-    repeats = F.array_compact(
-        F.array(
-            F.col("win"),
-            F.when(F.col("next_at") - F.col("at") <= history, F.col("win") + 1),
-            F.when(F.col("second_at") - F.col("at") <= history, F.col("win") + 2),
-        )
-    )
-    target = F.when(F.col("is_system"), F.sequence(F.lit(0).cast("long"), F.col("last_win"))).otherwise(repeats)
+    rows = stored(rows.withColumn("key", F.when(~F.col("is_system"), cell * 2 + crosses)), "placed")
+
+    # windows are numbered by their keys; a conversation of a system turn alone has one window too
+    opens = rows.groupBy("conv_id", "key").agg(F.min("at").alias("opens_at"))
+    alone = rows.groupBy("conv_id").agg(F.count_if("is_system").alias("s"), F.count("*").alias("n")).where("s = n")
+    opens = opens.where("key IS NOT NULL").unionByName(alone.select("conv_id", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("opens_at")))
+    opens = opens.withColumn("part", F.floor(F.col("key") / 4096)).withColumn("one", F.lit(1).cast("long"))
+    opens = stored(after(opens, "part", ["key"], {"window": "one"}).select("conv_id", "key", "opens_at", "window"), "opens")
+    named = opens.toDF("c_", "k_", "opens_at", "window")
+    same = F.col("conv_id").eqNullSafe(F.col("c_"))
+
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    body = escape(F.col("text"))
-    pieces = rows.select("conv_id", "pos", "role", "tokens", "win", head.alias("head"), body.alias("body"), F.explode(target).alias("window"))
-    pieces = pieces.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
+    parts = ["conv_id", "pos", "role", "tokens", head.alias("head"), escape(F.col("text")).alias("body")]
+    new = rows.where("NOT is_system").join(named, same & (F.col("key") == F.col("k_"))).select(*parts, "window", F.lit(True).alias("new"))
+    # a window repeats the turns that start no more than the history budget before it: its start is in their step or the next
+    step = max(history, 1)
+    steps = F.explode(F.array(F.floor(F.col("at") / step), F.floor(F.col("at") / step) + 1)).alias("s")
+    back = rows.where("NOT is_system").select("*", steps)
+    starts = named.withColumn("s_", F.floor(F.col("opens_at") / step))
+    near = (F.col("opens_at") > F.col("at")) & (F.col("opens_at") - F.col("at") <= history)
+    old = back.join(starts, same & (F.col("s") == F.col("s_")) & near).select(*parts, "window", F.lit(False).alias("new"))
+    told = rows.where("is_system").join(named, same).select(*parts, "window", (F.col("window") == 0).alias("new"))
+    pieces = new.unionByName(old).unionByName(told).withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     in_window = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(in_window), F.lit(0)) + F.length("head"))
-    new = F.col("win") == F.col("window")
     span = F.struct(F.col("start").cast("int").alias("start"), F.length("body").alias("length"))
     return (
         pieces.groupBy("conv_id", "window")
         .agg(
-            F.count_if(~new).cast("int").alias("n_context"),
-            F.count_if(new).cast("int").alias("n_turns"),
+            F.count_if(~F.col("new")).cast("int").alias("n_context"),
+            F.count_if("new").cast("int").alias("n_turns"),
             F.sum("tokens").alias("n_tokens"),
             F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("pieces"),
-            F.array_sort(F.collect_list(F.when(new & (F.col("role") == loss_role), span))).alias("loss_spans"),
+            F.array_sort(F.collect_list(F.when(F.col("new") & (F.col("role") == loss_role), span))).alias("loss_spans"),
         )
         .select("conv_id", "window", "n_context", "n_turns", "n_tokens", F.array_join(F.col("pieces.piece"), "").alias("formatted"), "loss_spans")
     )
@@ -167,9 +191,9 @@ c AS (SELECT *, CASE WHEN NOT sys THEN floor(pre / stride)::BIGINT * 2 + (pre +
 o AS (SELECT *, coalesce(key <> lag(key) OVER (PARTITION BY conv_id ORDER BY pos), key IS NOT NULL) AS opens FROM c),
 w AS (SELECT *, greatest(sum(opens::INTEGER) OVER (PARTITION BY conv_id ORDER BY pos) - 1, 0)::BIGINT AS win FROM o),
 op AS (SELECT conv_id, win, pre FROM w WHERE opens),
-n AS (SELECT w.*, CASE WHEN sys THEN max(w.win) OVER (PARTITION BY w.conv_id) + 1
-  ELSE 1 + coalesce((a.pre - w.pre <= 128)::INTEGER, 0) + coalesce((b.pre - w.pre <= 128)::INTEGER, 0) END AS times, max(w.win) OVER (PARTITION BY w.conv_id) + 1 AS windows
-  FROM w LEFT JOIN op a ON a.conv_id = w.conv_id AND a.win = w.win + 1 LEFT JOIN op b ON b.conv_id = w.conv_id AND b.win = w.win + 2)
+again AS (SELECT w.conv_id, w.pos, count(*) AS n FROM w JOIN op ON op.conv_id = w.conv_id AND op.pre > w.pre AND op.pre - w.pre <= 128 WHERE NOT sys GROUP BY ALL),
+n AS (SELECT w.*, CASE WHEN sys THEN max(w.win) OVER (PARTITION BY w.conv_id) + 1 ELSE 1 + coalesce(again.n, 0) END AS times, max(w.win) OVER (PARTITION BY w.conv_id) + 1 AS windows
+  FROM w LEFT JOIN again ON again.conv_id = w.conv_id AND again.pos = w.pos)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(length(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant')), 0) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,

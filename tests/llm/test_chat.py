@@ -83,3 +83,31 @@ def test_sql_agrees(spark):
     probe = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     got = chat.formatted_digest(spark.createDataFrame(rows + probe, SCHEMA))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(chat.SQL).fetchall())
+
+
+def test_history_fills_its_budget_however_many_windows_back(spark):
+    """Every window repeats exactly the turns before it that start within the history budget; a long conversation is cut alike."""
+    rng = random.Random(12)
+    rows = [(1, 0, "system", "s " * 40)] + [(c, t, rng.choice(["user", "assistant"]), f"{t} " * rng.randint(0, 9)) for c in (1, 2) for t in range(1, 400)]
+    budget, history = 64, 60
+    made = chat.windows(spark.createDataFrame(rows, SCHEMA), budget, history).withColumn("turns", chat.turns_of(F.col("formatted")))
+    by = {}
+    for r in made.orderBy("conv_id", "window").collect():
+        by.setdefault(r.conv_id, []).append(r)
+    far = 0
+    for c, got in by.items():
+        assert [r.window for r in got] == list(range(len(got)))
+        mine = [(r, t) for k, _, r, t in rows if k == c]
+        system = mine[0][0] == "system"
+        body = mine[system:]
+        sizes = [len(t.split()) + chat.TURN_TOKENS for _, t in body]
+        at, n = [sum(sizes[:i]) for i in range(len(body))], 0
+        for r in got:
+            fresh = r.n_turns - (1 if system and r.window == 0 else 0)
+            old = [i for i in range(n) if at[n] - at[i] <= history]
+            want = ([mine[0]] if system else []) + [body[i] for i in [*old, *range(n, n + fresh)]]
+            assert [tuple(t) for t in r.turns] == want
+            far = max(far, len(old))
+            n += fresh
+        assert n == len(body)
+    assert far > 8
