@@ -68,23 +68,21 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, system_role
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).cast("long"))
-    # ranges go by the first characters of a text; rows that are alike in those stay together and are sorted by all of it
-    order = ["turn", "role", "text"]
-    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).withColumn("part", F.spark_partition_id().cast("long"))
-    rows = stored(rows, "turns")
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("part", *order)).alias("f"))
-    system = first.where(F.col("f.role") == system_role).select(F.col("conv_id").alias("c_"), F.col("f").alias("system"))
-    rows = after(rows.withColumn("one", F.lit(1).cast("long")), "part", order, {"pos": "one", "all_tokens": "tokens"}).drop("one")
-    rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("c_")), "left").drop("c_")
-    has_system = F.col("system").isNotNull()
-    rows = rows.withColumn("is_system", has_system & (F.col("pos") == 0))
-    system_tokens = F.when(has_system, F.regexp_count("system.text", F.lit(WORD)) + TURN_TOKENS).otherwise(0).cast("long")
-    rows = rows.withColumn("system_tokens", system_tokens).drop("system")
-    rows = rows.withColumn("at", F.greatest(F.col("all_tokens") - F.col("system_tokens"), F.lit(0))).drop("all_tokens")
+    # ranges go by the first characters of a text; rows that are alike in those stay together and are sorted by all of it. What
+    # follows works on numbers only, and meets the texts again at the end
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    told = stored(dealt.withColumn("part", F.spark_partition_id().cast("long")).withColumn("pos", F.monotonically_increasing_id()), "turns")
+    rows = told.select("conv_id", "part", "pos", "tokens", (F.col("role") == system_role).alias("leads"))
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("pos", "leads", "tokens")).alias("f")).where("f.leads")
+    first = first.select(F.col("conv_id").alias("c_"), F.col("f.pos").alias("system_pos"), F.col("f.tokens").alias("system_tokens"))
+    rows = after(rows, "part", ["pos"], {"at": "tokens"}).join(first, F.col("conv_id").eqNullSafe(F.col("c_")), "left").drop("c_", "part")
+    rows = rows.withColumn("is_system", F.coalesce(F.col("pos") == F.col("system_pos"), F.lit(False)))
+    rows = rows.withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0).cast("long")))
+    rows = rows.withColumn("at", F.greatest(F.col("at") - F.col("system_tokens"), F.lit(0)))
     rows = rows.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(max(1, budget // 8))))
     cell = F.floor(F.col("at") / F.col("stride"))
     crosses = (F.col("at") + F.col("tokens") > (cell + 1) * F.col("stride")).cast("long")
-    rows = stored(rows.withColumn("key", F.when(~F.col("is_system"), cell * 2 + crosses)), "placed")
+    rows = stored(rows.select("conv_id", "pos", "at", "is_system", F.when(~F.col("is_system"), cell * 2 + crosses).alias("key")), "placed")
 
     # windows are numbered by their keys; a conversation of a system turn alone has one window too
     opens = rows.groupBy("conv_id", "key").agg(F.min("at").alias("opens_at"))
@@ -95,18 +93,18 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, system_role
     named = opens.toDF("c_", "k_", "opens_at", "window")
     same = F.col("conv_id").eqNullSafe(F.col("c_"))
 
-    head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    parts = ["conv_id", "pos", "role", "tokens", head.alias("head"), escape(F.col("text")).alias("body")]
-    new = rows.where("NOT is_system").join(named, same & (F.col("key") == F.col("k_"))).select(*parts, "window", F.lit(True).alias("new"))
+    new = rows.where("NOT is_system").join(named, same & (F.col("key") == F.col("k_"))).select("pos", "window", F.lit(True).alias("new"))
     # a window repeats the turns that start no more than the history budget before it: its start is in their step or the next
     step = max(history, 1)
     steps = F.explode(F.array(F.floor(F.col("at") / step), F.floor(F.col("at") / step) + 1)).alias("s")
     back = rows.where("NOT is_system").select("*", steps)
     starts = named.withColumn("s_", F.floor(F.col("opens_at") / step))
     near = (F.col("opens_at") > F.col("at")) & (F.col("opens_at") - F.col("at") <= history)
-    old = back.join(starts, same & (F.col("s") == F.col("s_")) & near).select(*parts, "window", F.lit(False).alias("new"))
-    told = rows.where("is_system").join(named, same).select(*parts, "window", (F.col("window") == 0).alias("new"))
-    pieces = new.unionByName(old).unionByName(told).withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
+    old = back.join(starts, same & (F.col("s") == F.col("s_")) & near).select("pos", "window", F.lit(False).alias("new"))
+    system = rows.where("is_system").join(named, same).select("pos", "window", (F.col("window") == 0).alias("new"))
+    head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head")
+    texts = told.select("conv_id", "pos", "role", "tokens", head, escape(F.col("text")).alias("body"))
+    pieces = texts.join(new.unionByName(old).unionByName(system), "pos").withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     in_window = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(in_window), F.lit(0)) + F.length("head"))
     span = F.struct(F.col("start").cast("int").alias("start"), F.length("body").alias("length"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or else the one that setCheckpointDir named. Without either there is no folder that
-    all executors see, and this raises."""
+    """The folder of spark.checkpoint.dir, or else the one that setCheckpointDir named. Without either a session on one machine
+    (master local) gets a folder of its own; on a cluster no folder of the driver's is seen by the executors, and this raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodepath-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
