@@ -14,17 +14,17 @@ from pyspark.sql import types as T
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 STRIP = rf"^{SPACE}+|{SPACE}+$"
 
-#: How an infobox or list heading is said as a sentence ({0} cause, {1} effect).
+#: How an infobox or list heading is said as a sentence (%1$s cause, %2$s effect).
 CONNECTION_SENTENCES = {
-    "causes": "{0} causes {1}",
-    "Cause": "{0} can cause {1}",
-    "cause": "{0} can cause {1}",
-    "risks": "{0} risks {1}",
-    "symptoms": "{1} is a symptom of {0}",
-    "Symptoms": "{1} is a symptom of {0}",
-    "Signs and symptoms": "{1} is a sign or symptom of {0}",
-    "Causes": "{0} causes {1}",
-    "Risk factor": "{0} is a risk factor for {1}",
+    "causes": "%1$s causes %2$s",
+    "Cause": "%1$s can cause %2$s",
+    "cause": "%1$s can cause %2$s",
+    "risks": "%1$s risks %2$s",
+    "symptoms": "%2$s is a symptom of %1$s",
+    "Symptoms": "%2$s is a symptom of %1$s",
+    "Signs and symptoms": "%2$s is a sign or symptom of %1$s",
+    "Causes": "%1$s causes %2$s",
+    "Risk factor": "%1$s is a risk factor for %2$s",
 }
 #: Labels of the question tables.
 TRUE_LABELS = ("causal", "true", "yes", "1")
@@ -92,25 +92,12 @@ def row_id(given: Column, row: Column) -> Column:
 
 def connection_sentence(connection: Column, cause: Column, effect: Column) -> Column:
     """The sentence of a heading; "X can cause Y" for any other."""
-    out = None
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, form in CONNECTION_SENTENCES.items():
-        parts = [{"{0}": cause, "{1}": effect}.get(p) if p in ("{0}", "{1}") else F.lit(p) for p in _pieces(form)]
-        out = (F if out is None else out).when(connection == name, F.concat(*parts))
+        out = out.when(connection == name, F.format_string(form, cause, effect))
     return out.otherwise(F.concat(cause, F.lit(" can cause "), effect))
 
 
-def _pieces(form: str) -> list[str]:
-    out, rest = [], form
-    while rest:
-        at = min((i for i in (rest.find("{0}"), rest.find("{1}")) if i >= 0), default=len(rest))
-        if at:
-            out.append(rest[:at])
-        if at < len(rest):
-            out.append(rest[at : at + 3])
-        rest = rest[at + 3 :]
-    return out
-
-
 def source_sentence(sources: Column, cause: Column, effect: Column) -> Column:
     """The first sentence of a web or encyclopedia source; else a sentence from the last source's heading."""
     kinds = ("clueweb12_sentence", "wikipedia_sentence")

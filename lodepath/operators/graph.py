@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodepath.functions import text as X
+from lodepath.plans.session import checkpointed as _cut
 
 
 def dedup_edges(edges: DataFrame, attributes: list[str], inverse: bool = False) -> DataFrame:
@@ -113,7 +115,7 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, depth: int, limit: int)
         near = both.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         fresh = near.join(picked, "node", "left_anti").join(deg, "node")
         fresh = fresh.orderBy(F.desc("degree"), F.desc("out_degree"), F.desc("in_degree"), F.desc("node")).limit(limit - size)
-        frontier = fresh.select("node", F.lit(k).alias("round")).persist()
+        frontier = _cut(fresh.select("node", F.lit(k).alias("round")))
         size += frontier.count()
         picked = picked.unionByName(frontier)
     return picked
@@ -134,34 +136,41 @@ def result_neighbourhood(edges: DataFrame, path: list[str], source: str, target:
 
 
 def spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source, target, step): undirected breadth-first trees over selected nodes (at most some hundreds), roots and
-    neighbours by degree in the whole graph. The selection is a bounded preview, so one task holds it."""
-    deg = degrees(edges)
-    inside = induced(edges, nodes).select("cause", "effect").distinct()
-    rank = deg.join(nodes, "node", "left_semi")
-
-    def grow(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = {r.node: (r.degree, r.out_degree, r.in_degree, r.node) for r in right.itertuples()}
-        near: dict[str, list[tuple[str, str, str]]] = {n: [] for n in order}
-        for e in left.itertuples():
-            near[e.cause].append((e.cause, e.effect, e.effect))
-            near[e.effect].append((e.cause, e.effect, e.cause))
-        seen, made = set(), []
-        for root in sorted(order, key=lambda n: (order[n][0], n), reverse=True):
-            if root in seen:
-                continue
-            seen.add(root)
-            line = [root]
-            for node in line:
-                for a, b, n in sorted(near[node], key=lambda x: order[x[2]], reverse=True):
-                    if n not in seen:
-                        seen.add(n)
-                        line.append(n)
-                        made.append((a, b, len(made)))
-        return pd.DataFrame(made, columns=["source", "target", "step"])
-
-    one = F.lit(1).alias("g_")
-    return inside.withColumn("g_", one).groupBy("g_").cogroup(rank.withColumn("g_", one).groupBy("g_")).applyInPandas(grow, "source string, target string, step int")
+    """(source, target, tree, level, step): undirected breadth-first trees over selected nodes, with the edges that reach a node
+    first. A tree's root is its node of the greatest (degree, name); nodes of a level go by their finder's place, then by
+    degree, out-degree, in-degree and name, greatest first; step numbers the edges by tree, level and that order.
+
+    Roots are found by passing the greatest key along links until nothing changes, and all trees then grow by a level a
+    round; both are joins and aggregations, so the selection may be of any size. An edge both ways counts as its lesser one.
+    """
+    deg = degrees(edges).join(nodes.select("node").distinct(), "node", "left_semi")
+    rank = _cut(deg.select("node", F.struct("degree", "node").alias("root"), F.struct("degree", "out_degree", "in_degree", "node").alias("key")))
+    inside = induced(edges, nodes).where("cause <> effect").select("cause", "effect").distinct()
+    ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.struct("cause", "effect").alias("edge")) for a, b in (("cause", "effect"), ("effect", "cause"))]
+    links = _cut(inside.select(F.explode(F.array(*ends)).alias("l")).groupBy("l.a", "l.b").agg(F.min("l.edge").alias("edge")))
+    roots = rank.select("node", "root")
+    while True:
+        heard = links.join(roots.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.max("root").alias("heard"))
+        told = _cut(roots.join(heard, "node", "left").select("node", F.greatest("root", F.coalesce("heard", "root")).alias("root"), (F.col("heard") > F.col("root")).alias("moved")))
+        roots = told.select("node", "root")
+        if told.where("moved").isEmpty():
+            break
+    known = _cut(roots.join(rank.select("node", "key"), "node"))
+    seen = _cut(known.where("root.node = node").select("node", "root", F.lit(0).alias("level"), F.lit(0).alias("place"), F.lit(None).cast(links.schema["edge"].dataType).alias("edge")))
+    frontier = seen
+    for level in count(1):
+        reached = frontier.join(links.withColumnRenamed("edge", "by"), frontier.node == links.a).select(F.col("b").alias("node"), "place", "by")
+        found = reached.groupBy("node").agg(F.min_by(F.struct("place", "by"), "place").alias("f")).join(seen.select("node"), "node", "left_anti").join(known, "node")
+        order = Window.partitionBy("root").orderBy("f.place", F.desc("key"))
+        frontier = _cut(found.select("node", "root", F.lit(level).alias("level"), F.row_number().over(order).alias("place"), F.col("f.by").alias("edge")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    trees = Window.orderBy(F.desc("root"))
+    numbered = known.select("root").distinct().withColumn("tree", F.row_number().over(trees))
+    made = seen.where("level > 0").join(numbered, "root")
+    step = F.row_number().over(Window.orderBy("tree", "level", "place")) - 1
+    return made.select("edge.cause", "edge.effect", "tree", "level", step.alias("step")).toDF("source", "target", "tree", "level", "step")
 
 
 def visual_links(edges: DataFrame, nodes: DataFrame, path: list[str], limit: int) -> DataFrame:
@@ -170,7 +179,7 @@ def visual_links(edges: DataFrame, nodes: DataFrame, path: list[str], limit: int
     spark = edges.sparkSession
     steps = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip(path, path[1:]))], "source string, target string, step int")
     rest = induced(edges, nodes).select(F.col("cause").alias("source"), F.col("effect").alias("target"), F.row_number().over(Window.orderBy("cause", "pos")).cast("int").alias("step"))
-    all_ = steps.withColumn("stage", F.lit(0)).unionByName(spanning_forest(edges, nodes).withColumn("stage", F.lit(1))).unionByName(rest.withColumn("stage", F.lit(2)))
+    all_ = steps.withColumn("stage", F.lit(0)).unionByName(spanning_forest(edges, nodes).select("source", "target", "step").withColumn("stage", F.lit(1))).unionByName(rest.withColumn("stage", F.lit(2)))
     first = all_.groupBy("source", "target").agg(F.min(F.struct("stage", "step")).alias("f")).select("source", "target", "f.stage", "f.step")
     ranked = first.withColumn("r", F.row_number().over(Window.orderBy("stage", "step")))
     return ranked.where((F.col("stage") < 2) | (F.col("r") <= limit)).select("source", "target", "stage", (F.col("stage") == 0).alias("is_path"))

@@ -36,53 +36,44 @@ def capped(path: Column, visited: Column, cap: Column) -> tuple[Column, Column]:
 
 
 def bfs_ranks(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int | None = None) -> DataFrame:
-    """(query_id, node, level, rank, parent): nodes in the order in which a queue would find them, the source first (rank 0).
+    """(query_id, target, node, level, rank, path): nodes in the order in which a queue would find them, the source first (rank 0),
+    each with the path of first finders that leads to it.
 
-    A level is one join. Nodes of a level rank by their first finder and that finder's edge order, as in a queue. Finished
-    queries (target found, or more nodes found than the budget) leave the frontier. Levels are checkpointed.
-    All levels are searched unless max_levels is given.
+    A level is one join with the edges and one anti-join with what has been found. Nodes of a level rank by their first finder
+    and that finder's edge order, as in a queue. Finished queries (target found, or more nodes found than the budget) leave
+    the frontier. Only a level's own rows are written at its checkpoint, and they carry the query's count and the path, so
+    nothing is counted or rebuilt later. All levels are searched; with max_levels, a search that would go deeper raises.
     """
-    start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent"))
-    seen = _cut(start)
-    frontier = seen.where("node <> target")
+    start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), F.array("source").alias("path"))
+    levels = [_cut(start)]
+    # n: how many nodes a query has found
+    frontier = levels[0].where("node <> target").withColumn("n", F.lit(1).cast("long"))
     adj = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "pos")
-    for level in count(1) if max_levels is None else range(1, max_levels + 1):
-        found = frontier.join(adj, "node").groupBy("query_id", F.col("next").alias("node")).agg(
-            F.min(F.struct("rank", "pos")).alias("by"), F.min_by("node", F.struct("rank", "pos")).alias("parent"), F.first("target").alias("target")
+    for level in count(1):
+        by = F.struct("rank", "pos")
+        found = frontier.join(adj, "node").groupBy("query_id", F.col("next").alias("node")).agg(F.min(by).alias("by"), F.min_by("path", by).alias("path"), F.first("target").alias("target"), F.first("n").alias("n"))
+        seen = reduce(DataFrame.unionByName, [x.select("query_id", "node") for x in levels])
+        mine = Window.partitionBy("query_id")
+        fresh = found.join(seen, ["query_id", "node"], "left_anti").select(
+            "query_id", "target", "node", "n", "path", F.row_number().over(mine.orderBy("by")).alias("r"), F.count("*").over(mine).alias("more"), F.max(F.col("node") == F.col("target")).over(mine).alias("hit")
         )
-        fresh = found.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        sizes = seen.groupBy("query_id").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("query_id").orderBy("by")
-        fresh = fresh.join(sizes, "query_id").select("query_id", "target", "node", F.lit(level).alias("level"), (F.col("n") + F.row_number().over(order) - 1).alias("rank"), "parent")
-        fresh = _cut(fresh)
+        rank, path = (F.col("n") + F.col("r") - 1).alias("rank"), F.concat("path", F.array("node")).alias("path")
+        fresh = _cut(fresh.select("query_id", "target", "node", F.lit(level).alias("level"), rank, path, (F.col("n") + F.col("more")).alias("n"), "hit"))
         if fresh.isEmpty():
             break
-        seen = _cut(seen.unionByName(fresh))
-        over = fresh.groupBy("query_id").agg(F.bool_or(F.col("node") == F.col("target")).alias("hit"), F.max("rank").alias("most"))
-        done = over.where(F.col("hit") | (F.lit(cap) != -1) & (F.col("most") > cap))
-        frontier = fresh.join(done.select("query_id"), "query_id", "left_anti")
-    return seen
+        if max_levels is not None and level > max_levels:
+            raise ValueError(f"the search goes beyond {max_levels} levels")
+        levels.append(fresh.drop("n", "hit"))
+        frontier = fresh.where(~F.col("hit") & (F.lit(cap == -1) | (F.col("n") - 1 <= cap))).drop("hit")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def bfs(queries: DataFrame, edges: DataFrame, cap: int = -1, max_levels: int | None = None) -> DataFrame:
     """Breadth-first search; the path follows first finders."""
-    ranks = bfs_ranks(queries, edges, cap, max_levels)
-    hit = ranks.where("node = target").select("query_id", "target", "level", F.col("rank").alias("target_rank"))
-    most = ranks.groupBy("query_id").agg(F.count("*").alias("n"))
-    paths = hit.select("query_id", "level", F.array("target").alias("path"))
-    done = paths.where("level = 0")
-    going = paths.where("level > 0")
-    deepest = hit.agg(F.max("level")).first()[0] or 0
-    back = ranks.select("query_id", F.col("node").alias("at_"), "parent")
-    for level in range(1, deepest + 1):
-        going = going.join(back, (going.query_id == back.query_id) & (F.element_at(going.path, 1) == back.at_)).select(going.query_id, "level", F.concat(F.array("parent"), "path").alias("path"))
-        going = _cut(going)
-        done = done.unionByName(going.where(F.col("level") == level))
-        going = going.where(F.col("level") > level)
-    known = most.join(hit.select("query_id", "target_rank"), "query_id", "left").join(done.select("query_id", F.col("path").alias("p")), "query_id", "left")
-    free = F.when(F.col("target_rank").isNotNull(), F.col("target_rank")).otherwise(F.col("n"))
-    known = queries.select("query_id").join(known, "query_id", "left")  # queries outside the graph visit nothing
-    path, visited = capped(F.coalesce("p", F.array().cast("array<string>")), F.coalesce(free, F.lit(0)), F.lit(cap))
+    hit = F.max(F.when(F.col("node") == F.col("target"), F.struct("rank", "path")))
+    found = bfs_ranks(queries, edges, cap, max_levels).groupBy("query_id").agg(F.count("*").alias("n"), hit.alias("hit"))
+    known = queries.select("query_id").join(found, "query_id", "left")  # queries outside the graph visit nothing
+    path, visited = capped(F.coalesce("hit.path", F.array().cast("array<string>")), F.coalesce("hit.rank", F.col("n"), F.lit(0)), F.lit(cap))
     return known.select("query_id", path.alias("path"), visited.cast("long").alias("visited"))
 
 
@@ -102,7 +93,8 @@ def distances(queries: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     """(query_id, node, dist, parent): shortest costs from each source, by relaxation rounds. Costs must not be negative.
 
     Only nodes whose cost fell in a round go on; a query's nodes that cost more than its target are not followed.
-    Rounds go on until no cost falls, unless max_rounds is given: then only paths of so many edges count."""
+    Rounds go on until no cost falls, unless max_rounds is given: then only paths of so many edges count (a bound on the paths
+    that are asked for, not on the work)."""
     start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"))
     best = _cut(start)
     frontier = best
@@ -280,6 +272,11 @@ def budget_sweep(results: DataFrame, budgets: list[int]) -> DataFrame:
     return results.select("*", caps).select(*rest, "cap", path.alias("path"), visited.alias("visited"))
 
 
+def kept(rows: DataFrame, keys: list[str], order: list[Column], width: int) -> DataFrame:
+    """The first `width` rows of each group by order, with their rank r."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= width)
+
+
 def beam_search(queries: DataFrame, multigraph: DataFrame, score, rounds: int = 2, width: int = 50, max_actions: int = 5000) -> DataFrame:
     """Beam search: (query_id, path, visited, found). score(df) adds `score` to rows with query_id, beam, path, node, action,
     next, sentence; action 0 stays at the node. multigraph: (src, edges array of (seq, dst, sentence)) in file order.
@@ -300,9 +297,8 @@ def beam_search(queries: DataFrame, multigraph: DataFrame, score, rounds: int =
         raw = F.when(F.col("score") != 0, F.col("score"))
         e = F.coalesce(F.exp(raw - F.max(raw).over(item)), F.lit(0.0))
         scored = scored.withColumn("e_", e).withColumn("p_", F.log(F.greatest(F.col("e_") / F.sum("e_").over(item), F.lit(eps))))
-        best = Window.partitionBy("query_id").orderBy((F.col("prob") + F.col("p_")).desc(), "beam", "action")
-        kept = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= width)
-        items = _cut(kept.select("query_id", "target", (F.col("r") - 1).alias("beam"), F.concat("path", F.array("next")).alias("path"), (F.col("prob") + F.col("p_")).alias("prob")))
+        best = kept(scored, ["query_id"], [(F.col("prob") + F.col("p_")).desc(), F.col("beam"), F.col("action")], width)
+        items = _cut(best.select("query_id", "target", (F.col("r") - 1).alias("beam"), F.concat("path", F.array("next")).alias("path"), (F.col("prob") + F.col("p_")).alias("prob")))
         ordered = items.groupBy("query_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("beam", "path"))), lambda x: x["path"]).alias("paths"))
         merged = seen.join(ordered, "query_id")
         state = F.aggregate(

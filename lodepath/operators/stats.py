@@ -13,44 +13,70 @@ CONFUSION = ("tp", "fp", "fn")
 
 
 PRIME = 2147483647
+#: Uniform draws of which a normal deviate is the sum, less their mean.
+SUMMED = 12
+
+
+def absorbed(state: Column, part: Column) -> Column:
+    """The state of a draw after one more part: two squarings modulo the prime, so that neighbouring places have unrelated draws.
+    Integers below 2^63 only, so any engine can repeat it."""
+    out = F.pmod(state * 48271 + part * 69069 + 1, F.lit(PRIME))
+    out = F.pmod(out * out + out * 69621 + 11, F.lit(PRIME))
+    return F.pmod(out * out + 48271, F.lit(PRIME))
+
+
+def hash_state(*parts: Column) -> Column:
+    return F.aggregate(F.array(*[p.cast("long") for p in parts]), F.lit(12345).cast("long"), absorbed)
 
 
 def hash_draw(*parts: Column) -> Column:
-    """A deterministic draw from [0, PRIME): the parts go in one by one, each followed by two squarings modulo the prime, so that
-    neighbouring places have unrelated draws. Integers below 2^63 only, so any engine can repeat it."""
-    out = F.lit(12345).cast("long")
-    for p in parts:
-        out = F.pmod(out * 48271 + p.cast("long") * 69069 + 1, F.lit(PRIME))
-        out = F.pmod(out * out + out * 69621 + 11, F.lit(PRIME))
-        out = F.pmod(out * out + 48271, F.lit(PRIME))
-    return F.pmod(out * 48271, F.lit(PRIME))
+    """A deterministic draw from [0, PRIME)."""
+    return F.pmod(hash_state(*parts) * 48271, F.lit(PRIME))
+
+
+def uniform(state: Column, part: Column) -> Column:
+    """A draw in [0, 1)."""
+    return F.pmod(absorbed(state, part) * 48271, F.lit(PRIME)) / F.lit(float(PRIME))
+
+
+def binomial(n: Column, p: Column, state: Column, small: int = 256) -> Column:
+    """A deterministic binomial draw: for n up to `small` the number of n uniform draws below p, exactly; beyond it the normal
+    approximation, rounded and kept within [0, n]. The work is bounded, whatever n is."""
+    numbers = lambda a, b: F.sequence(F.lit(a).cast("long"), b.cast("long"))
+    each = F.aggregate(numbers(1, F.least(n, F.lit(small))), F.lit(0).cast("long"), lambda s, k: s + (uniform(state, k) < p).cast("long"))
+    normal = F.aggregate(numbers(small + 1, F.lit(small + SUMMED)), F.lit(0.0), lambda s, k: s + uniform(state, k)) - SUMMED / 2
+    near = F.floor(n * p + F.sqrt(F.greatest(n * p * (1 - p), F.lit(0.0))) * normal + 0.5)
+    many = F.least(F.greatest(near, F.lit(0).cast("long")), n)
+    return F.when((n <= 0) | (p <= 0), F.lit(0).cast("long")).when(p >= 1, n).when(n <= small, each).otherwise(many)
 
 
 def resampled(aligned: DataFrame, draws: int, stratified: bool = True) -> DataFrame:
     """(draw, f1_a, f1_b): F1 of two runs over examples drawn with replacement, the same ones for both.
 
     aligned: (id, true, a, b) of one comparison. Examples are equal in all that matters if they agree in truth and
-    predictions, so a draw is made over at most eight cells with counts, not over examples: draw k of n falls into the cell
-    whose range of places covers it. Positives and negatives are drawn apart unless a class is empty.
+    predictions, so a draw is multinomial over at most eight cells: the cells take their counts in turn, each a binomial of
+    what is left. Rows are draws; the examples are read once, to count the cells. Positives and negatives are drawn apart
+    unless a class is empty.
     """
-    from pyspark.sql import Window
-
-    cells = aligned.groupBy("true", "a", "b").agg(F.count("*").alias("n"))
-    classes = cells.select("true").distinct().count()
-    stratum = F.col("true") if stratified and classes == 2 else F.lit(True)
-    cells = cells.withColumn("stratum", stratum)
-    order = Window.partitionBy("stratum").orderBy("true", "a", "b")
-    cells = cells.withColumn("hi", F.sum("n").over(order)).withColumn("lo", F.col("hi") - F.col("n"))
-    totals = cells.groupBy("stratum").agg(F.sum("n").alias("total"))
     spark = aligned.sparkSession
-    places = totals.select("stratum", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("k"))
-    picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(places))
-    picks = picks.withColumn("at", F.pmod(hash_draw(F.col("draw"), F.col("k"), F.col("stratum").cast("int")), F.col("total")))
-    hit = picks.join(F.broadcast(cells.select(F.col("stratum").alias("s_"), "true", "a", "b", "lo", "hi")), (F.col("stratum") == F.col("s_")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    t = F.col("true")
-    counts = [F.count_if(c).alias(f"{n}_{x}") for x in "ab" for n, c in (("tp", t & F.col(x)), ("fp", ~t & F.col(x)), ("fn", t & ~F.col(x)))]
-    out = hit.groupBy("draw").agg(*counts)
-    return out.select("draw", *[f1(*[F.col(f"{n}_{x}") for n in CONFUSION]).alias(f"f1_{x}") for x in "ab"])
+    cells = [(t, a, b) for t in (True, False) for a in (True, False) for b in (True, False)]
+    n = [F.count_if((F.col("true") == t) & (F.col("a") == a) & (F.col("b") == b)).alias(f"n{i}") for i, (t, a, b) in enumerate(cells)]
+    # one row of eight counts, by its definition; each draw is a row of its own
+    rows = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(aligned.agg(*n)))
+    rows = rows.select("*", *[hash_state(F.col("draw"), F.lit(i)).alias(f"s{i}") for i in range(8)])
+    count = [F.col(f"n{i}") for i in range(8)]
+    two = (sum(count[:4], F.lit(0)) > 0) & (sum(count[4:], F.lit(0)) > 0) & F.lit(stratified)
+    rows = rows.withColumn("left", F.when(two, sum(count[:4], F.lit(0))).otherwise(sum(count, F.lit(0))).cast("long"))
+    rows = rows.withColumn("mass", F.col("left"))
+    for i in range(8):
+        if i == 4:
+            later = sum(count[4:], F.lit(0)).cast("long")
+            rows = rows.withColumns({"left": F.when(two, later).otherwise(F.col("left")), "mass": F.when(two, later).otherwise(F.col("mass"))})
+        share = F.when(F.col("mass") > 0, count[i] / F.col("mass")).otherwise(F.lit(0.0))
+        rows = rows.withColumn(f"w{i}", binomial(F.col("left"), share, F.col(f"s{i}")))
+        rows = rows.withColumns({"left": F.col("left") - F.col(f"w{i}"), "mass": F.col("mass") - count[i]})
+    total = lambda x, t, p: sum((F.col(f"w{i}") for i, c in enumerate(cells) if c[0] == t and c[1 + (x == "b")] == p), F.lit(0))
+    return rows.select("draw", *[f1(total(x, True, True), total(x, False, True), total(x, True, False)).alias(f"f1_{x}") for x in "ab"])
 
 
 def bootstrap(aligned: DataFrame, draws: int = 10_000, alpha: float = 0.05, stratified: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodepath.functions import models as M
@@ -246,8 +246,7 @@ def beam_search(spark, sf):
 
 @query("""SELECT event_type, event_id, r::INTEGER AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 50""")
 def beam_topk(spark, sf):
-    best = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf, "events").withColumn("rank", F.row_number().over(best)).where("rank <= 50").select("event_type", "event_id", "rank")
+    return S.kept(table(spark, sf, "events"), ["event_type"], [F.desc("value"), F.col("event_id")], 50).select("event_type", "event_id", F.col("r").alias("rank"))
 
 
 @query(f"""WITH {PATH_SQL}, n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
@@ -457,17 +456,46 @@ def _aligned(spark, sf) -> DataFrame:
     return table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("true"), (F.col("toxic") == 0).alias("a"), (F.col("doc_id") % 3 != 0).alias("b"))
 
 
-@query("""WITH x AS (SELECT quality = 1 AS t, toxic = 0 AS a, doc_id % 3 <> 0 AS b FROM labels), cells AS (SELECT t, a, b, count(*) AS n FROM x GROUP BY ALL),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY t ORDER BY a, b) AS hi FROM cells), tot AS (SELECT t, sum(n)::BIGINT AS total FROM cells GROUP BY 1),
-pl AS (SELECT t, total, unnest(range(0, total)) AS k FROM tot), draws AS (SELECT unnest(range(0, 300)) AS draw),
-h AS (SELECT draw, t, total, k, (12345::BIGINT * 48271 + draw * 69069 + 1) % 2147483647 AS x0, (x0 * x0 + x0 * 69621 + 11) % 2147483647 AS x1, (x1 * x1 + 48271) % 2147483647 AS x, (x * 48271 + k * 69069 + 1) % 2147483647 AS y0, (y0 * y0 + y0 * 69621 + 11) % 2147483647 AS y1, (y1 * y1 + 48271) % 2147483647 AS y, (y * 48271 + t::BIGINT * 69069 + 1) % 2147483647 AS z0, (z0 * z0 + z0 * 69621 + 11) % 2147483647 AS z1, (z1 * z1 + 48271) % 2147483647 AS z, z * 48271 % 2147483647 % total AS pos FROM pl, draws),
-hit AS (SELECT h.draw, c.t, c.a, c.b FROM h JOIN cum c ON c.t = h.t AND h.pos >= c.hi - c.n AND h.pos < c.hi),
-f AS (SELECT draw, 2 * count(*) FILTER (t AND a) / (2 * count(*) FILTER (t AND a) + count(*) FILTER (t <> a)) - 2 * count(*) FILTER (t AND b) / (2 * count(*) FILTER (t AND b) + count(*) FILTER (t <> b)) AS d FROM hit GROUP BY 1),
-o AS (SELECT count(*) AS num_examples, 2 * count(*) FILTER (t AND a) / (2 * count(*) FILTER (t AND a) + count(*) FILTER (t <> a)) AS f1_a, 2 * count(*) FILTER (t AND b) / (2 * count(*) FILTER (t AND b) + count(*) FILTER (t <> b)) AS f1_b FROM x)
+DRAWS = 10_000
+
+
+def _bootstrap_sql(draws: int = DRAWS, small: int = 256, summed: int = 12) -> str:
+    """Ten thousand multinomial draws over the eight cells, each a chain of binomial draws from the hash of (draw, cell, k)."""
+    mod = 2147483647
+    cells = [(t, a, b) for t in ("t", "NOT t") for a in ("a", "NOT a") for b in ("b", "NOT b")]
+    count = ", ".join(f"count(*) FILTER ({' AND '.join(c)}) AS n{i}" for i, c in enumerate(cells))
+    absorb = lambda s, k, to: f"({s} * 48271 + {k} * 69069 + 1) % {mod} AS {to}0, ({to}0 * {to}0 + {to}0 * 69621 + 11) % {mod} AS {to}1, ({to}1 * {to}1 + 48271) % {mod} AS {to}"
+    states = ", ".join(absorb("z", i, f"s{i}_") for i in range(8))
+
+    def drawn(i: int) -> str:
+        one = f"((s{i}_ * 48271 + k * 69069 + 1) % {mod})"
+        two = f"(({one} * {one} + {one} * 69621 + 11) % {mod})"
+        return f"((({two} * {two} + 48271) % {mod}) * 48271 % {mod}) / {float(mod)}"
+
+    steps, last, total = [], "h", "(n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7)"
+    for i in range(8):
+        first = {0: f"CASE WHEN two THEN n0 + n1 + n2 + n3 ELSE {total} END", 4: "CASE WHEN two THEN n4 + n5 + n6 + n7 ELSE l3 - w3 END"}
+        left, mass = first.get(i, f"l{i - 1} - w{i - 1}"), first[i].replace("l3 - w3", "m3 - n3") if i in first else f"m{i - 1} - n{i - 1}"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT *, {left} AS l{i}, {mass} AS m{i} FROM {last}), b{i} AS MATERIALIZED (SELECT *, CASE WHEN m{i} > 0 THEN n{i} / m{i} ELSE 0.0 END::DOUBLE AS p{i} FROM a{i})")
+        normal = f"list_sum(list_transform(range({small + 1}, {small + summed + 1}), lambda k: {drawn(i)})) - {summed / 2}"
+        many = f"least(greatest(floor(l{i} * p{i} + sqrt(greatest(l{i} * p{i} * (1 - p{i}), 0.0)) * ({normal}) + 0.5::DOUBLE), 0), l{i})::BIGINT"
+        draw = f"CASE WHEN l{i} <= 0 OR p{i} <= 0 THEN 0 WHEN p{i} >= 1 THEN l{i} WHEN l{i} <= {small} THEN len(list_filter(range(1, l{i} + 1), lambda k: {drawn(i)} < p{i})) ELSE {many} END"
+        steps.append(f"c{i} AS MATERIALIZED (SELECT *, {draw} AS w{i} FROM b{i})")
+        last = f"c{i}"
+    f1 = lambda tp, other: f"CASE WHEN 2 * ({tp}) + {other} = 0 THEN 0 ELSE 2 * ({tp}) / (2 * ({tp}) + {other}) END"
+    f1_a, f1_b = f1("w0 + w1", "(w4 + w5) + (w2 + w3)"), f1("w0 + w2", "(w4 + w6) + (w1 + w3)")
+    whole = lambda x: f"2 * count(*) FILTER (t AND {x}) / (2 * count(*) FILTER (t AND {x}) + count(*) FILTER (t <> {x}))"
+    return f"""WITH x AS (SELECT quality = 1 AS t, toxic = 0 AS a, doc_id % 3 <> 0 AS b FROM labels), c AS (SELECT {count} FROM x),
+h AS (SELECT c.*, n0 + n1 + n2 + n3 > 0 AND n4 + n5 + n6 + n7 > 0 AS two, {absorb("12345::BIGINT", "draw", "z")}, {states} FROM c, (SELECT unnest(range(0, {draws})) AS draw)),
+{", ".join(steps)}, f AS (SELECT {f1_a} - {f1_b} AS d FROM {last}),
+o AS (SELECT count(*) AS num_examples, {whole("a")} AS f1_a, {whole("b")} AS f1_b FROM x)
 SELECT num_examples, round(f1_a, 9) AS f1_a, round(f1_b, 9) AS f1_b, round(f1_a - f1_b, 9) AS delta, (SELECT round(quantile_cont(d, 0.025), 9) FROM f) AS ci_low, (SELECT round(quantile_cont(d, 0.975), 9) FROM f) AS ci_high,
-  round(((SELECT count(*) FROM f, o o2 WHERE abs(d - (o2.f1_a - o2.f1_b)) >= abs(o2.f1_a - o2.f1_b)) + 1) / 301, 9) AS p_value FROM o""")
+  round(((SELECT count(*) FROM f, o o2 WHERE abs(d - (o2.f1_a - o2.f1_b)) >= abs(o2.f1_a - o2.f1_b)) + 1) / {draws + 1}, 9) AS p_value FROM o"""
+
+
+@query(_bootstrap_sql())
 def bootstrap_f1_ci(spark, sf):
-    out = stats.bootstrap(_aligned(spark, sf), draws=300)
+    out = stats.bootstrap(_aligned(spark, sf), draws=DRAWS)
     return out.select("num_examples", *[F.round(c, 9).alias(c) for c in ("f1_a", "f1_b", "delta", "ci_low", "ci_high", "p_value")])
 
 
@@ -582,7 +610,9 @@ def missing_nodes(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_keys(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies")).where("copies > 1")
+    keys = ["l_orderkey", "l_linenumber"]
+    item = table(spark, sf, "lineitem")
+    return E.expected_missing(item, item, keys)[2].select(*keys, F.col("count").alias("copies"))
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS r FROM events) WHERE r = 1""")
@@ -632,3 +662,6 @@ def sliced_vectors(spark, sf):
 SELECT dataset, role, count(*) AS occurrences, count(DISTINCT node) AS endpoints FROM ends GROUP BY ALL""")
 def endpoint_roles(spark, sf):
     return R.endpoint_rows(_questions_p(spark, sf)).groupBy("dataset", "role").agg(F.count("*").alias("occurrences"), F.countDistinct("node").alias("endpoints"))
+
+
+from lodepath.plans import files  # noqa: E402, F401  registers the queries of readers, sinks and rules

@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a local one is made only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or else the one that setCheckpointDir named. Without either a session on one machine
+    (master local) gets a folder of its own; on a cluster no folder of the driver's is seen by the executors, and this raises."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lodepath-")
     if not context.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodepath-"))
+        context.setCheckpointDir(root)
+    return root
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
