@@ -57,7 +57,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     if len(files) > 1 << 16:
         raise ValueError(f"{len(files)} files are too many to number; compact them first")
     meta, line = F.col("_metadata"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = spark.read.text(list(dict.fromkeys(given))).select("value", meta["file_path"].alias("f_"), (meta["file_block_start"] * 16 + line).alias("at_"))
+    rows = spark.read.text(list(dict.fromkeys(given))).select("value", F.input_file_name().alias("f_"), (meta["file_block_start"] * 16 + line).alias("at_"))
     if len(files) <= 1:
         return rows.select(F.col("at_").alias("edge_seq"), "value")
     place = spark.createDataFrame([(f, n) for n, f in enumerate(files)], "f_ string, n_ long")
