@@ -134,7 +134,27 @@ def hub_neighbourhood(spark, sf):
     return G.neighbourhood(p, G.hub(G.degrees(p)), 1, 20)
 
 
-@query()
+#: The selection of 200 nodes around the hub, and its trees: walks of a level keep the least list of ranks, which is a queue's order.
+FOREST_SQL = f"""WITH RECURSIVE {RAW_P_SQL}, ps AS (SELECT cause::VARCHAR AS cause, effect::VARCHAR AS effect FROM p),
+deg AS (SELECT node, sum(o) AS o, sum(i) AS i FROM (SELECT cause AS node, 1 AS o, 0 AS i FROM ps UNION ALL SELECT effect, 0, 1 FROM ps) GROUP BY 1),
+both_ways AS (SELECT cause AS a, effect AS b FROM ps UNION SELECT effect, cause FROM ps), hub AS (SELECT node FROM deg ORDER BY o + i DESC, node LIMIT 1),
+one AS (SELECT node FROM deg WHERE node IN (SELECT b FROM both_ways WHERE a IN (FROM hub)) AND node NOT IN (FROM hub) ORDER BY o + i DESC, o DESC, i DESC, node DESC LIMIT 199),
+two AS (SELECT node FROM deg WHERE node IN (SELECT b FROM both_ways WHERE a IN (FROM one)) AND node NOT IN (FROM one) AND node NOT IN (FROM hub)
+  ORDER BY o + i DESC, o DESC, i DESC, node DESC LIMIT (SELECT 199 - count(*) FROM one)),
+k AS (SELECT node, o + i AS degree, row_number() OVER (ORDER BY o + i DESC, o DESC, i DESC, node DESC) AS r FROM deg WHERE node IN (FROM hub UNION ALL FROM one UNION ALL FROM two)),
+inside AS (SELECT cause, effect FROM ps WHERE cause IN (SELECT node FROM k) AND effect IN (SELECT node FROM k)),
+links AS (SELECT a, b, min([cause, effect]) AS edge FROM (SELECT cause AS a, effect AS b, cause, effect FROM inside UNION ALL SELECT effect, cause, cause, effect FROM inside) GROUP BY a, b),
+reach AS (SELECT node AS a, node AS b FROM k UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+roots AS (SELECT a AS node, arg_max(b, (degree, b)) AS root FROM reach JOIN k ON k.node = b GROUP BY 1),
+walk AS (SELECT root, node, 0 AS level, [r] AS way, NULL::VARCHAR AS finder FROM roots JOIN k USING (node) WHERE node = root UNION ALL
+  SELECT w.root, k.node, w.level + 1, min(list_append(w.way, k.r)), arg_min(w.node, list_append(w.way, k.r)) FROM walk w JOIN links ON links.a = w.node JOIN k ON k.node = links.b WHERE w.level < 24 GROUP BY w.root, k.node, w.level),
+first AS (SELECT root, node, min(level) AS level, arg_min(way, level) AS way, arg_min(finder, level) AS finder FROM walk GROUP BY ALL),
+trees AS (SELECT root, row_number() OVER (ORDER BY degree DESC, root DESC) AS tree FROM (SELECT DISTINCT root FROM roots) JOIN k ON k.node = root)
+SELECT edge[1] AS source, edge[2] AS target, tree::INTEGER AS tree, level::INTEGER AS level, (row_number() OVER (ORDER BY tree, level, way) - 1)::INTEGER AS step
+FROM first JOIN trees USING (root) JOIN links ON links.a = finder AND links.b = node WHERE level > 0"""
+
+
+@query(FOREST_SQL)
 def hub_spanning_forest(spark, sf):
     p = D.graph_p(spark, sf).select(F.col("cause").cast("string").alias("cause"), F.col("effect").cast("string").alias("effect"), "pos")
     near = G.neighbourhood(p, G.hub(G.degrees(p)), 2, 200)
@@ -170,9 +190,28 @@ def bfs_hops(spark, sf):
     return found.select("query_id", (F.size("path") - 1).alias("hops"))
 
 
-@query()
+def _bfs_sql(cap: int) -> str:
+    """Visits and paths of a queue: of the walks of a level to a node, the least list of edge positions is the queue's; nodes are taken up by level and that list.
+
+    At sf0.01 no shortest path has more than 8 edges, so the bound of 16 leaves nothing out."""
+    return f"""WITH RECURSIVE {V_SQL}, walk AS (SELECT query_id, target, source AS node, 0 AS level, []::BIGINT[] AS way, 'v' || source AS path FROM q UNION ALL
+  SELECT w.query_id, w.target, v.d, w.level + 1, min(list_append(w.way, v.pos)), arg_min(w.path || ' v' || v.d, list_append(w.way, v.pos))
+  FROM (SELECT *, bool_or(node = target) OVER (PARTITION BY query_id) AS hit FROM walk) w JOIN v ON v.s = w.node WHERE w.level < 16 AND NOT w.hit GROUP BY w.query_id, w.target, v.d, w.level),
+first AS (SELECT query_id, target, node, min(level) AS level, arg_min(way, level) AS way, arg_min(path, level) AS path FROM walk GROUP BY ALL),
+goal AS (SELECT query_id, level AS goal_level, way AS goal_way, path FROM first WHERE node = target),
+seen AS (SELECT f.query_id, count(*) FILTER (goal_level IS NULL OR (f.level, f.way) < (goal_level, goal_way)) AS n, any_value(g.path) AS path FROM first f LEFT JOIN goal g USING (query_id) GROUP BY 1)
+SELECT query_id, CASE WHEN n > {cap} THEN '' ELSE coalesce(path, '') END AS path, CASE WHEN n > {cap} THEN {cap} + 1 ELSE n END::BIGINT AS visited FROM seen"""
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """Results with the path as one string and the cost, where there is one, to 6 places."""
+    cost = [F.round("path_cost", 6).alias("path_cost")] if "path_cost" in found.columns else []
+    return found.select("query_id", F.array_join("path", " ").alias("path"), "visited", *cost)
+
+
+@query(_bfs_sql(100))
 def bfs_visited_capped(spark, sf):
-    return S.bfs(D.questions_v(spark, sf), D.graph_v(spark, sf), cap=100)
+    return _joined(S.bfs(D.questions_v(spark, sf), D.graph_v(spark, sf), cap=100))
 
 
 def _costed(spark, sf, metric: str = "euclidean", dim: int | None = None) -> DataFrame:
@@ -211,29 +250,52 @@ def min_cost_within_6_hops(spark, sf):
     return best.where("node = target").select("query_id", F.round("dist", 6).alias("cost"))
 
 
-@query()
+def _cheapest_sql(order: str, slice_: str = "", cap: int = 1 << 30) -> str:
+    """Cheapest paths, and visits as the nodes before the target in `order` (over g, the cost so far, h, the distance left, and name), the
+    source always. At sf0.01 no cheapest path has more than 8 edges, so the bound of 16 leaves nothing out."""
+    return f"""WITH RECURSIVE {V_SQL}, e AS (SELECT vec_id, (embedding::DOUBLE[]){slice_} AS x FROM embeddings), c AS (SELECT v.s, v.d, list_distance(a.x, b.x) AS cost FROM v JOIN e a ON a.vec_id = v.s JOIN e b ON b.vec_id = v.d),
+walk AS (SELECT query_id, target, source AS node, 0 AS hops, 0.0::DOUBLE AS g, 'v' || source AS path FROM q UNION ALL
+  SELECT w.query_id, w.target, c.d, w.hops + 1, min(w.g + c.cost), arg_min(w.path || ' v' || c.d, w.g + c.cost) FROM walk w JOIN c ON c.s = w.node WHERE w.hops < 16 AND w.node <> w.target GROUP BY w.query_id, w.target, c.d, w.hops),
+best AS (SELECT query_id, target, node, min(g) AS g, arg_min(path, g) AS path FROM walk GROUP BY ALL),
+far AS (SELECT best.*, 'v' || node AS name, list_distance(a.x, b.x) AS h FROM best JOIN e a ON a.vec_id = node JOIN e b ON b.vec_id = target),
+goal AS (SELECT query_id, {order} AS goal_order, g AS cost, path FROM far WHERE node = target),
+seen AS (SELECT far.query_id, count(*) FILTER (goal_order IS NULL OR (g = 0 AND node <> target) OR (g > 0 AND {order} < goal_order)) AS n, any_value(goal.path) AS path, any_value(cost) AS cost
+  FROM far LEFT JOIN goal USING (query_id) GROUP BY 1)
+SELECT query_id, CASE WHEN n > {cap} THEN '' ELSE coalesce(path, '') END AS path, CASE WHEN n > {cap} THEN {cap} + 1 ELSE n END::BIGINT AS visited, CASE WHEN n <= {cap} THEN round(cost, 6) END AS path_cost FROM seen"""
+
+
+BY_COST, BY_ESTIMATE = "(g, name)", "(g + h, g, name)"
+
+
+@query(_cheapest_sql(BY_COST))
 def dijkstra_paths(spark, sf):
-    return S.dijkstra(D.questions_v(spark, sf), _costed(spark, sf))
+    return _joined(S.dijkstra(D.questions_v(spark, sf), _costed(spark, sf)))
 
 
-@query()
+@query(_cheapest_sql(BY_COST))
+def dijkstra_heap_paths(spark, sf):
+    return _joined(S.dijkstra_heap(D.questions_v(spark, sf), _costed(spark, sf)))
+
+
+@query(_cheapest_sql(BY_ESTIMATE))
 def astar_l2_paths(spark, sf):
-    return S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf))
+    return _joined(S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf)))
 
 
 @query()
 def astar_cosine_paths(spark, sf):
-    return S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf), "cosine")
+    """1 - cosine is no metric, so visits depend on the heap's course; no SQL. The tests hold it against a plain search."""
+    return _joined(S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf), "cosine"))
 
 
-@query()
+@query(_cheapest_sql(BY_ESTIMATE, "[1:32]", 27))
 def astar_prefix32_budget27(spark, sf):
-    return S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf), cap=27, dim=32)
+    return _joined(S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf), cap=27, dim=32))
 
 
-@query()
+@query(_cheapest_sql(BY_ESTIMATE))
 def astar_relational(spark, sf):
-    return S.astar_euclidean(D.questions_v(spark, sf), _costed(spark, sf), D.vectors_v(spark, sf))
+    return _joined(S.astar_euclidean(D.questions_v(spark, sf), _costed(spark, sf), D.vectors_v(spark, sf)))
 
 
 @query()
