@@ -107,3 +107,68 @@ def test_word_splitting():
     assert words.to_pylist() == ["in", "%%%", "the", "!"] and at.tolist() == [0, 4, 4]
     h, at = hashed_words(pa.array(["a a", "a"]))
     assert h[0] == h[1] == h[2]
+
+
+def naive_margin(model, words):
+    """The convolutional classifier by its definition, one word, start and filter width at a time."""
+    import xxhash
+
+    row = {b: i for i, b in enumerate(model.vocab.tolist())}
+    vectors = []
+    for word in words:
+        marked, buckets = f"<{word}>", [xxhash.xxh64_intdigest(word)]
+        for n in toxicity.RUNS:
+            for s in range(len(marked) - n + 1):
+                h = n
+                for c in marked[s : s + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                buckets.append(h)
+        known = [model.emb[row[b % toxicity.BUCKETS]] for b in buckets if b % toxicity.BUCKETS in row]
+        vectors.append(np.sum(known, axis=0) if known else np.zeros(model.emb.shape[1]))
+    tops = []
+    for conv, bias in zip(model.conv, model.bias):
+        line = (vectors or [np.zeros(model.emb.shape[1])]) + [np.zeros(model.emb.shape[1])] * (len(conv) - 1)
+        answers = [sum(line[s + o] @ conv[o] for o in range(len(conv))) for s in range(max(len(words), 1))]
+        tops.append(np.max(answers, axis=0) + bias)
+    return np.maximum(np.concatenate(tops), 0) @ model.out + model.base
+
+
+def test_toxicity_margins_are_those_of_a_naive_convolution():
+    rows, labels = corpus(160)
+    model = toxicity.fit(pa.array([r[1] for r in rows]), np.array([x[2] for x in labels], float), [r[2] for r in rows], steps=80)
+    texts = [rows[0][1], "", None, "unseen", "grotzel " + rows[1][1], *(r[1] for r in rows[2:30])]
+    want = [naive_margin(model, split_words(pa.array([t], pa.string()))[0].to_pylist()) for t in texts]
+    assert np.allclose(model.margins(pa.array(texts)), want, atol=1e-4) and np.ptp(want) > 0.5
+
+
+def test_quality_ratios_and_margins_are_those_of_naive_counts():
+    rng = random.Random(3)
+    vocab = ["ka", "to", "mi", "ru", "le", "na", "so"]
+    labels = np.array([float(rng.random() < 0.6) for _ in range(120)])
+    texts = [" ".join(rng.choice(vocab if y else [*vocab, "zu", "zu"]) for _ in range(rng.randint(1, 20))) for y in labels]
+    h, at = hashed_words(pa.array(texts), True)
+    hashes = [h[s:e] for s, e in zip(at, at[1:])]
+    model = quality.fit(hashes, labels)
+
+    def grams(text):
+        w = text.split()
+        return {(x,) for x in w} | {("twice", "twice") if a == b else (a, b) for a, b in zip(w, w[1:])}
+
+    def bucket(gram):
+        return quality.features(*hashed_words(pa.array([" ".join(gram)]), True))[1][-1]
+
+    train = np.random.default_rng(5).permutation(len(texts))[: len(texts) - len(texts) // 5]
+    counts = {}
+    for i in train:
+        for g in grams(texts[i]):
+            counts.setdefault(g, [0, 0])[int(labels[i])] += 1
+    counts = {g: (bad + 1, good + 1) for g, (bad, good) in counts.items() if bad + good >= 3}
+    bad, good = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    ratio = {g: np.log(c[1] / good / (c[0] / bad)) for g, c in counts.items()}
+    assert len(ratio) > 20 and np.count_nonzero(model.ratio) <= len(ratio)
+    assert all(abs(model.ratio[bucket(g)] - r) < 1e-5 for g, r in ratio.items())
+    for text, found in zip(texts, model.margins(h, at)):
+        mine = [g for g in grams(text) if g in ratio]
+        norm = np.sqrt(sum(ratio[g] ** 2 for g in mine))
+        assert abs(sum(model.weight[bucket(g)] for g in mine) / max(norm, 1e-9) + model.bias - found) < 1e-4
