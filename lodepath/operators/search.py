@@ -194,8 +194,8 @@ def heap_search(g: Graph, source: str, target: str, cap: int = -1, guided: bool
     return [], visited, None
 
 
-#: A graph of more nodes or edges than this is never broadcast; searches over it use the relational forms.
-BROADCAST_NODES, BROADCAST_EDGES = 2_000_000, 20_000_000
+#: A graph of more nodes or edges than this, or of more bytes of vectors, is never broadcast; searches over it use the relational forms.
+BROADCAST_NODES, BROADCAST_EDGES, BROADCAST_BYTES = 2_000_000, 20_000_000, 1 << 29
 
 
 def memory_graph(edges: DataFrame, vectors: DataFrame | None, metric: str, dim: int | None = None, with_cost: bool = False) -> Graph:
@@ -204,8 +204,13 @@ def memory_graph(edges: DataFrame, vectors: DataFrame | None, metric: str, dim:
     if n > BROADCAST_EDGES:
         raise ValueError(f"{n} edges are too many to broadcast; use the relational search")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    if nodes.count() > BROADCAST_NODES:
-        raise ValueError("too many nodes to broadcast; use the relational search")
+    n = nodes.count()
+    if n > BROADCAST_NODES:
+        raise ValueError(f"{n} nodes are too many to broadcast; use the relational search")
+    if vectors is not None:
+        wide = min(vectors.agg(F.max(F.size("vec"))).first()[0] or 1, dim or 1 << 30)
+        if n * wide * 8 > BROADCAST_BYTES:
+            raise ValueError(f"vectors of {n * wide * 8} bytes are too many to broadcast; use the relational search")
     names = nodes.orderBy("node").toPandas()["node"].tolist()
     number = {x: i for i, x in enumerate(names)}
     e = edges.select("src", "dst", "pos", *(["cost"] if with_cost else [])).toPandas()

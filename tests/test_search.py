@@ -186,3 +186,23 @@ def test_searches_have_no_limit_of_levels_by_default(spark):
     query = spark.createDataFrame([(1, "n0", "n5")], "query_id long, source string, target string")
     assert S.bfs(query, edges).first().path == [f"n{i}" for i in range(6)]
     assert S.distances(query, edges).where("node = target").first().dist == 5.0
+
+
+def test_graphs_over_a_bound_are_not_gathered(spark, monkeypatch):
+    names, pairs, vec = random_graph(7)
+    edges, vectors, _, queries = tables(spark, names, pairs, vec)
+    for bound, value in (("BROADCAST_BYTES", 14 * 3 * 8 - 1), ("BROADCAST_NODES", 13), ("BROADCAST_EDGES", 33)):
+        with monkeypatch.context() as m:
+            m.setattr(S, bound, value)
+            with pytest.raises(ValueError, match="relational search"):
+                S.astar(queries, edges, vectors)
+    # a prefix of the vectors is what is gathered, so it is what counts
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 14 * 2 * 8)
+    assert S.astar(queries, edges, vectors, dim=2).count() == queries.count()
+
+
+def test_registered_searches_have_sql():
+    from lodepath.plans import catalog
+
+    searches = {"hub_spanning_forest", "bfs_hops", "bfs_visited_capped", "dijkstra_paths", "dijkstra_heap_paths", "astar_l2_paths", "astar_prefix32_budget27", "astar_relational"}
+    assert searches <= set(catalog.QUERIES) and searches <= set(catalog.ORACLE_SQL)
