@@ -726,4 +726,4 @@ def endpoint_roles(spark, sf):
     return R.endpoint_rows(_questions_p(spark, sf)).groupBy("dataset", "role").agg(F.count("*").alias("occurrences"), F.countDistinct("node").alias("endpoints"))
 
 
-from lodepath.plans import files  # noqa: E402, F401  registers the queries of readers, sinks and rules
+from lodepath.plans import files, rules  # noqa: E402, F401  registers the queries of readers, sinks, rules and the policy
