@@ -1,5 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline as C
-from docs import SCHEMA, awkward
+from docs import SCHEMA, awkward, words
 from lodepath.llm.session import stored
 from pyspark.sql import functions as F
 
@@ -46,6 +48,34 @@ def test_awkward_documents_and_empty_tables(spark, tmp_path):
     assert C.run(spark, sf).count() == 0
 
 
+CLASHING = ("row_", "text_", "i", "h", "s", "n", "n_", "place", "size", "score", "rejected", "held_out", "start", "tile", "source_", "shard")
+
+
+def test_stages_keep_columns_of_any_name_and_awkward_rows(spark, tmp_path):
+    sf = tables(spark, tmp_path, awkward(), [(1, 1, 0)], [(1, "no document has these words in it"), (2, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(c + " "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    before = Counter((r.doc_id, r.text) for r in docs.collect())
+    for stage in (C.drop_toxic, C.drop_benchmark):  # labels of one class, and nothing of the benchmark: all stay
+        assert Counter((r.doc_id, r.text) for r in stage(spark, docs, sf).collect()) == before
+    of = Counter()
+    for (i, text), n in before.items():
+        of[i] += len(words(text)) * n
+    for stage in (C.drop_toxic, C.drop_near_copies, C.drop_benchmark, C.mix_sources):
+        left = stage(spark, docs, sf)
+        rows = left.collect()
+        assert left.columns == docs.columns and rows
+        assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += len(words(r.text))
+        assert r.n_chars == len(r.text)
+        assert any(i == r.doc_id and not Counter(words(r.text)) - Counter(words(t)) for i, t in before)
+    assert all(0 < n <= 3 * of[i] for i, n in taken.items()) and max(len(r.text) for r in rows) > 100_000
+    assert C.write_token_files(spark, docs, sf).count() == sum(before.values())
+
+
 def test_rows_without_an_id_stay(spark):
     rows = [(None, f"text {i} of many words here", "en", "s", 1) for i in range(3)] * 2 + [(1, "same words " * 9, "en", "s", 1), (2, "same words " * 9, "en", "s", 1), (1, "same words " * 9, "en", "s", 1)]
     left = C.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
