@@ -10,7 +10,12 @@ from lodepath.llm.session import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, rejects by their language's threshold go."""
+    """Documents that the classifier, trained on the labelled ones, rejects by their language's threshold go.
+
+    Null and empty texts have no words and the score of none; a null language has the default threshold. Without labels, or with
+    labels of one class only, all stay. Repeated rows, and rows of one id, are judged each by its own text. Long texts are read
+    whole. No rows: none. Other columns, whatever their names, are kept.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     judged = toxicity.score(docs, model, keep=True)
     return judged.where(~F.col("rejected")).select(*[F.col("row_")[c].alias(c) for c in docs.columns])
@@ -30,17 +35,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain enough of a benchmark item go."""
+    """Documents that contain enough of a benchmark item go: tiles of five words or more that cover half of it.
+
+    Null and empty texts, and all texts if there is no benchmark, stay; an item of fewer than five words is never found. Repeated
+    rows, and rows of one id, are judged each by its own text. Long texts are read whole. No rows: none. Other columns,
+    whatever their names, are kept.
+    """
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: documents by the spans taken, up to three times."""
+    """The mix of the sources: documents by the spans taken, up to three times.
+
+    Null sources are one source, the last. Null texts and those without words have no size, so nothing is taken of them and they
+    go. Repeated rows are documents each. Long texts are cut at words, in whole blocks. No rows: none. Other columns, whatever
+    their names, are kept, but for n_chars, which is counted anew.
+    """
     return mixing.mixed_documents(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the shared folder, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files in the shared folder, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null texts are empty and have the end id only. Null ids come first; rows of one id go by a hash of their text; repeated rows are
+    encoded each. Long texts are encoded whole. No rows: none. Other columns are not read.
+    """
     return tokens.encoded(docs)
 
 
