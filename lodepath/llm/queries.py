@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodepath.llm import ann, chat, decontam, licenses, lines, mixing, quality, simhash, tokens, toxicity
+from lodepath.llm import ann, chat, collocations, decontam, licenses, lines, mixing, periods, quality, rules, simhash, tokens, toxicity
 from lodepath.llm.session import table
 
 
@@ -65,6 +65,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.periods(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,9 +91,13 @@ QUERIES = {
         op8_multiprobe_neighbours,
         op9_chat_windows,
         op10_simhash_near_dedup,
+        op11_collocations,
+        op12_quality_rules,
+        op13_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_site_line_dedup": lines.SQL,
     "op9_chat_windows": chat.SQL,
+    "op11_collocations": collocations.SQL,
 }

@@ -46,3 +46,24 @@ def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[flo
         if np.abs(step).max() < 1e-7:
             break
     return float(max(theta[0], 1e-3)), float(theta[1])
+
+
+def coded_words(texts: list[bytes], table: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as they are, exactly: the different words, the number of each word of each text among them, where each
+    text's words begin (one more entry than texts), the texts' mapped bytes (a line feed between texts), and each word's place there.
+
+    `table` maps bytes; of what it makes, spaces and line feeds part words.
+    """
+    line = np.frombuffer(b"\n".join(texts).translate(table), np.uint8)
+    gap = np.concatenate([[True], (line == 32) | (line == 10), [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(line[~gap[1:-1]])])
+    coded = words.dictionary_encode()
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(starts, begins), line, starts
+
+
+#: For coded_words: the white space of the contracts becomes spaces (line feeds stay), all else stays.
+AS_IS = bytes(32 if c in b"\x09\x0b\x0c\x0d" else c for c in range(256))
