@@ -4,7 +4,7 @@ Targets come from weights by water filling; Sainte-Lague (highest quotients v /
 each source, and a source's blocks into quotas for its shards. A shard is a bounded, hash-ordered part of a source's
 token stream, cut into equal blocks; block i of n is taken floor((i + 1) q / n + u) - floor(i q / n + u) times for a
 quota q and a seeded u, so a shard takes exactly q blocks, spread evenly over it, and no block more than once above
-another. Blocks are long, so that what is left out is whole documents or long stretches; sources too small for so many
+another. Quotas are bounded: no source or shard has more than `most` seats a block, as Sainte-Lague alone would give it now and then. Blocks are long, so that what is left out is whole documents or long stretches; sources too small for so many
 long blocks have shorter ones. What a document gives follows from its place in its shard's prefix sums: no block is ever made into a row.
 """
 
@@ -40,45 +40,54 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """(source, source_size, weight, target): sources by code point, null last, weigh weights in turn and share all tokens;
-    a target stops at most times its source's size, and what is cut is shared by weight among the rest.
-
-    The level L at which the targets min(weight L, most size) sum to all tokens is found among the sources in order of
-    size / weight, by running sums; no iteration. All empty: targets are 0.
+    a target stops at most times its source's size, and what is cut is shared by weight among the rest. All empty: targets are 0.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     listed = by_source.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights) + 1).cast("int"))
     rows = listed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    full = Window.orderBy(F.col("cap") / F.col("weight"), "n")
-    upto = full.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    rows = rows.withColumn("level", left / from_here)
-    # sources before the first whose own cap is not below its level are full; that level holds for it and all after
-    level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight") * (1 - SLACK), F.struct(F.col("cap") / F.col("weight"), "n", "level")))
-    rows = rows.withColumn("level", level.over(Window.partitionBy())["level"])
+    rows = rows.withColumn("all_", F.lit(0)).withColumn("total_", F.sum("source_size").over(Window.partitionBy("all_")).cast("double"))
+    rows = rows.withColumn("level", poured(F.col("total_"), F.col("weight"), F.col("cap"), ["all_"], [F.col("n")]))
+    rows = rows.withColumn("level", F.min("level").over(Window.partitionBy("all_"))["level"])
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def apportion(votes: DataFrame, key: list[str], seats: Column, vote: Column, within: list[str]) -> DataFrame:
-    """Sainte-Lague: add `quota` to votes, the seats of each group (columns within) dealt by the highest v / (2k - 1).
+def poured(total: Column, weight: Column, cap: Column, within: list[str], order: list[Column]) -> Column:
+    """Of the level L at which min(weight L, cap), summed over a group, is the total: a struct of a place and a level for each row, of which
+    the group's first has the level (none: all caps together are less). Rows go in order of cap / weight, ties by `order`, and
+    running sums are all that is needed: those before the first whose cap isn't below its level are full."""
+    group = Window.partitionBy(*within)
+    listed = group.orderBy((cap / weight).asc_nulls_last(), *order)
+    upto = listed.rowsBetween(Window.unboundedPreceding, -1)
+    from_here = F.sum(weight).over(group) - F.coalesce(F.sum(weight).over(upto), F.lit(0.0))
+    here = (total - F.coalesce(F.sum(cap).over(upto), F.lit(0.0))) / F.when(from_here > 0, from_here)
+    return F.when(cap >= here * weight * (1 - SLACK), F.struct(F.row_number().over(listed).alias("at"), here.alias("level")))
+
+
+def apportion(votes: DataFrame, key: list[str], seats: Column, vote: Column, within: list[str], most: Column) -> DataFrame:
+    """Sainte-Lague with a bound: add `quota` to votes, the seats of each group (columns within) dealt by the highest v / (2k - 1),
+    where a party that has `most` seats takes no more and the next quotients get them. Seats beyond all bounds stay empty.
 
-    With V the votes, S the seats and m the parties of a group, the divisor that seats all lies between V / (S + m / 2)
-    and V / (S - m / 2). So a party surely has the seats that the upper divisor rounds to, and only the seats between
-    those and the lower divisor's, about 2 m in all, are ranked by quotient. Ties go to the lesser key.
+    Let t be the level at which min(v t, most) sums to the seats S. Rounding moves each of m parties by half a seat at most, so a
+    party surely has the seats that the level for S - m / 2 rounds to, and none beyond those of the level for S + m / 2.
+    Only the seats between the two, about 2 m in all, are ranked by quotient. Ties go to the lesser key.
     """
     group = Window.partitionBy(*within)
-    rows = votes.withColumn("v_", vote.cast("double")).withColumn("s_", seats.cast("double"))
-    rows = rows.withColumn("sum_", F.sum("v_").over(group)).withColumn("m_", F.count("*").over(group))
-    share = lambda by: F.when(F.col("sum_") > 0, F.col("v_") * by / F.col("sum_")).otherwise(F.lit(0.0))
-    low = F.greatest(F.floor(share(F.greatest(F.col("s_") - F.col("m_") / 2 - 1, F.lit(0.0))) + 0.5) - 1, F.lit(0))
-    high = F.ceil(share(F.col("s_") + F.col("m_") / 2 + 1) + 0.5) + 1
-    rows = rows.withColumn("low_", low.cast("long")).withColumn("high_", F.when(F.col("v_") > 0, high.cast("long")).otherwise(F.col("low_")))
+    by_key = [F.col(c).asc_nulls_last() for c in key]
+    rows = votes.withColumn("v_", vote.cast("double")).withColumn("c_", F.when(F.col("v_") > 0, most.cast("double")).otherwise(0.0))
+    rows = rows.withColumn("s_", F.least(seats.cast("double"), F.sum("c_").over(group))).withColumn("m_", F.count("*").over(group))
+    v, cap = F.when(F.col("v_") > 0, F.col("v_")), F.col("c_")
+    for name, total in (("low_", F.greatest(F.col("s_") - F.col("m_") / 2 - 1, F.lit(0.0))), ("high_", F.col("s_") + F.col("m_") / 2 + 1)):
+        rows = rows.withColumn(name, poured(total, v, cap, within, by_key))
+        rows = rows.withColumn(name, F.min(name).over(group)["level"])
+    low = F.greatest(F.floor(F.col("v_") * F.col("low_") + 0.5) - 1, F.lit(0))
+    high = F.ceil(F.col("v_") * F.col("high_") + 0.5) + 1
+    bounded = lambda x: F.coalesce(F.least(x.cast("double"), cap), cap).cast("long")
+    rows = rows.withColumn("low_", bounded(low)).withColumn("high_", bounded(high))
     rows = rows.withColumn("rest_", F.col("s_") - F.sum("low_").over(group))
-    seat = rows.select(*key, *[c for c in within if c not in key], "v_", "rest_", F.explode(F.sequence(F.col("low_"), F.col("high_"))).alias("k_"), "low_")
-    seat = seat.where("k_ > low_")
-    order = Window.partitionBy(*within).orderBy((F.col("v_") / (2 * F.col("k_") - 1)).desc(), *[F.col(c).asc_nulls_last() for c in key])
+    seat = rows.where("high_ > low_").select(*key, *[c for c in within if c not in key], "v_", "rest_", F.explode(F.sequence(F.col("low_") + 1, F.col("high_"))).alias("k_"))
+    order = Window.partitionBy(*within).orderBy((F.col("v_") / (2 * F.col("k_") - 1)).desc(), *by_key)
     won = seat.withColumn("r_", F.row_number().over(order)).where("r_ <= rest_").groupBy(*key).agg(F.count("*").alias("won_"))
     won = won.select(*[F.col(c).alias(c + "_") for c in key], "won_")
     same = F.lit(True)
@@ -110,9 +119,10 @@ def placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int
     vote = F.when(F.col("size") > 0, F.col("aim") / F.col("size") * F.col("blocks")).otherwise(F.lit(0.0))
     by_source = by_source.withColumn("vote", vote).withColumn("all_", F.lit(0))
     by_source = by_source.withColumn("seats", F.round(F.sum("vote").over(Window.partitionBy("all_"))))
-    source_quota = apportion(by_source, ["source"], F.col("seats"), F.col("vote"), ["all_"]).select(F.col("source").alias("source_"), F.col("quota").alias("source_quota"))
+    bound = lambda blocks: F.floor(F.col(blocks) * F.lit(float(most)))
+    source_quota = apportion(by_source, ["source"], F.col("seats"), F.col("vote"), ["all_"], bound("blocks")).select(F.col("source").alias("source_"), F.col("quota").alias("source_quota"))
     shards = shards.join(source_quota, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    quotas = apportion(shards, ["source", "shard"], F.col("source_quota"), F.col("n_blocks"), ["source"])
+    quotas = apportion(shards, ["source", "shard"], F.col("source_quota"), F.col("n_blocks"), ["source"], bound("n_blocks"))
     phase = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     quotas = quotas.select(F.col("source").alias("source_"), F.col("shard").alias("shard_"), "n_blocks", "quota", phase.alias("phase"))
     return known.join(quotas, F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_"))).drop("source_", "shard_", "order_")

@@ -24,11 +24,14 @@ def slow_targets(sizes, most=3.0):
             return out
 
 
-def slow_seats(votes, seats):
+def slow_seats(votes, seats, most):
     """Highest quotients, one seat at a time."""
     got = dict.fromkeys(votes, 0)
     for _ in range(seats):
-        best = min(votes, key=lambda k: (-votes[k] / (2 * got[k] + 1), k))
+        free = [k for k in votes if got[k] < most[k] and votes[k] > 0]
+        if not free:
+            break
+        best = min(free, key=lambda k: (-votes[k] / (2 * got[k] + 1), k))
         got[best] += 1
     return got
 
@@ -36,8 +39,41 @@ def slow_seats(votes, seats):
 @pytest.mark.parametrize("votes,seats", [({"a": 53, "b": 24, "c": 23}, 7), ({"a": 1, "b": 1, "c": 1}, 4), ({"a": 1000, "b": 3, "c": 0.4, "d": 0}, 50), ({"a": 5}, 9), ({"a": 6, "b": 2}, 0)])
 def test_apportion_is_sainte_lague(spark, votes, seats):
     df = spark.createDataFrame([("g", k, float(v)) for k, v in votes.items()], "g string, k string, v double")
-    got = M.apportion(df, ["g", "k"], F.lit(seats), F.col("v"), ["g"]).collect()
-    assert {r.k: r.quota for r in got} == slow_seats(votes, seats)
+    got = M.apportion(df, ["g", "k"], F.lit(seats), F.col("v"), ["g"], F.lit(1000)).collect()
+    assert {r.k: r.quota for r in got} == slow_seats(votes, seats, dict.fromkeys(votes, 1000))
+
+
+def test_bounded_apportion_in_many_groups(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for g in range(300):
+        votes = {f"k{i:02}": rng.choice([0.0, rng.random(), 10 * rng.random(), float(rng.randrange(50)), 300.0]) for i in range(rng.randrange(1, 12))}
+        most = {k: rng.choice([0, 1, 3, int(v) + 1, 3 * int(v), 500]) for k, v in votes.items()}
+        seats = rng.choice([0, 1, round(sum(votes.values())), rng.randrange(200)])
+        rows += [(g, k, v, most[k], seats) for k, v in votes.items()]
+        want |= {(g, k): n for k, n in slow_seats(votes, seats, most).items()}
+    df = spark.createDataFrame(rows, "g int, k string, v double, c long, s long")
+    got = M.apportion(df, ["g", "k"], F.col("s"), F.col("v"), ["g"], F.col("c")).collect()
+    assert {(r.g, r.k): r.quota for r in got} == want
+
+
+def test_no_document_is_taken_more_than_three_times(spark):
+    """Sources of these sizes have a quota above three a block by quotients alone."""
+    import random
+
+    rng = random.Random(1)
+    many = [[171103, 23, 417, 438124, 276, 97777, 8576, 63599]] + [[int(10 ** rng.uniform(0, 4.6)) for _ in range(rng.randrange(2, 12))] for _ in range(2)]
+    for sizes in many:
+        rows, i = [], 0
+        for s, size in enumerate(sizes):
+            for at in range(0, size, 50):
+                rows.append((i, "w " * min(50, size - at), "en", f"s{s}", 1))
+                i += 1
+        got = M.mix(spark.createDataFrame(rows, SCHEMA).repartition(4))
+        assert got.where("taken > 3 * size").count() == 0
+        for r in got.groupBy("source", "target").agg(F.sum("taken").alias("t"), F.first("source_size").alias("n")).collect():
+            assert abs(r.t - r.target) <= 2 * max(8, r.n // 100) + 4096 * (r.n > 409600)
 
 
 def test_mix_matches_brute_force(spark):
