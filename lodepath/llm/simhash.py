@@ -6,10 +6,12 @@ neighbouring cells, or hashed parts of a large cell. Two fingerprints within a r
 the sum of the differences of their quarters' counts, so most pairs of tiles, and of blocks within tiles, are skipped
 without a comparison; what is left is compared with numpy's exclusive-or and bitwise_count. No pair is lost.
 
-Where texts must be alike, fingerprints are of sets of shingles, and tiles also hold each text's number of shingles and a sketch:
-the least hash of each of 128 ranges, a bit of it, and whether the range has any. Pairs within the radius are kept if size and
-sketch allow the similarity; what they connect is a family, and all pairs of a family are decided exactly by matrix
-products of its shingle sets, in cells of bounded size. No pair of a family is made into a row.
+Where texts must be alike, a bound on SimHash bits would lose links, so what the tiles compare are odd sketches of the sets of
+shingles: bit i says whether the shingles whose hash leaves i modulo the sketch's size are odd in number. Each shingle that only
+one of two sets has turns one bit, so the sketches never differ in more bits than the sets do in shingles, and sets of
+a similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most: that is the radius of a pair, and no pair is lost.
+Pairs within it are candidates; what they connect is a family, and all pairs of a family are decided exactly by
+matrix products of its shingle sets, in cells of bounded size. No pair of a family is made into a row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodepath.llm.components import components
@@ -28,10 +30,9 @@ from lodepath.llm.session import bounded_batches, discard, stored
 
 SEED = 42
 QUARTERS = 4
-#: Ranges of a sketch. Of the ranges that either of two texts has, (1 - similarity) have different least hashes, and half of those
-#: or more show it; sketches may differ in SLACK times that share: more isn't possible for small texts, and for large ones it is
-#: over seven standard deviations away.
-RANGES, SLACK = 128, 5 / 3
+#: Bits of an odd sketch, powers of two: as many as the set has shingles, within these. Beyond the greatest, sketches tell less apart
+#: and more pairs are decided by their sets.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: A cell of a family holds so many texts and shingles.
 CELL_TEXTS, CELL_SHINGLES = 1024, 400_000
 BLOCK = 256
@@ -182,20 +183,21 @@ def tile_plan(cells: np.ndarray, counts: np.ndarray, tile: int) -> tuple[np.ndar
     return first, parts, np.int64(now + 1)
 
 
-def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles: int) -> tuple[DataFrame, DataFrame] | None:
+def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles: int, weight: Column | None = None) -> tuple[DataFrame, DataFrame] | None:
     """Pairs of tiles that may hold links: (x, y), two lists of structs of rows' columns; y is null where a tile meets itself.
     And the tiles, which are stored. None if there are no rows.
 
-    rows have a long `cell`, features(cells) its features, and gap_of(low, high, lows, highs) says which of some tiles'
+    rows have longs, binaries and a long `cell`; a tile holds rows up to a sum of weights (1 each). features(cells) are a cell's features, and gap_of(low, high, lows, highs) says which of some tiles'
     boxes of features a tile's box has to meet. Rows of a cell that is larger than a tile are dealt by the column spread.
     The driver sees the histogram of cells only, and the plan of tiles that follows from it. Tiles grow with the root of
     the rows, so that copies of tiles stay few, and with the rows where there would be more than most_tiles of them.
     """
     spark = rows.sparkSession
-    found = rows.groupBy("cell").count().orderBy("cell").collect()
+    size = F.ceil(F.sum(F.lit(1.0) if weight is None else weight)).cast("long")
+    found = rows.groupBy("cell").agg(size.alias("size")).orderBy("cell").collect()
     if not found:
         return None
-    cell, count = np.array([r[0] for r in found], np.int64), np.array([r["count"] for r in found], np.int64)
+    cell, count = np.array([r[0] for r in found], np.int64), np.array([r["size"] for r in found], np.int64)
     n = int(count.sum())
     tile = max(tile, min(n // 256, 8 * tile), n // most_tiles)
     q = features(cell)
@@ -215,8 +217,8 @@ def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(first[at] + part)], names=[*b.schema.names[:-1], "tile"])
 
     columns = [c for c in rows.columns if c != "cell"]
-    shape = ", ".join(f"{c} long" for c in columns)
-    dealt = rows.select(*[F.col(c).cast("long") for c in columns], "cell").mapInArrow(deal, f"{shape}, tile long")
+    shape = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    dealt = rows.select(*columns, "cell").mapInArrow(deal, f"{shape}, tile long")
     tiles = stored(dealt.groupBy("tile").agg(F.collect_list(F.struct(*columns)).alias("x")), "tiles")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +229,7 @@ def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles:
                 for some in np.array_split(to, -(-len(to) // 16)) if len(to) else []:
                     yield pa.RecordBatch.from_arrays([pa.array(some), b.column(1).take(pa.array(np.full(len(some), i)))], names=["tile", "y"])
 
-    each = "array<struct<" + ", ".join(f"{c}: bigint" for c in columns) + ">>"
+    each = tiles.schema["x"].dataType.simpleString()
     sent = tiles.mapInArrow(partners, f"tile long, y {each}")
     return tiles.select("x", F.lit(None).cast(each).alias("y")).unionByName(sent.join(tiles, "tile").select("x", "y")), tiles
 
@@ -242,7 +244,7 @@ def linked(made: tuple[DataFrame, DataFrame], compare) -> DataFrame:
 
 def members(list_: pa.ListScalar) -> dict[str, np.ndarray]:
     """The columns of a tile's list of structs."""
-    return {f.name: list_.values.field(f.name).to_numpy() for f in list_.values.type}
+    return {f.name: list_.values.field(f.name).to_numpy(zero_copy_only=False) for f in list_.values.type}
 
 
 def near_links(fps: DataFrame, radius: int = 4, tile: int = 8192, most_tiles: int = 50_000) -> DataFrame:
@@ -299,18 +301,27 @@ def shingled(texts: pa.Array, words: int) -> list[np.ndarray]:
     return found
 
 
-def sketch(shingles: np.ndarray) -> tuple[int, int, int, int, int, int]:
-    """Of a set of shingles (ascending): its hash, its SimHash, and its sketch in two words for filled ranges and two for bits."""
+def bits_of(n):
+    """Bits of the odd sketch of n shingles."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """Odd sketches of half the size, from sketches as columns of words."""
+    half = len(words) // 2
+    return words[:half] ^ words[half:]
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Of a set of shingles (ascending): its hash, its SimHash, its odd sketch folded to 64 bits, and whole."""
     bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = int((bits * 2 > len(shingles)).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
-    at = np.searchsorted(shingles, np.arange(RANGES, dtype=np.uint64) << np.uint64(57))
-    full = np.append(at[1:], len(shingles)) > at
-    bit = np.zeros(RANGES, bool)
-    bit[full] = (shingles[at[full]] >> np.uint64(20) & np.uint64(1)).astype(bool)
-    return (xxhash.xxh64_intdigest(shingles.tobytes(), SEED), fp, *np.packbits(np.concatenate([full, bit]), bitorder="little").view(np.uint64).tolist())
+    size = int(bits_of(len(shingles)))
+    odd = np.packbits((np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little")
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED), fp, int(np.bitwise_xor.reduce(odd.view(np.uint64))), odd.tobytes()
 
 
-SKETCH = ("c", "fp", "f0", "f1", "b0", "b1")
+SKETCH = ("c", "fp", "fold", "odd")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -320,46 +331,70 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingled(b.column(2), words)
-            made = np.array([sketch(x) for x in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, made.T)], names=["doc_id", "h", "n", *SKETCH])
+            made = [sketch(x) for x in sets]
+            longs = np.array([m[:3] for m in made], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, longs.T), pa.array([m[3] for m in made], pa.binary())], names=["doc_id", "h", "n", *SKETCH])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, c long, fp long, fold long, odd binary")
 
 
-def candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, radius: int, similar: float, rows: int = 32, columns: int = 4096, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v), of class hashes, that connect what the pairs of tile a and tile b (None: within a) connect that are within the
-    radius and whose sizes and sketches allow the similarity. No more than `hold` pairs are held at once."""
+class Sketches:
+    """A tile's classes by number of shingles, and their odd sketches at every size: at size L, a column of words for each class whose
+    own sketch has L bits or more. These are the last ones, from `first` on."""
 
-    def by_size(tile: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def __init__(self, tile: dict[str, np.ndarray]) -> None:
         order = np.argsort(tile["n"], kind="stable")
-        return {k: x[order] if k in ("n", "c") else x[order].view(np.uint64) for k, x in tile.items()}
-
-    a = by_size(a)
-    other, shift = (a, 0) if b is None else (by_size(b), len(a["c"]))
-    names = a["c"] if b is None else np.concatenate([a["c"], other["c"]])
-    slack = 1 - 1e-9
-    lo = np.searchsorted(other["n"], np.ceil(a["n"] * similar * slack))
-    hi = np.searchsorted(other["n"], np.floor(a["n"] / (similar * slack)), side="right")
+        self.n, self.c = tile["n"][order], tile["c"][order]
+        self.bits, odd = bits_of(self.n), tile["odd"][order]
+        self.levels, words, size = {}, np.empty((0, 0), np.uint64), int(self.bits.max(initial=LEAST_BITS))
+        while size >= LEAST_BITS:
+            own = np.flatnonzero(self.bits == size)
+            mine = np.frombuffer(b"".join(odd[own]), np.uint64).reshape(-1, size // 64).T
+            words = np.concatenate([mine, folded(words)], axis=1) if words.size else np.ascontiguousarray(mine)
+            self.levels[size] = (int(np.searchsorted(self.bits, size)), words)
+            size //= 2
+
+    def at(self, size: int, start: int, end: int) -> np.ndarray:
+        first, words = self.levels[size]
+        return words[:, start - first : end - first]
+
+
+def candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, similar: float, rows: int = 32, columns: int = 4096, hold: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v), of class hashes, that connect what the pairs of tile a and tile b (None: within a) connect whose sizes and odd
+    sketches allow the similarity. No more than `hold` pairs are held at once."""
+    a = Sketches(a)
+    other, shift = (a, 0) if b is None else (Sketches(b), len(a.c))
+    names = a.c if b is None else np.concatenate([a.c, other.c])
+    slack, share = 1 - 1e-9, (1 - similar) / (1 + similar) * (1 + 1e-9)
+    lo = np.searchsorted(other.n, np.ceil(a.n * similar * slack))
+    hi = np.searchsorted(other.n, np.floor(a.n / (similar * slack)), side="right")
     label, us, vs, held = np.arange(len(names)), [], [], 0
-    for i in range(0, len(a["n"]), rows):
-        end = min(i + rows, len(a["n"]))
+    for i in range(0, len(a.n), rows):
+        end = min(i + rows, len(a.n))
         first, last = int(lo[i]) if b is not None else i, int(hi[end - 1])
         for j in range(first, last, columns):
             stop = min(j + columns, last)
-            u, v = np.nonzero(np.bitwise_count(a["fp"][i:end, None] ^ other["fp"][None, j:stop]) <= radius)
-            u, v = u + i, v + j
-            fits = (v >= lo[u]) & (v < hi[u]) & ((v > u) if b is None else True)
+            size = int(min(a.bits[i], other.bits[j]))
+            x, y = a.at(size, i, end), other.at(size, j, stop)
+            most = np.floor((a.n[i:end, None] + other.n[None, j:stop]) * share).astype(np.int32)
+            differ, word = np.zeros(most.shape, np.int32), 0
+            # unlike sketches differ in half of their bits, so most pairs are decided after these words
+            while word < min(len(x), int(most[-1, -1]) // 28 + 2):
+                differ += np.bitwise_count(x[word][:, None] ^ y[word][None])
+                word += 1
+            u, v = np.nonzero(differ <= most)
+            fits = (v + j >= lo[u + i]) & (v + j < hi[u + i]) & ((v + j > u + i) if b is None else True)
             u, v = u[fits], v[fits]
-            wide, differ = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-            for k in "01":
-                x, y = a["f" + k][u], other["f" + k][v]
-                wide += np.bitwise_count(x | y)
-                differ += np.bitwise_count((x ^ y) | (x & y & (a["b" + k][u] ^ other["b" + k][v])))
-            near = differ <= np.maximum(wide * (1 - similar) * SLACK, 2)
-            if near.any():
-                us.append(u[near])
-                vs.append(v[near] + shift)
-                held += int(near.sum())
+            left, room = differ[u, v], most[u, v]
+            while word < len(x) and len(u):
+                left = left + np.bitwise_count(x[word][u] ^ y[word][v])
+                near = left <= room
+                u, v, left, room = u[near], v[near], left[near], room[near]
+                word += 1
+            if len(u):
+                us.append(u + i)
+                vs.append(v + j + shift)
+                held += len(u)
                 if held > hold:
                     label = roots_of(len(names), np.concatenate([*us, np.arange(len(names))]), np.concatenate([*vs, label]))
                     us, vs, held = [], [], 0
@@ -373,25 +408,28 @@ def band_of(n, similar: float):
     return F.floor(F.log(n.cast("double")) / F.lit(float(-np.log(min(similar, 0.95)) + 1e-9)))
 
 
-def candidate_links(classes: DataFrame, radius: int, similar: float, tile: int, most_tiles: int = 50_000) -> DataFrame:
+def candidate_links(classes: DataFrame, similar: float, tile: int, most_tiles: int = 50_000) -> DataFrame:
     """classes (n and SKETCH) -> (u, v): links of class hashes that connect every family of candidates. Cells are of one band of
-    sizes and one population count of the fingerprint; tiles of bands apart or of counts beyond the radius never meet."""
-    cell = band_of(F.col("n"), similar) * 65 + F.bit_count("fp")
-    rows = classes.select("n", *SKETCH, cell.cast("long").alias("cell"))
+    sizes and one population count of the folded sketch; tiles of bands apart, or of counts further apart than the largest sets of
+    their bands may differ, never meet."""
+    cell = band_of(F.col("n"), similar) * 65 + F.bit_count("fold")
+    rows = classes.select("n", "c", "odd", cell.cast("long").alias("cell"))
     features = lambda cell: np.stack([cell // 65, cell % 65], axis=1)
+    width = -np.log(min(similar, 0.95)) + 1e-9
 
     def meets(low, high, lows, highs) -> np.ndarray:
         apart = np.maximum(np.maximum(low - highs, lows - high), 0)
-        return (apart[:, 0] <= 1) & (apart[:, 1] <= radius)
+        largest = np.exp((np.minimum(high[0], highs[:, 0]) + 1) * width)  # of the tile whose sets are smaller
+        return (apart[:, 0] <= 1) & (apart[:, 1] <= (1 - similar) / (1 + similar) * largest * (1 + 1 / similar) + 1)
 
-    pairs = tiled(rows, "c", features, meets, tile, most_tiles)
+    pairs = tiled(rows, "c", features, meets, tile, most_tiles, 1 + F.octet_length("odd") / 256)
     if pairs is None:
         return stored(classes.sparkSession.createDataFrame([], "u long, v long"), "tile_links")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y in zip(*b.columns):
-                u, v = candidates(members(x), members(y) if y.is_valid else None, radius, similar)
+                u, v = candidates(members(x), members(y) if y.is_valid else None, similar)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return linked(pairs, compare)
@@ -471,14 +509,14 @@ def family_links(texts: DataFrame, similar: float, words: int) -> DataFrame:
     return links
 
 
-def similar_classes(plain: DataFrame, similar: float, words: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+def similar_classes(plain: DataFrame, similar: float, words: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) -> each row's (doc_id, h, fp, c), and each class's (c, root, rep), both stored. A class is all texts of one
     set of shingles, known by a 64-bit hash; rep is its least document: no_id (ids before nulls), doc_id, h (the text's hash)."""
     rows = plain.withColumn("h", F.xxhash64("text"))
     made = stored(sketches(rows, words), "sketches")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("rep")
     classes = stored(made.groupBy("c").agg(rep, *[F.first(x).alias(x) for x in ("n", *SKETCH[1:])]), "classes")
-    near = candidate_links(classes.where("n > 0"), radius, similar, tile)
+    near = candidate_links(classes.where("n > 0"), similar, tile)
     families = components(near)
     asked = families.join(classes, F.col("node") == F.col("c")).select(F.col("root").alias("key"), "c", "n", "rep")
     same = rows.doc_id.eqNullSafe(asked.rep.doc_id) & (rows.h == asked.rep.h)
@@ -492,12 +530,12 @@ def similar_classes(plain: DataFrame, similar: float, words: int, radius: int, t
     return made, known
 
 
-def least_documents(docs: DataFrame, radius: int = 20, similar: float = 0.8, shingle: int = 5, tile: int = 8192) -> DataFrame:
+def least_documents(docs: DataFrame, similar: float = 0.8, shingle: int = 5, tile: int = 8192) -> DataFrame:
     """(no_id, doc_id, h): of each component of similar texts the document that stays, the one of the least id (documents without
-    an id come last), then of the least text hash h = xxhash64(text). Linked are texts whose sets of shingles have the
-    Jaccard similarity and whose SimHashes of those sets are within the radius; see near_components for the rest."""
+    an id come last), then of the least text hash h = xxhash64(text). Linked are all texts whose sets of shingles have the
+    Jaccard similarity; see near_components for the rest."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made, known = similar_classes(plain, similar, shingle, radius, tile)
+    made, known = similar_classes(plain, similar, shingle, tile)
     left = stored(known.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.*"), "least")
     discard(made, known)
     return left
@@ -506,9 +544,8 @@ def least_documents(docs: DataFrame, radius: int = 20, similar: float = 0.8, shi
 def near_components(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 8192, seed: int = SEED, similar: float | None = None, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (doc_id, fp, component_id), the component's smallest doc_id.
 
-    With `similar`, fingerprints are of the sets of shingles of `shingle` words, and a link also needs sets that are that similar
-    (Jaccard, exact). Texts of equal sets are one. A pair of a similarity s differs in 64 acos(c) / pi bits on average, c being
-    the cosine of the sets, 2 s / (1 + s) for sets of one size: 9.7 bits at 0.8, and one pair in some thousands in more than 20.
+    With `similar`, links are between texts whose sets of shingles of `shingle` words are that similar (Jaccard, exact; no link is
+    lost), whatever the radius; fingerprints are of those sets. Texts of equal sets are one.
 
     Nulls: a null text has no words, so fingerprint 0, which links to others like any value (with `similar`: to other texts without
     words only); a null id is kept, and is a component's id only if all its ids are null. Repeated rows are repeated in the
@@ -517,7 +554,7 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if similar is not None:
-        made, known = similar_classes(plain, similar, shingle, radius, tile)
+        made, known = similar_classes(plain, similar, shingle, tile)
         least = known.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
         return made.join(known.join(least, "root").select("c", "component_id"), "c").select("doc_id", "fp", "component_id")
     made = stored(fingerprints(plain, words, seed), "fingerprints")

@@ -108,9 +108,9 @@ def test_similarity_is_checked_on_the_texts(spark):
             group[10 * g + k] = 10 * g
     rows += [(900, "few words", "en", "s", 1), (901, "", "en", "s", 1), (902, None, "en", "s", 1), (903, " ".join(base[0][:100] + base[1][:100]), "en", "s", 1), rows[0]]
     group |= {900: 900, 901: 901, 902: 901, 903: 903}
-    got = S.near_components(spark.createDataFrame(rows, SCHEMA), radius=16, similar=0.8, tile=8).collect()
+    got = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.8, tile=8).collect()
     assert {r.doc_id: r.component_id for r in got} == group and len(got) == len(rows)
-    strict = S.near_components(spark.createDataFrame(rows, SCHEMA), radius=16, similar=0.999, tile=8).collect()
+    strict = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.999, tile=8).collect()
     assert {r.doc_id: r.component_id for r in strict} == {i: 901 if i == 902 else i for i in group}
 
 
@@ -143,10 +143,10 @@ def test_every_candidate_of_a_family_is_decided(spark, monkeypatch):
     want = five_word_components(rows)
     assert len(set(want.values())) == 132
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = S.near_components(docs, radius=64, similar=0.8)
+    got = S.near_components(docs, similar=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
     monkeypatch.setattr(S, "CELL_TEXTS", 50)
-    got = S.near_components(docs, radius=64, similar=0.8)
+    got = S.near_components(docs, similar=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
@@ -175,8 +175,8 @@ def test_sketches_keep_similar_pairs_and_candidates_connect_them():
     assert S.shingled(pa.array(["aB c D "]), 5)[0] == S.shingled(pa.array([" Ab\nC d"]), 5)[0] and all((np.diff(x) > 0).all() for x in sets)
     slow = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t.lower()) for t in texts)]
     assert [len(x) for x in sets[:-3]] == [len(x) for x in slow]
-    made = np.array([S.sketch(x) for x in sets[:-3]], np.uint64).view(np.int64)
-    rows = dict(zip(S.SKETCH, made.T)) | {"n": np.array([len(x) for x in slow])}
+    made = [S.sketch(x) for x in sets[:-3]]
+    rows = {"c": np.array([m[0] for m in made], np.uint64).view(np.int64), "odd": np.array([m[3] for m in made], object), "n": np.array([len(x) for x in slow])}
     _, one = np.unique(rows["c"], return_index=True)
     rows = {k: x[one] for k, x in rows.items()}
     slow = [slow[i] for i in one]
@@ -184,7 +184,7 @@ def test_sketches_keep_similar_pairs_and_candidates_connect_them():
     assert len(want) > 20
     half = {k: x[::2] for k, x in rows.items()}, {k: x[1::2] for k, x in rows.items()}
     for parts in ([(rows, None)], [(half[0], None), (half[1], None), half]):
-        links = [S.candidates(*p, 20, 0.8, rows=3, columns=7, hold=4) for p in parts]
+        links = [S.candidates(*p, 0.8, rows=3, columns=7, hold=4) for p in parts]
         at = {c: i for i, c in enumerate(rows["c"].tolist())}
         u, v = (np.array([at[c] for some in links for c in some[k].tolist()], int) for k in (0, 1))
         label = S.roots_of(len(slow), u, v)
@@ -197,7 +197,35 @@ def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
     a, b = ([f"{g}{rng.randrange(10**6)}" for _ in range(120)] for g in "ab")
     near = [*b[:60], "new", *b[61:]]
     rows = [(1, " ".join(a), "en", "s", 1), (1, " ".join(b), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (None, " ".join(near[:-1]), "en", "s", 1)]
-    got = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.8, radius=20)
+    got = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.8)
     assert sorted(((r.doc_id or 0, r.component_id) for r in got.collect())) == [(0, 1), (1, 1), (1, 1), (2, 1)]
     left = S.least_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(left) == 2 and {r.doc_id for r in left} == {1}
+
+
+def test_no_similar_pair_is_lost_at_any_size(spark):
+    """Texts of 1 to 40 words, pairs of them at the threshold and on both sides of it, at production parameters."""
+    rng, rows, i = random.Random(12), [], 0
+    for n in range(1, 41):
+        for _ in range(6):
+            w = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            for m in {n, *(n + rng.randrange(0, 2 + n // 6) for _ in range(3))}:
+                at = rng.choice([0, 0, rng.randrange(n)])
+                rows.append((i, " ".join([*w[:at], *(f"e{rng.randrange(10**6)}" for _ in range(m - n)), *w[at:]]), "en", "s", 1))
+                i += 1
+    want = five_word_components(rows)
+    got = S.near_components(spark.createDataFrame(rows, SCHEMA), similar=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    left = S.least_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in left} == set(want.values()) and 200 < len(left) < len(rows) - 200
+
+
+def test_sketches_bound_what_sets_differ_in():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 64, 65, 700, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 7], rng.integers(0, 2**63, n // 9, dtype=np.uint64)]))
+        one = S.Sketches({"n": np.array([len(a), len(b)]), "c": np.arange(2), "odd": np.array([S.sketch(x)[3] for x in (a, b)], object)})
+        for size, (first, words) in one.levels.items():
+            both = np.bitwise_count(words[:, 0] ^ words[:, -1]).sum() if first == 0 else 0
+            assert both <= len(np.setxor1d(a, b)) and words.shape == (size // 64, 2 - first)
