@@ -32,12 +32,56 @@ def test_tiles_match_the_definition():
         least = rng.choice([2, 3, 5])
         a = [rng.randint(0, 3) for _ in range(rng.randint(0, 25))]
         b = [rng.randint(0, 3) for _ in range(rng.randint(0, 20))] + a[3:12] + [rng.randint(0, 3) for _ in range(5)]
-        seeds = [(i, j) for i in range(len(a) - least + 1) for j in range(len(b) - least + 1) if a[i : i + least] == b[j : j + least]]
-        got = D.tiles(np.array(a), np.array(b), np.array(seeds).reshape(-1, 2), least)
+        b[10:10] = [-1]  # a word that equals none
+        got = D.tiles(np.array(a, int), np.array(b, int), least)
         assert sum(t[2] for t in got) == sum(t[2] for t in slow_tiles(a, b, least))
         assert got == slow_tiles(a, b, least)
 
 
+def slow_overlaps(docs, items, least=5, coverage=0.5):
+    """Every document against every item, by the definition; words are runs of letters and digits."""
+    import regex
+
+    split = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    out = []
+    for i, text, *_ in docs:
+        b = split(text)
+        for k, item in items:
+            a = split(item)
+            number = {w: n for n, w in enumerate(dict.fromkeys(a))}
+            got = slow_tiles([number[w] for w in a], [number.get(w, -1) for w in b], min(least, len(a)) or least)
+            if len(a) < least:
+                got = got[:1]
+            total = sum(t[2] for t in got)
+            if a and total >= coverage * len(a):
+                out.append((i, k, len(a), total, [tuple(t) for t in got]))
+    return sorted(out, key=str)
+
+
+def test_query_against_every_pair(spark):
+    """Repeated words, short items, parts in another order, passages within passages."""
+    rng = random.Random(7)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))) for k in range(12)]
+    items += [(20, "Of of of of of of of of"), (21, "of of"), (22, "one"), (23, None), (24, "--"), (25, "x y z. X y z, x y z!"), (26, "x y z x y"), (21, "of of")]
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "c", "Q,"]) for _ in range(rng.randint(0, 40))), "en", "s", 1) for i in range(40)]
+    docs += [(50, "of " * 60, "en", "s", 1), (51, "of", "en", "s", 1), (52, "one.", None, None, 1), (53, None, None, None, None), (54, "z x y z x y z x y z x", "en", "s", 1), (None, "x y z x y", "en", "s", 1)]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = D.overlaps(df, bench).collect()
+    mine = sorted(((r.doc_id, r.item_id, r.item_words, r.covered_words, [tuple(t) for t in r.tiles]) for r in got), key=str)
+    assert mine == slow_overlaps(docs, items) and len(mine) > 60
+    hit = {r[0] for r in mine}
+    assert sorted((r.doc_id for r in D.clean_documents(df, bench).collect()), key=str) == sorted((d[0] for d in docs if d[0] not in hit), key=str)
+
+
+def test_one_repeated_word_costs_what_the_texts_are_long():
+    import time
+
+    items = D.Items([(k, "of " * 600) for k in range(40)], 5)
+    began = time.time()
+    got = items.matches(np.zeros(50_000, np.int64), 0.5)
+    assert [(n, c, t) for _, n, c, t in got] == [(600, 600, [(0, 0, 600)])] * 40 and time.time() - began < 10
+
+
 def test_whole_reordered_and_partial_passages(spark):
     rng = random.Random(4)
     noise = lambda n: " ".join(f"n{rng.randint(0, 10**6)}" for _ in range(n))
@@ -55,7 +99,7 @@ def test_whole_reordered_and_partial_passages(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, None), (4, "two words"), (5, ""), (2, " ".join(other))], "item_id long, text string")
     df = spark.createDataFrame(rows, SCHEMA).withColumn("item_id", F.lit("clash"))
     got = sorted((r.doc_id, r.item_id, r.covered_words) for r in D.overlaps(df, bench).collect())
-    assert got == [(1, 1, 40), (2, 1, 40), (6, 1, 40), (6, 2, 30), (6, 2, 30)]
+    assert got == [(1, 1, 40), (2, 1, 40), (6, 1, 40), (6, 2, 30), (6, 2, 30)]  # no text has the two words side by side
     # blocks of the benchmark give the same
     assert sorted((r.doc_id, r.item_id, r.covered_words) for r in D.overlaps(df, bench, block_words=5).collect()) == got
     for words in (5, 10**6):
