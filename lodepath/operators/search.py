@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodepath.functions import vectors as V
+from lodepath.operators.blocks import best_first
 from lodepath.plans.session import checkpointed as _cut
 
 RESULT = "query_id long, path array<string>, visited long"
@@ -226,6 +227,16 @@ def memory_graph(edges: DataFrame, vectors: DataFrame | None, metric: str, dim:
 
 
 def astar(queries: DataFrame, edges: DataFrame, vectors: DataFrame, metric: str = "euclidean", cap: int = -1, dim: int | None = None) -> DataFrame:
+    """A* for every query over a graph of any size: (query_id, path, visited, path_cost). See best_first."""
+    return best_first(queries, edges, vectors, metric, cap, dim)
+
+
+def dijkstra_best_first(queries: DataFrame, edges: DataFrame, cap: int = -1) -> DataFrame:
+    """Dijkstra in the course of a heap over a graph of any size, for costs that may be zero."""
+    return best_first(queries, edges, None, cap=cap)
+
+
+def astar_heap(queries: DataFrame, edges: DataFrame, vectors: DataFrame, metric: str = "euclidean", cap: int = -1, dim: int | None = None) -> DataFrame:
     """A* for every query, by a heap in the workers over a broadcast graph of checked size: (query_id, path, visited, path_cost).
     Repeated pairs are searched once."""
     return _heap(queries, memory_graph(edges, vectors, metric, dim), cap, True)
@@ -321,7 +332,7 @@ def beam_search(queries: DataFrame, multigraph: DataFrame, score, rounds: int =
 
 
 #: name -> search(queries, edges, **settings), all with (query_id, path, visited).
-STRATEGIES = {"bfs": bfs, "dijkstra": dijkstra, "dijkstra_heap": dijkstra_heap, "astar": astar, "astar_euclidean": astar_euclidean}
+STRATEGIES = {"bfs": bfs, "dijkstra": dijkstra, "dijkstra_best_first": dijkstra_best_first, "dijkstra_heap": dijkstra_heap, "astar": astar, "astar_heap": astar_heap, "astar_euclidean": astar_euclidean}
 
 
 def run_strategies(queries: DataFrame, edges: DataFrame, settings: dict[str, dict]) -> DataFrame:

@@ -17,6 +17,7 @@ from lodepath.operators import lookup as L
 from lodepath.operators import reports as R
 from lodepath.operators import search as S
 from lodepath.operators import stats
+from lodepath.operators.blocks import packed_hops
 from lodepath.plans import fixtures as D
 from lodepath.plans.fixtures import PATH_SQL, RAW_P_SQL, V_SQL, table
 from lodepath.sources import writers
@@ -186,8 +187,7 @@ def khop_reach_h3(spark, sf):
 @query(f"""WITH RECURSIVE {V_SQL}, walk AS (SELECT query_id, source AS node, 0 AS hops FROM q UNION SELECT w.query_id, v.d, w.hops + 1 FROM walk w JOIN v ON v.s = w.node JOIN q ON q.query_id = w.query_id WHERE w.hops < 14 AND w.node <> q.target)
 SELECT q.query_id, coalesce(min(w.hops), -1)::INTEGER AS hops FROM q LEFT JOIN walk w ON w.query_id = q.query_id AND w.node = q.target GROUP BY 1""")
 def bfs_hops(spark, sf):
-    found = S.bfs(D.questions_v(spark, sf), D.graph_v(spark, sf))
-    return found.select("query_id", (F.size("path") - 1).alias("hops"))
+    return packed_hops(D.questions_v(spark, sf), D.graph_v(spark, sf))
 
 
 def _bfs_sql(cap: int) -> str:
@@ -274,7 +274,7 @@ def dijkstra_paths(spark, sf):
 
 @query(_cheapest_sql(BY_COST))
 def dijkstra_heap_paths(spark, sf):
-    return _joined(S.dijkstra_heap(D.questions_v(spark, sf), _costed(spark, sf)))
+    return _joined(S.dijkstra_best_first(D.questions_v(spark, sf), _costed(spark, sf)))
 
 
 @query(_cheapest_sql(BY_ESTIMATE))

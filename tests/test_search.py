@@ -126,6 +126,7 @@ def test_zero_costs_go_by_the_heap(spark):
     edges = spark.createDataFrame([("a", "b", 0, 0.0), ("b", "c", 1, 0.0), ("a", "c", 2, 1.0)], "src string, dst string, pos long, cost double")
     q = spark.createDataFrame([(1, "a", "c")], "query_id long, source string, target string")
     assert S.dijkstra_heap(q, edges).first().path == ["a", "b", "c"]
+    assert S.dijkstra_best_first(q, edges).first().path == ["a", "b", "c"]
 
 
 def test_budget_sweep_is_the_capped_search(spark):
@@ -195,10 +196,10 @@ def test_graphs_over_a_bound_are_not_gathered(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(S, bound, value)
             with pytest.raises(ValueError, match="relational search"):
-                S.astar(queries, edges, vectors)
+                S.astar_heap(queries, edges, vectors)
     # a prefix of the vectors is what is gathered, so it is what counts
     monkeypatch.setattr(S, "BROADCAST_BYTES", 14 * 2 * 8)
-    assert S.astar(queries, edges, vectors, dim=2).count() == queries.count()
+    assert S.astar_heap(queries, edges, vectors, dim=2).count() == queries.count()
 
 
 def test_registered_searches_have_sql():
@@ -206,3 +207,71 @@ def test_registered_searches_have_sql():
 
     searches = {"hub_spanning_forest", "bfs_hops", "bfs_visited_capped", "dijkstra_paths", "dijkstra_heap_paths", "astar_l2_paths", "astar_prefix32_budget27", "astar_relational"}
     assert searches <= set(catalog.QUERIES) and searches <= set(catalog.ORACLE_SQL)
+
+
+def same(one, two):
+    key = lambda df: {r.query_id: (r.path, r.visited, None if r.path_cost is None else round(r.path_cost, 9)) for r in df.collect()}
+    return key(one) == key(two)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_best_first_rounds_are_the_heap(spark, metric):
+    """Paths, visits and costs, with budgets, a prefix of the vectors, and questions that come twice or have no answer."""
+    names, pairs, vec = random_graph(8)
+    edges, vectors, ask, _ = tables(spark, names, pairs, vec)
+    queries = spark.createDataFrame([*ask, *((q + 10_000, s, t) for q, s, t in ask[:7])], "query_id long, source string, target string")
+    for cap, dim in ((-1, None), (3, None), (0, None), (-1, 2)):
+        assert same(S.astar(queries, edges, vectors, metric, cap, dim), S.astar_heap(queries, edges, vectors, metric, cap, dim))
+
+
+def test_best_first_in_many_rounds_with_zero_costs_and_hubs(spark, monkeypatch):
+    """One node a round, hubs over several blocks, ties of cost and of name."""
+    import random
+
+    from lodepath.operators import blocks as B
+
+    rng = random.Random(2)
+    rows = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}"): float(rng.choice([0, 0, 1, 1, 2])) for _ in range(90)}
+    rows |= {("hub", f"n{i}"): float(i % 2) for i in range(25)} | {("n3", "hub"): 0.0}
+    edges = spark.createDataFrame([(a, b, i, c) for i, ((a, b), c) in enumerate(rows.items()) if a != b], "src string, dst string, pos long, cost double")
+    queries = spark.createDataFrame([(i * 25 + j, f"n{i}", f"n{j}") for i in range(4) for j in range(25)], "query_id long, source string, target string")
+    parts = B.blocks(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cost"), ["next", "cost"], "node", 4)
+    assert parts.where("node = 'hub'").count() > 3 and parts.select(F.explode("edges")).count() == edges.count()
+    monkeypatch.setattr(B, "BLOCK", 4)
+    want = S.dijkstra_heap(queries, edges)
+    assert same(S.dijkstra_best_first(queries, edges), want)
+    one = B.BestFirst.wanted
+    monkeypatch.setattr(B.BestFirst, "wanted", lambda self: one(self)[:1])
+    assert same(S.dijkstra_best_first(queries.where("query_id < 12"), edges, 4), S.dijkstra_heap(queries.where("query_id < 12"), edges, 4))
+
+
+def test_packed_hops_of_many_sources(spark):
+    """More sources than two words hold, on a graph with a hub, parts that don't meet, and ends that aren't nodes."""
+    import random
+
+    from lodepath.operators.blocks import numbered, packed_hops
+
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(170)]
+    pairs = {(rng.choice(names[:150]), rng.choice(names[:150])) for _ in range(260)} | {(names[i], names[i + 1]) for i in range(150, 169)} | {("n0", n) for n in names[:90:2]}
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(sorted(pairs))], "src string, dst string, pos long")
+    ask = [(i, rng.choice(names), rng.choice([*names, "absent"])) for i in range(900)]
+    adj = successors(sorted(pairs))
+    got = {r.query_id: r.hops for r in packed_hops(spark.createDataFrame(ask, "query_id long, source string, target string"), edges).collect()}
+    want = {}
+    for q, s, t in ask:
+        level, seen, hops = [s], {s}, 0
+        while level and t not in level:
+            level = list({n for x in level for n in adj.get(x, ())} - seen)
+            seen.update(level)
+            hops += 1
+        want[q] = hops if level and s in adj and t in adj else -1
+    assert got == want and {-1, 0, 19} <= {*want.values(), 19}
+    assert [r.node for r in numbered(edges).orderBy("id").collect()] == sorted(adj)
+    path = spark.createDataFrame([(f"m{i:02}", f"m{i + 1:02}", i) for i in range(12)], "src string, dst string, pos long")
+    query = spark.createDataFrame([(1, "m00", "m12"), (2, "m05", "m05")], "query_id long, source string, target string")
+    assert {r.query_id: r.hops for r in packed_hops(query, path).collect()} == {1: 12, 2: 0}
+    with pytest.raises(ValueError, match="beyond 3 levels"):
+        packed_hops(query, path, max_levels=3)
+    none = spark.createDataFrame([], "src string, dst string, pos long")
+    assert [r.hops for r in packed_hops(query, none).collect()] == [-1, -1]
