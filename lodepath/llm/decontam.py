@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches
+from lodepath.llm.session import bounded_batches, trimmed
 from lodepath.llm.words import split_words
 
 #: An odd multiplier of the rolling hash, which is taken modulo 2^64.
@@ -218,7 +218,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: fl
                     out += [(name, items.names[i], n, c, c / n, [dict(zip(("item_start", "doc_start", "length"), t)) for t in got]) for i, n, c, got in hits]
                 yield to_batch(out)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(trimmed(run), schema)
 
     found = None
     for some in blocks(benchmark, block_words):
@@ -265,5 +265,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 5, cover
             for b in batches:
                 yield b.filter(pa.array([not hits for hits in in_texts(items, b.column("text"), coverage)], pa.bool_()))
 
-        left = left.withColumn("text", F.col("text").cast("string")).mapInArrow(run, left.schema)
+        left = left.withColumn("text", F.col("text").cast("string")).mapInArrow(trimmed(run), left.schema)
     return left

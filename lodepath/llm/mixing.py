@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import WORD, bounded_batches, stored
+from lodepath.llm.session import WORD, bounded_batches, stored, trimmed
 
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Words of a block: at most, at least, and a source's size over this between them.
@@ -196,6 +196,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
                     texts.append(got)
             yield pa.RecordBatch.from_arrays([b.column("row_").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], names=["row_", "text_"])
 
-    made = rows.select("row_", F.col("row_.text").cast("string").alias("text"), "place").mapInArrow(run, whole.select("row_", F.lit("").alias("text_")).schema)
+    made = rows.select("row_", F.col("row_.text").cast("string").alias("text"), "place").mapInArrow(trimmed(run), whole.select("row_", F.lit("").alias("text_")).schema)
     new = {"text": F.col("text_"), "n_chars": F.length("text_").cast("long")}
     return made.select(*[new.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches
+from lodepath.llm.session import bounded_batches, trimmed
 from lodepath.llm.words import AS_IS, coded_words
 
 #: A run has at least LEAST words and TIMES periods.
@@ -163,7 +163,7 @@ def periods(docs: DataFrame, plant: bool = False, least: int = LEAST, times: int
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(parts, names=["start", "length", "period"]))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "runs", "collapsed"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(trimmed(run), SCHEMA)
 
 
 def digest(made: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches
+from lodepath.llm.session import bounded_batches, trimmed
 from lodepath.llm.toxicity import fitted, training_rows
 from lodepath.llm.words import AS_IS, coded_words, platt
 
@@ -217,5 +217,5 @@ def judged(docs: DataFrame, model: Logistic | None, keep: float = KEEP, text_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(score)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
 
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = rows.mapInArrow(run, SCHEMA).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep))
+    out = rows.mapInArrow(trimmed(run), SCHEMA).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodepath.llm.components import components
-from lodepath.llm.session import bounded_batches, discard, stored
+from lodepath.llm.session import bounded_batches, discard, stored, trimmed
 
 SEED = 42
 QUARTERS = 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = SEED, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, fp long")
+    return plain.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def roots_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles:
 
     columns = [c for c in rows.columns if c != "cell"]
     shape = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    dealt = rows.select(*columns, "cell").mapInArrow(deal, f"{shape}, tile long")
+    dealt = rows.select(*columns, "cell").mapInArrow(trimmed(deal), f"{shape}, tile long")
     tiles = stored(dealt.groupBy("tile").agg(F.collect_list(F.struct(*columns)).alias("x")), "tiles")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +230,14 @@ def tiled(rows: DataFrame, spread: str, features, gap_of, tile: int, most_tiles:
                     yield pa.RecordBatch.from_arrays([pa.array(some), b.column(1).take(pa.array(np.full(len(some), i)))], names=["tile", "y"])
 
     each = tiles.schema["x"].dataType.simpleString()
-    sent = tiles.mapInArrow(partners, f"tile long, y {each}")
+    sent = tiles.mapInArrow(trimmed(partners), f"tile long, y {each}")
     return tiles.select("x", F.lit(None).cast(each).alias("y")).unionByName(sent.join(tiles, "tile").select("x", "y")), tiles
 
 
 def linked(made: tuple[DataFrame, DataFrame], compare) -> DataFrame:
     """The links (u, v) that compare finds in pairs of tiles, stored; each pair is compared once, and then the tiles go."""
     pairs, tiles = made
-    links = stored(pairs.mapInArrow(compare, "u long, v long"), "tile_links")
+    links = stored(pairs.mapInArrow(trimmed(compare), "u long, v long"), "tile_links")
     discard(tiles)
     return links
 
@@ -335,7 +335,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             longs = np.array([m[:3] for m in made], np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, longs.T), pa.array([m[3] for m in made], pa.binary())], names=["doc_id", "h", "n", *SKETCH])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, c long, fp long, fold long, odd binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(trimmed(run), "doc_id long, h long, n long, c long, fp long, fold long, odd binary")
 
 
 class Sketches:
@@ -483,7 +483,7 @@ def family_links(texts: DataFrame, similar: float, words: int) -> DataFrame:
             made = [x.view(np.int64) for x in shingled(b.column(4), words)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.list_(pa.int64()))], names=["key", "band", "part", "c", "shingles"])
 
-    dealt = placed.select("key", band.alias("band"), part.alias("part"), "c", "text").mapInArrow(sets, "key long, band long, part long, c long, shingles array<long>")
+    dealt = placed.select("key", band.alias("band"), part.alias("part"), "c", "text").mapInArrow(trimmed(sets), "key long, band long, part long, c long, shingles array<long>")
     cells = stored(dealt.groupBy("key", "band", "part").agg(F.collect_list(F.struct("c", "shingles")).alias("x")), "cells")
     each = sizes.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     units = each.join(each.toDF("key", "to_band", "to_part"), "key").where("to_band = band AND to_part > part OR to_band = band + 1")
@@ -504,7 +504,7 @@ def family_links(texts: DataFrame, similar: float, words: int) -> DataFrame:
                 moved = np.flatnonzero(label != np.arange(len(ends)))
                 yield pa.RecordBatch.from_arrays([pa.array(ends[moved]), pa.array(ends[label[moved]])], names=["u", "v"])
 
-    links = stored(units.mapInArrow(judged, "u long, v long"), "family_links")
+    links = stored(units.mapInArrow(trimmed(judged), "u long, v long"), "family_links")
     discard(sizes, cells)
     return links
 

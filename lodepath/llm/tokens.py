@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches, new_path, stored
+from lodepath.llm.session import bounded_batches, new_path, stored, trimmed
 
 END_ID = 2
 FORMAT = {
@@ -52,7 +52,7 @@ class WordIds:
     long as its Python worker.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     key = [F.col("doc_id"), F.xxhash64("text")]
     spread = rows.repartitionByRange(files, *key) if files else rows.repartitionByRange(*key)
     ordered = spread.sortWithinPartitions(*key)
-    made = ordered.mapInArrow(run, "doc_id long, part long, part_start long, n_tokens long, ids array<int>")
+    made = ordered.mapInArrow(trimmed(run), "doc_id long, part long, part_start long, n_tokens long, ids array<int>")
     made.write.options(**FORMAT).parquet(path)
 
 
@@ -182,7 +182,7 @@ def with_crc(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches, held_out
+from lodepath.llm.session import bounded_batches, held_out, trimmed
 from lodepath.llm.words import platt, split_words
 
 BUCKETS = 1 << 24
@@ -256,7 +256,7 @@ def fitted(rows: DataFrame, fit_rows: Callable[[pa.Array, np.ndarray, list], obj
             model = fit_rows(t["text"].combine_chunks(), t["y"].to_numpy().astype(np.float64), t["lang"].to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "model binary").collect()
+    made = rows.repartition(1).sortWithinPartitions("id").mapInArrow(trimmed(run), "model binary").collect()
     return pickle.loads(made[0].model) if made else None
 
 
@@ -293,5 +293,5 @@ def score(docs: DataFrame, model: Cnn | None, keep: bool = False) -> DataFrame:
     schema = rows.select(rows.columns[0], F.lit(0.0).alias("score"), F.lit(0.0).alias("threshold")).schema
     for f in schema:
         f.nullable = True
-    out = rows.mapInArrow(run, schema).withColumn("rejected", F.col("score") >= F.col("threshold"))
+    out = rows.mapInArrow(trimmed(run), schema).withColumn("rejected", F.col("score") >= F.col("threshold"))
     return out if keep else out.select("doc_id", held_out().alias("held_out"), "score", "threshold", "rejected")
