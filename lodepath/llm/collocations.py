@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodepath.llm.session import bounded_batches, discard, stored
+from lodepath.llm.session import bounded_batches, discard, stored, trimmed
 from lodepath.llm.words import coded_words
 
 #: A phrase is frequent from LEAST occurrences on; phrases have up to LONGEST words; TOP phrases of each language are listed.
@@ -25,7 +25,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bits of a bucket's number and of a place in the bitmap of frequent phrases: 16 MB of counters in a task, 2 MB and 8 MB broadcast.
 BUCKET_BITS, FREQUENT_BITS = 24, 26
 #: Bytes of counters or bitmap in a row of a shuffle, and of text that a task counts at once.
-BLOCK, CHUNK = 1 << 13, 16 << 20
+BLOCK, CHUNK = 1 << 13, 8 << 20
 #: Parts that rank each language's phrases before its best meet.
 PARTS = 64
 
@@ -149,7 +149,7 @@ def counted(texts: DataFrame, k: int, maps, least: int, longest: int) -> DataFra
         if full is not None:
             yield blocks(full.view(np.uint8))
 
-    return texts.mapInArrow(run, PARTIAL)
+    return texts.mapInArrow(trimmed(run), PARTIAL)
 
 
 def gathered(rows: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], end: Callable[[np.ndarray], np.ndarray]) -> dict[int, bytes]:
@@ -163,7 +163,7 @@ def gathered(rows: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarr
                 found[n] = merge(found[n], new) if n in found else new
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([end(x).tobytes() for x in found.values()], pa.binary())], names=["block", "bytes"])
 
-    made = rows.select("block", "bytes").repartition("block").mapInArrow(run, "block int, bytes binary")
+    made = rows.select("block", "bytes").repartition("block").mapInArrow(trimmed(run), "block int, bytes binary")
     return {r.block: bytes(r.bytes) for r in made.collect()}
 
 
@@ -196,7 +196,7 @@ def frequent_map(frequent: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield blocks(bits)
 
-    found = gathered(frequent.select("phrase", "lang").mapInArrow(run, PARTIAL), np.bitwise_or, lambda x: x)
+    found = gathered(frequent.select("phrase", "lang").mapInArrow(trimmed(run), PARTIAL), np.bitwise_or, lambda x: x)
     out = np.zeros(1 << FREQUENT_BITS - 3, np.uint8)
     for n, data in found.items():
         out[n * BLOCK : (n + 1) * BLOCK] = np.frombuffer(data, np.uint8)
