@@ -282,10 +282,10 @@ def runs_of_variant(spark, sf):
     return E.by_variant(rows, " #1 ")
 
 
-@query("""SELECT p_brand AS model, 'runs/' || p_partkey AS model_path, p_size AS dimension FROM part WHERE p_partkey = 7""")
+@query("""SELECT p_brand AS model, 'runs/' || p_partkey || '/' AS model_path, p_size AS dimension FROM part WHERE lower(p_brand || ' runs/' || p_partkey || '/') LIKE '%brand%runs/7/%'""")
 def selected_run(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey < 10").select(F.col("p_brand").alias("model"), F.concat(F.lit("runs/"), "p_partkey").alias("model_path"), F.col("p_size").alias("dimension"))
-    wanted = E.parse_selector("path=RUNS/7 , path=brand")
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("model"), F.concat(F.lit("runs/"), "p_partkey", F.lit("/")).alias("model_path"), F.col("p_size").alias("dimension"))
+    wanted = E.parse_selector("path=RUNS/7/ , path=brand")
     return E.select_run(rows, wanted["path"])
 
 
