@@ -12,8 +12,8 @@ from lodepath.operators import evaluate as E
 from lodepath.operators import reports as R
 from lodepath.plans.catalog import query
 from lodepath.plans.fixtures import table, vectors_v
-from lodepath.plans.session import new_path
-from lodepath.sources import readers, writers
+from lodepath.plans.session import new_path, stored
+from lodepath.sources import readers, vector_files, writers
 
 # graph files
 
@@ -310,3 +310,19 @@ def missing_endpoints(spark, sf):
 SELECT value, sum(CASE WHEN gap IS NOT NULL AND r < 3 THEN 1 ELSE 0 END) OVER (ORDER BY value)::BIGINT AS band FROM r""")
 def axis_bands(spark, sf):
     return R.bands(table(spark, sf, "supplier").select(F.round(F.col("s_acctbal").cast("double"), 2).alias("value")))
+
+
+@query("""WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) AS dim FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0), d AS (SELECT max(dim) AS most FROM w)
+SELECT vec_id, dim::INTEGER AS dim, round(list_sum(v), 5) AS total, round(list_sum(list_transform(v, lambda x, i: x * i)), 4) AS weighted FROM w, d WHERE dim = most""")
+def vector_file_ranges(spark, sf):
+    """All vectors of full length as a store of binary matrices, and what a reader of byte ranges finds in it."""
+    whole = table(spark, sf, "embeddings").where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+    most = whole.agg(F.max(F.size("embedding")).alias("most"))
+    even = whole.crossJoin(F.broadcast(most)).where(F.size("embedding") == F.col("most")).select("vec_id", F.col("embedding").alias("vec"))
+    numbered = stored(readers.dense_ids(even, "vec_id", "node_id"), "vectors")
+    path = new_path(spark, "matrices")
+    vector_files.write_vectors(numbered, path, rows_per_file=1 << 16)
+    back = vector_files.read_vectors(spark, path, task_bytes=1 << 20).join(numbered.select("node_id", "vec_id"), "node_id")
+    v = F.col("vec").cast("array<double>")
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return back.select("vec_id", F.size("vec").alias("dim"), F.round(add(v), 5).alias("total"), F.round(add(F.transform(v, lambda x, i: x * (i + 1))), 4).alias("weighted"))

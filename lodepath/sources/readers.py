@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodepath.functions import text as X
+from lodepath.sources.vector_files import read_vectors
 
 RELATION = (
     "causal_relation struct<cause:struct<concept:string>,effect:struct<concept:string>>, support bigint, "
@@ -159,21 +160,9 @@ def dense_ids(rows: DataFrame, order: str, out: str) -> DataFrame:
     return parts.join(base, "part_").withColumn(out, (F.col("base_") + F.col("in_") - 1).cast("long")).drop("part_", "in_", "base_")
 
 
-def npy_vectors(spark: SparkSession, path: str, node_ids: DataFrame | None = None) -> DataFrame:
-    """(node_id, vec) of a float32 matrix in a .npy file, read as one binary file a task (import once, then keep Parquet)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for b in batches:
-            for content in b["content"]:
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                for at in range(0, len(m), 4096):
-                    yield pd.DataFrame({"node_id": range(at, min(at + 4096, len(m))), "vec": list(m[at : at + 4096])})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "node_id long, vec array<float>")
+def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, vec) of a matrix in a .npy file of any size, read by ranges of bytes."""
+    return read_vectors(spark, path)
 
 
 def embedding_status(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
