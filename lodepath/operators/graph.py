@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodepath.functions import text as X
+from lodepath.operators.contraction import components, greatest_of
 from lodepath.plans.session import checkpointed as _cut
+from lodepath.plans.session import stored
+from lodepath.sources.readers import dense_ids
 
 
 def dedup_edges(edges: DataFrame, attributes: list[str], inverse: bool = False) -> DataFrame:
@@ -140,37 +143,30 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     first. A tree's root is its node of the greatest (degree, name); nodes of a level go by their finder's place, then by
     degree, out-degree, in-degree and name, greatest first; step numbers the edges by tree, level and that order.
 
-    Roots are found by passing the greatest key along links until nothing changes, and all trees then grow by a level a
-    round; both are joins and aggregations, so the selection may be of any size. An edge both ways counts as its lesser one.
+    Roots are found by contraction, in rounds logarithmic in the nodes, and all trees then grow by a level a round, as the
+    levels are what is asked for (`contraction.forest` has no levels and needs no such rounds). Places and steps are numbered
+    by ranges and offsets, so no task orders a whole level or table. An edge both ways counts as its lesser one.
     """
     deg = degrees(edges).join(nodes.select("node").distinct(), "node", "left_semi")
-    rank = _cut(deg.select("node", F.struct("degree", "node").alias("root"), F.struct("degree", "out_degree", "in_degree", "node").alias("key")))
+    keys = deg.select("node", F.struct("degree", "out_degree", "in_degree", "node").alias("key"), F.struct("degree", "node").alias("own"))
     inside = induced(edges, nodes).where("cause <> effect").select("cause", "effect").distinct()
     ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.struct("cause", "effect").alias("edge")) for a, b in (("cause", "effect"), ("effect", "cause"))]
-    links = _cut(inside.select(F.explode(F.array(*ends)).alias("l")).groupBy("l.a", "l.b").agg(F.min("l.edge").alias("edge")))
-    roots = rank.select("node", "root")
-    while True:
-        heard = links.join(roots.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.max("root").alias("heard"))
-        told = _cut(roots.join(heard, "node", "left").select("node", F.greatest("root", F.coalesce("heard", "root")).alias("root"), (F.col("heard") > F.col("root")).alias("moved")))
-        roots = told.select("node", "root")
-        if told.where("moved").isEmpty():
-            break
-    known = _cut(roots.join(rank.select("node", "key"), "node"))
-    seen = _cut(known.where("root.node = node").select("node", "root", F.lit(0).alias("level"), F.lit(0).alias("place"), F.lit(None).cast(links.schema["edge"].dataType).alias("edge")))
+    links = stored(inside.select(F.explode(F.array(*ends)).alias("l")).groupBy("l.a", "l.b").agg(F.min("l.edge").alias("edge")))
+    known = stored(greatest_of(keys, components(links, "a", "b"), F.col("own")).select("node", "root", "key"))
+    seen = stored(known.where("root.node = node").select("node", "root", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place"), F.lit(None).cast(links.schema["edge"].dataType).alias("edge")))
     frontier = seen
     for level in count(1):
         reached = frontier.join(links.withColumnRenamed("edge", "by"), frontier.node == links.a).select(F.col("b").alias("node"), "place", "by")
         found = reached.groupBy("node").agg(F.min_by(F.struct("place", "by"), "place").alias("f")).join(seen.select("node"), "node", "left_anti").join(known, "node")
-        order = Window.partitionBy("root").orderBy("f.place", F.desc("key"))
-        frontier = _cut(found.select("node", "root", F.lit(level).alias("level"), F.row_number().over(order).alias("place"), F.col("f.by").alias("edge")))
-        if frontier.isEmpty():
+        found = stored(found.select("node", "root", "key", F.col("f.place").alias("from"), F.col("f.by").alias("edge")))
+        if found.isEmpty():
             break
+        frontier = stored(dense_ids(found, [F.col("from"), F.desc("key")], "place").select("node", "root", F.lit(level).alias("level"), "place", "edge"))
         seen = seen.unionByName(frontier)
-    trees = Window.orderBy(F.desc("root"))
-    numbered = known.select("root").distinct().withColumn("tree", F.row_number().over(trees))
-    made = seen.where("level > 0").join(numbered, "root")
-    step = F.row_number().over(Window.orderBy("tree", "level", "place")) - 1
-    return made.select("edge.cause", "edge.effect", "tree", "level", step.alias("step")).toDF("source", "target", "tree", "level", "step")
+    numbered = dense_ids(known.select("root").distinct(), [F.desc("root")], "tree").select("root", (F.col("tree") + 1).cast("int").alias("tree"))
+    made = stored(seen.where("level > 0").join(numbered, "root"))
+    out = dense_ids(made, [F.col("tree"), F.col("level"), F.col("place")], "step")
+    return out.select("edge.cause", "edge.effect", "tree", "level", F.col("step").cast("int")).toDF("source", "target", "tree", "level", "step")
 
 
 def visual_links(edges: DataFrame, nodes: DataFrame, path: list[str], limit: int) -> DataFrame:

@@ -18,8 +18,10 @@ from lodepath.operators import reports as R
 from lodepath.operators import search as S
 from lodepath.operators import stats
 from lodepath.operators.blocks import packed_hops
+from lodepath.operators.contraction import components, forest
 from lodepath.plans import fixtures as D
 from lodepath.plans.fixtures import PATH_SQL, RAW_P_SQL, V_SQL, table
+from lodepath.plans.session import stored
 from lodepath.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +164,23 @@ def hub_spanning_forest(spark, sf):
     return G.spanning_forest(p, near.select("node"))
 
 
+@query(f"""WITH RECURSIVE {RAW_P_SQL}, {V_SQL}, one AS (SELECT 'p' || cause AS a, 'p' || effect AS b FROM p UNION SELECT 'v' || s, 'v' || d FROM v UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+e AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(x.root) FROM r x JOIN e ON e.a = x.node JOIN recurring.r c ON c.node = e.b WHERE x.root < c.root GROUP BY e.b)
+SELECT root, count(*) AS nodes, count(*) - 1 AS edges FROM r GROUP BY root""")
+def component_forest(spark, sf):
+    """Components of parts, vectors and customers with their nations, as a spanning forest joins them: a forest that lacked an
+    edge would have more components, and one with a cycle more edges."""
+    name = lambda kind, c: F.concat(F.lit(kind), c)
+    ends = [(D.graph_p(spark, sf), "p", "cause", "p", "effect"), (D.graph_v(spark, sf), "v", "s", "v", "d"), (table(spark, sf, "customer"), "c", "c_custkey", "n", "c_nationkey")]
+    one, two, three = (df.select(name(x, a).alias("cause"), name(y, b).alias("effect")) for df, x, a, y, b in ends)
+    tree = stored(forest(one.unionByName(two).unionByName(three)), "forest")
+    names = stored(components(tree), "names")
+    nodes = names.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("nodes"))
+    edges = tree.join(names, tree.cause == names.node).groupBy("root").agg(F.count("*").alias("edges"))
+    return nodes.join(edges, "root").select(F.col("least").alias("root"), "nodes", "edges")
+
+
 @query(f"""WITH {PATH_SQL} SELECT query_id, (i - 1)::INTEGER AS step, node AS source, next AS target FROM pairs WHERE next IS NOT NULL""")
 def path_edges(spark, sf):
     steps = D.order_paths(spark, sf).select("query_id", F.posexplode(X.path_edges(F.col("path"))).alias("step", "e"))

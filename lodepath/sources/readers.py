@@ -5,10 +5,7 @@ Paths are read by Spark alone, compressed ones (bz2, gz) included.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,10 +148,11 @@ def node_universe(spark: SparkSession, path: str) -> DataFrame:
     return dense_ids(rows.select("edge_seq", text.alias("node")), "edge_seq", "node_id").select("node_id", "node")
 
 
-def dense_ids(rows: DataFrame, order: str, out: str) -> DataFrame:
-    """Number rows 0, 1, ... by a long, in two steps, so no single task orders all rows: ranks within ranges, then offsets."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("part_", F.spark_partition_id())
-    parts = parts.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(order)))
+def dense_ids(rows: DataFrame, order: str | list[Column], out: str) -> DataFrame:
+    """Number rows 0, 1, ... in an order, in two steps, so no single task orders all rows: ranks within ranges, then offsets."""
+    order = [F.col(order)] if isinstance(order, str) else order
+    parts = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    parts = parts.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.groupBy("part_").count().select("part_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
     return parts.join(base, "part_").withColumn(out, (F.col("base_") + F.col("in_") - 1).cast("long")).drop("part_", "in_", "base_")
