@@ -540,8 +540,9 @@ def _aligned(spark, sf) -> DataFrame:
 DRAWS = 10_000
 
 
-def _bootstrap_sql(draws: int = DRAWS, small: int = 256, summed: int = 12) -> str:
-    """Ten thousand multinomial draws over the eight cells, each a chain of binomial draws from the hash of (draw, cell, k)."""
+def _bootstrap_sql(draws: int = DRAWS, tries: int = 40) -> str:
+    """Ten thousand multinomial draws over the eight cells, each a chain of binomial draws from the hashes of (draw, cell, k):
+    geometric gaps for rare outcomes, transformed rejection else."""
     mod = 2147483647
     cells = [(t, a, b) for t in ("t", "NOT t") for a in ("a", "NOT a") for b in ("b", "NOT b")]
     count = ", ".join(f"count(*) FILTER ({' AND '.join(c)}) AS n{i}" for i, c in enumerate(cells))
@@ -551,17 +552,30 @@ def _bootstrap_sql(draws: int = DRAWS, small: int = 256, summed: int = 12) -> st
     def drawn(i: int) -> str:
         one = f"((s{i}_ * 48271 + k * 69069 + 1) % {mod})"
         two = f"(({one} * {one} + {one} * 69621 + 11) % {mod})"
-        return f"((({two} * {two} + 48271) % {mod}) * 48271 % {mod}) / {float(mod)}"
+        return f"((({two} * {two} + 48271) % {mod}) * 48271 % {mod} + 0.5::DOUBLE) / {float(mod)}::DOUBLE"
+
+    rests = ", ".join(f"{r!r}::DOUBLE" for r in stats.RESTS)
+    log_rest = lambda k: f"(CASE WHEN {k} < 10 THEN ([{rests}])[least({k}, 9)::INTEGER + 1] ELSE (1 / 12.0::DOUBLE - (1 / 360.0::DOUBLE - 1 / 1260.0::DOUBLE / (({k} + 1.0::DOUBLE) * ({k} + 1.0::DOUBLE))) / (({k} + 1.0::DOUBLE) * ({k} + 1.0::DOUBLE))) / ({k} + 1.0::DOUBLE) END)"
 
     steps, last, total = [], "h", "(n0 + n1 + n2 + n3 + n4 + n5 + n6 + n7)"
     for i in range(8):
         first = {0: f"CASE WHEN two THEN n0 + n1 + n2 + n3 ELSE {total} END", 4: "CASE WHEN two THEN n4 + n5 + n6 + n7 ELSE l3 - w3 END"}
         left, mass = first.get(i, f"l{i - 1} - w{i - 1}"), first[i].replace("l3 - w3", "m3 - n3") if i in first else f"m{i - 1} - n{i - 1}"
         steps.append(f"a{i} AS MATERIALIZED (SELECT *, {left} AS l{i}, {mass} AS m{i} FROM {last}), b{i} AS MATERIALIZED (SELECT *, CASE WHEN m{i} > 0 THEN n{i} / m{i} ELSE 0.0 END::DOUBLE AS p{i} FROM a{i})")
-        normal = f"list_sum(list_transform(range({small + 1}, {small + summed + 1}), lambda k: {drawn(i)})) - {summed / 2}"
-        many = f"least(greatest(floor(l{i} * p{i} + sqrt(greatest(l{i} * p{i} * (1 - p{i}), 0.0)) * ({normal}) + 0.5::DOUBLE), 0), l{i})::BIGINT"
-        draw = f"CASE WHEN l{i} <= 0 OR p{i} <= 0 THEN 0 WHEN p{i} >= 1 THEN l{i} WHEN l{i} <= {small} THEN len(list_filter(range(1, l{i} + 1), lambda k: {drawn(i)} < p{i})) ELSE {many} END"
-        steps.append(f"c{i} AS MATERIALIZED (SELECT *, {draw} AS w{i} FROM b{i})")
+        # the gaps' sums, then candidates of the rejection, or -1 where one is refused
+        n = f"l{i}"
+        steps.append(f"d{i} AS MATERIALIZED (SELECT *, least(p{i}, 1 - p{i}) AS r, list_transform(range(1, {2 * tries + 1}), lambda k: {drawn(i)}) AS us FROM b{i})")
+        steps.append(f"e{i} AS MATERIALIZED (SELECT *, sqrt({n} * r * (1 - r)) AS spread, floor(({n} + 1) * r)::BIGINT AS mode, CASE WHEN {n} > 0 AND r > 0 AND {n} * r < 10 THEN list_transform(us, lambda u: floor(ln(u) / ln(1 - r)) + 1) END AS gaps FROM d{i})")
+        steps.append(f"f{i} AS MATERIALIZED (SELECT *, 2.53::DOUBLE * spread + 1.15::DOUBLE AS b, len(list_filter(range(1, {2 * tries + 1}), lambda k: list_sum(gaps[1:k]) <= {n})) AS gapped FROM e{i})")
+        steps.append(f"g{i} AS MATERIALIZED (SELECT *, 0.0248::DOUBLE * b + 0.01::DOUBLE * r - 0.0873::DOUBLE AS a FROM f{i})")
+        pairs = f"list_transform(range(1, {tries + 1}), lambda k: {{'u': us[2 * k - 1] - 0.5::DOUBLE, 'v': us[2 * k], 'e': 0.5::DOUBLE - abs(us[2 * k - 1] - 0.5::DOUBLE)}})"
+        whole = f"list_transform({pairs}, lambda t: {{'v': t.v, 'e': t.e, 'x': floor((2 * a / t.e + b) * t.u + ({n} * r + 0.5::DOUBLE))::BIGINT}})"
+        inside = f"(mode + 0.5::DOUBLE) * ln((mode + 1) / (r / (1 - r) * ({n} - mode + 1))) + ({n} + 1) * ln(({n} - mode + 1) / ({n} - t.x + 1)) + (t.x + 0.5::DOUBLE) * ln(r / (1 - r) * ({n} - t.x + 1) / (t.x + 1))"
+        inside += f" + {log_rest('mode')} + {log_rest(f'({n} - mode)')} - {log_rest('t.x')} - {log_rest(f'({n} - t.x)')}"
+        taken = f"CASE WHEN t.x < 0 OR t.x > {n} THEN false WHEN t.e >= 0.07 AND t.v <= 0.92::DOUBLE - 4.2::DOUBLE / b THEN true ELSE ln(t.v * ((2.83::DOUBLE + 5.1::DOUBLE / b) * spread) / (a / (t.e * t.e) + b)) <= {inside} END"
+        steps.append(f"i{i} AS MATERIALIZED (SELECT *, CASE WHEN {n} * r >= 10 THEN coalesce(list_filter({whole}, lambda t: {taken})[1].x, mode) ELSE gapped END AS w FROM g{i})")
+        draw = f"CASE WHEN {n} <= 0 OR p{i} <= 0 THEN 0 WHEN p{i} >= 1 THEN {n} WHEN p{i} > 0.5 THEN {n} - w ELSE w END"
+        steps.append(f"c{i} AS MATERIALIZED (SELECT * EXCLUDE (r, us, spread, mode, gaps, b, gapped, a, w), {draw} AS w{i} FROM i{i})")
         last = f"c{i}"
     f1 = lambda tp, other: f"CASE WHEN 2 * ({tp}) + {other} = 0 THEN 0 ELSE 2 * ({tp}) / (2 * ({tp}) + {other}) END"
     f1_a, f1_b = f1("w0 + w1", "(w4 + w5) + (w2 + w3)"), f1("w0 + w2", "(w4 + w6) + (w1 + w3)")

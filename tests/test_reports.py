@@ -240,3 +240,30 @@ def test_registries_and_defaults(spark):
     assert E.latest(files, ["key"]).first().path == "p2"
     pairs = spark.createDataFrame([(1, "a", "b", 4), (1, "a", "b", 4), (1, "c", "d", 8), (2, "a", "b", 4)], "batch int, source string, target string, visited int")
     assert tuple(E.per_batch_average(pairs).first()) == (6.0, 5.0)
+
+
+@pytest.mark.parametrize("n, p", [(1, 0.3), (40, 0.2), (40, 0.24), (300, 0.5), (1_000_000, 0.5), (1_000_000, 0.93), (1_000_000, 3e-6), (10**12, 0.2)])
+def test_binomial_draws_have_their_distribution(spark, n, p):
+    """Against numpy's sampler at every count, over a million draws of a million examples included: quantiles, moments, and the
+    frequency of each value where there are few."""
+    draws = 1_000_000 if n == 1_000_000 and p == 0.5 else 50_000
+    state = stats.hash_state(F.col("id"), F.lit(3))
+    rows = spark.range(draws).select(stats.binomial(F.lit(n).cast("long"), F.lit(p), state).alias("x"))
+    got = np.sort(rows.toPandas()["x"].to_numpy())
+    want = np.sort(np.random.default_rng(1).binomial(n, p, draws))
+    sd = (n * p * (1 - p)) ** 0.5
+    assert got[0] >= 0 and got[-1] <= n
+    assert abs(got.mean() - n * p) < 5 * sd / draws**0.5 and abs(got.std() / sd - 1) < 5 / draws**0.5 + 0.02 * (sd < 3)
+    for at in (0.001, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999):
+        i = int(at * draws)
+        assert abs(got[i] - want[i]) <= max(1, 0.25 * sd if at in (0.001, 0.999) else 0.08 * sd)
+    if sd < 20:
+        values = np.arange(int(want[0]), int(want[-1]) + 1)
+        a, b = ((np.searchsorted(x, values, "right") - np.searchsorted(x, values)) / draws for x in (got, want))
+        assert np.abs(a - b).max() < 5 * (2 * 0.25 / draws) ** 0.5
+
+
+def test_binomial_edges(spark):
+    rows = spark.createDataFrame([(0, 0.5), (5, 0.0), (5, 1.0), (-1, 0.5), (5, None), (None, 0.5)], "n long, p double")
+    got = [r[0] for r in rows.select(stats.binomial(F.col("n"), F.col("p"), stats.hash_state(F.lit(1)))).collect()]
+    assert got == [0, 0, 5, 0, None, None]
