@@ -8,7 +8,7 @@ its target has the path of that node and no visits; one with an endpoint that is
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -115,10 +115,11 @@ def distances(queries: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     return best
 
 
-def dijkstra(queries: DataFrame, edges: DataFrame, cap: int = -1) -> DataFrame:
-    """Cheapest paths: (query_id, path, visited, path_cost). Visits follow from the costs: a heap takes up exactly the nodes before
-    the target in the order of (cost, name). Costs must be positive; see heap_search for others."""
-    best = distances(queries, edges)
+def dijkstra(queries: DataFrame, edges: DataFrame, cap: int = -1, shortest: Callable[[DataFrame, DataFrame], DataFrame] = distances) -> DataFrame:
+    """Cheapest paths: (query_id, path, visited, path_cost), from the costs that `shortest` finds. Visits follow from the costs: a heap takes
+    up exactly the nodes before the target in the order of (cost, name). Costs must be positive for that; where some are zero, paths
+    and costs hold but nodes as dear as the target may count otherwise than by a heap's course (dijkstra_best_first follows it)."""
+    best = shortest(queries, edges)
     goal = best.where("node = target").select("query_id", F.col("dist").alias("goal"))
     counted = best.join(goal, "query_id", "left")
     before = F.col("goal").isNull() | (F.struct("dist", "node") < F.struct(F.col("goal").alias("dist"), F.col("target").alias("node")))

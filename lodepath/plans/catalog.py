@@ -19,6 +19,7 @@ from lodepath.operators import search as S
 from lodepath.operators import stats
 from lodepath.operators.blocks import packed_hops
 from lodepath.operators.contraction import components, forest
+from lodepath.operators.delta import delta_distances
 from lodepath.plans import fixtures as D
 from lodepath.plans.fixtures import PATH_SQL, RAW_P_SQL, V_SQL, table
 from lodepath.plans.session import stored
@@ -296,6 +297,21 @@ def dijkstra_heap_paths(spark, sf):
     return _joined(S.dijkstra_best_first(D.questions_v(spark, sf), _costed(spark, sf)))
 
 
+@query(_cheapest_sql(BY_COST))
+def delta_stepping_paths(spark, sf):
+    return _joined(S.dijkstra(D.questions_v(spark, sf), _costed(spark, sf), shortest=delta_distances))
+
+
+@query(f"""WITH RECURSIVE {V_SQL}, walk AS (SELECT query_id, target, source AS node, 0 AS hops, 0::BIGINT AS g FROM q UNION ALL
+  SELECT w.query_id, w.target, v.d, w.hops + 1, min(w.g + v.support - 1) FROM walk w JOIN v ON v.s = w.node WHERE w.hops < 24 AND w.node <> w.target GROUP BY w.query_id, w.target, v.d, w.hops),
+best AS (SELECT query_id, min(g) AS cost FROM walk WHERE node = target GROUP BY 1)
+SELECT query_id, cost::DOUBLE AS path_cost FROM q LEFT JOIN best USING (query_id)""")
+def delta_stepping_zero_costs(spark, sf):
+    """A third of the edges cost nothing. At sf0.01 no cheapest path has more than 24 edges."""
+    edges = D.graph_v(spark, sf).select("src", "dst", (F.col("support") - 1).cast("double").alias("cost"))
+    return S.dijkstra(D.questions_v(spark, sf), edges, shortest=delta_distances).select("query_id", "path_cost")
+
+
 @query(_cheapest_sql(BY_ESTIMATE))
 def astar_l2_paths(spark, sf):
     return _joined(S.astar(D.questions_v(spark, sf), D.graph_v(spark, sf), D.vectors_v(spark, sf)))
