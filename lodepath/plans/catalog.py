@@ -22,7 +22,7 @@ from lodepath.operators.contraction import components, forest
 from lodepath.operators.delta import delta_distances
 from lodepath.plans import fixtures as D
 from lodepath.plans.fixtures import PATH_SQL, RAW_P_SQL, V_SQL, table
-from lodepath.plans.session import stored
+from lodepath.plans.session import new_path, stored
 from lodepath.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -698,6 +698,21 @@ def autocomplete_prefix(spark, sf):
     return L.autocomplete(nodes, nodes.agg(F.substring(F.min("node"), 1, 2)).first()[0] or "")
 
 
+@query("""WITH nodes AS (SELECT DISTINCT p_name AS node, lower(p_name) AS folded FROM part WHERE p_name IS NOT NULL),
+w AS (SELECT DISTINCT lower(trim(t)) AS q FROM (SELECT upper(substr(p_name, 1, 4)) AS t FROM part UNION SELECT substr(p_name, 3, 4) FROM part UNION SELECT p_brand FROM part) WHERE t IS NOT NULL),
+hits AS (SELECT q, node, CASE WHEN starts_with(folded, q) THEN 0 ELSE 1 END AS kind FROM w, nodes WHERE contains(folded, q)),
+best AS (SELECT *, min(kind) OVER (PARTITION BY q) AS least FROM hits)
+SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY node)::INTEGER AS rank, node FROM best WHERE kind = least QUALIFY rank <= 20""")
+def autocomplete_batch(spark, sf):
+    """All parts in an index, and many texts at once: beginnings of names, inner parts of names, and brands, which no name holds."""
+    part = table(spark, sf, "part")
+    path = new_path(spark, "prefixes")
+    L.write_prefix_index(part.select(F.col("p_name").alias("node")), path)
+    some = part.select(F.explode(F.array(F.upper(F.substring("p_name", 1, 4)), F.substring("p_name", 3, 4), "p_brand")).alias("text")).where("text IS NOT NULL")
+    texts = some.select(F.lower(F.trim("text")).alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    return L.complete(spark, path, texts)
+
+
 @query("""WITH nodes AS (SELECT DISTINCT p_name AS node FROM part), w AS (SELECT DISTINCT upper(p_name) AS text FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part),
 f AS (SELECT lower(node) AS folded, min(node) AS node FROM nodes GROUP BY 1)
 SELECT w.text, coalesce(n.node, f.node) AS node FROM w LEFT JOIN nodes n ON n.node = w.text LEFT JOIN f ON f.folded = lower(w.text)""")
