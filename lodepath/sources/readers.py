@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodepath.functions import text as X
+from lodepath.plans.session import stored
 from lodepath.sources.vector_files import read_vectors
 
 RELATION = (
@@ -149,9 +150,11 @@ def node_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: str | list[Column], out: str) -> DataFrame:
-    """Number rows 0, 1, ... in an order, in two steps, so no single task orders all rows: ranks within ranges, then offsets."""
+    """Number rows 0, 1, ... in an order, in two steps, so no single task orders all rows: ranks within ranges, then offsets.
+
+    The dealt rows are stored: a second run of the plan, as adaptive execution joins small partitions, gives other ranges."""
     order = [F.col(order)] if isinstance(order, str) else order
-    parts = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    parts = stored(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "dealt")
     parts = parts.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.groupBy("part_").count().select("part_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
