@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodepath.functions import models as M
 from lodepath.functions import text as X
+from lodepath.sources.readers import dense_ids
 
 
 #: What a family summary says of a family.
@@ -160,12 +161,14 @@ def by_variant(rows: DataFrame, wanted: str | None) -> DataFrame:
 
 
 def candidates(runs: DataFrame) -> DataFrame:
-    """Candidates for selection from flat runs (model, model_path, dimension, algorithm and metrics): A* runs that name all three."""
+    """Candidates for selection from flat runs (model, model_path, dimension, algorithm and metrics): A* runs that name all three.
+    Runs may have a place in their list, which then decides between equals; else the path does."""
     rows = runs.where((F.col("algorithm") == "astar") & F.col("model").isNotNull() & F.col("model_path").isNotNull() & F.col("dimension").isNotNull())
     return rows.select(
         "model", "model_path", "dimension", M.family(F.col("model"), F.col("model_path")).alias("family"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("f1_score", "accuracy")],
         X.time_ms(F.col("avg_time_ms"), F.col("avg_time_sec")).alias("avg_time_ms"), F.coalesce("avg_nodes_visited", F.lit(float("inf"))).alias("avg_nodes_visited"),
+        *[c for c in ("place",) if c in runs.columns],
     )
 
 
@@ -173,19 +176,25 @@ def _fast(*prefix: Column) -> list[Column]:
     return [*prefix, F.col("avg_time_ms"), F.col("avg_nodes_visited"), -F.col("f1_score"), F.col("family"), F.col("dimension")]
 
 
+def _tie(rows: DataFrame) -> str:
+    return "place" if "place" in rows.columns else "model_path"
+
+
 def ranked(rows: DataFrame, least_f1: float = 0.8) -> DataFrame:
-    """Candidates that are good enough, fastest first: rank 1 is selected."""
-    return rows.where(F.col("f1_score") >= least_f1).withColumn("rank", F.row_number().over(Window.orderBy(*_fast())))
+    """Candidates that are good enough, fastest first: rank 1 is selected. No task orders all of them."""
+    order = [*_fast(), F.col(_tie(rows))]
+    return dense_ids(rows.where(F.col("f1_score") >= least_f1), order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def family_summary(rows: DataFrame, least_f1: float = 0.8) -> DataFrame:
     """For each family: its best, its fastest and its fastest good enough candidate, and why it was selected or not."""
-    key = F.struct("avg_time_ms", "avg_nodes_visited", (-F.col("f1_score")).alias("f"), "family", "dimension")
+    tie = _tie(rows)
+    key = F.struct("avg_time_ms", "avg_nodes_visited", (-F.col("f1_score")).alias("f"), "family", "dimension", tie)
     what = F.struct("model_path", "dimension", "f1_score")
     viable = F.col("f1_score") >= least_f1
     by = rows.groupBy("family").agg(
         F.count("*").alias("num_candidates"),
-        F.max_by(what, F.struct("f1_score", "accuracy", (-F.col("avg_time_ms")).alias("t"))).alias("best"),
+        F.min_by(what, F.struct((-F.col("f1_score")).alias("f"), (-F.col("accuracy")).alias("a"), "avg_time_ms", tie)).alias("best"),
         F.min_by(what, key).alias("fastest"),
         F.min_by(F.when(viable, what), F.when(viable, key)).alias("fastest_viable"),
     )

@@ -15,3 +15,16 @@ def test_dense_ids_number_every_row_of_wide_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", with_parts)
     assert sorted((r.k, r.n) for r in out) == [(i, i) for i in range(12_000)]
+
+
+def test_equal_candidates_go_by_their_place(spark):
+    """Runs that tie in everything are ranked, and chosen, by their place in the list, in any order of the rows."""
+    from lodepath.operators import evaluate as E
+
+    rows = [("m", f"runs/{i}", 8, "astar", 0.9, 0.5, 10.0, None, 3.0, i) for i in range(40)]
+    form = "model string, model_path string, dimension int, algorithm string, f1_score double, accuracy double, avg_time_ms double, avg_time_sec double, avg_nodes_visited double, place long"
+    for given in (rows, rows[::-1]):
+        c = E.candidates(spark.createDataFrame(given, form))
+        assert {r.model_path: r["rank"] for r in E.ranked(c).collect()} == {f"runs/{i}": i + 1 for i in range(40)}
+        s = E.family_summary(c).first()
+        assert {s.best.model_path, s.fastest.model_path, s.fastest_viable.model_path} == {"runs/0"}
