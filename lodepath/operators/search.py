@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodepath.functions import vectors as V
 from lodepath.operators.blocks import best_first
 from lodepath.plans.session import checkpointed as _cut
+from lodepath.plans.session import stored
 
 RESULT = "query_id long, path array<string>, visited long"
 
@@ -115,6 +116,23 @@ def distances(queries: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     return best
 
 
+def within_hops(queries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(query_id, cost): the least cost of a path of at most `hops` edges, for queries that have one.
+
+    Half of the edges are walked from the source and half from the target, and the two sides meet in the middle: of d successors a
+    node a query has about d^(hops / 2) rows, not d^hops. A round keeps a node's cheapest walk of exactly so many edges."""
+    sides = []
+    for start, end, near, rounds in (("source", "src", "dst", hops - hops // 2), ("target", "dst", "src", hops // 2)):
+        adj = stored(edges.groupBy(F.col(end).alias("node"), F.col(near).alias("next")).agg(F.min("cost").alias("cost")), "adjacency")
+        walks = [stored(queries.select("query_id", F.col(start).alias("node"), F.lit(0.0).alias("dist")), "walks")]
+        for _ in range(rounds):
+            step = walks[-1].join(adj, "node").select("query_id", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
+            walks.append(stored(step.groupBy("query_id", "node").agg(F.min("dist").alias("dist")), "walks"))
+        sides.append(reduce(DataFrame.unionByName, walks).groupBy("query_id", "node").agg(F.min("dist").alias("dist")))
+    met = sides[0].join(sides[1].withColumnRenamed("dist", "rest"), ["query_id", "node"])
+    return met.groupBy("query_id").agg(F.min(F.col("dist") + F.col("rest")).alias("cost"))
+
+
 def dijkstra(queries: DataFrame, edges: DataFrame, cap: int = -1, shortest: Callable[[DataFrame, DataFrame], DataFrame] = distances) -> DataFrame:
     """Cheapest paths: (query_id, path, visited, path_cost), from the costs that `shortest` finds. Visits follow from the costs: a heap takes
     up exactly the nodes before the target in the order of (cost, name). Costs must be positive for that; where some are zero, paths

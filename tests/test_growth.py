@@ -38,3 +38,28 @@ def test_pooled_vectors_have_a_row_for_each_token_not_each_number(spark):
     out = V.pooled(tokens, table, 3)
     assert {r.key: r.vec for r in out.collect()} == {1: [2.0, 4.0, 2.0], 2: [1.0] * 3, 3: [1.0] * 3}
     assert "posexplode" not in out._jdf.queryExecution().toString()
+
+
+def test_cheapest_within_hops_meets_in_the_middle(spark):
+    import random
+
+    from lodepath.operators import search as S
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(20), rng.randrange(20), rng.uniform(0, 2)) for _ in range(60)]
+    frame = spark.createDataFrame(edges, "src long, dst long, cost double")
+    pairs = [(i * 20 + j, i, j) for i in range(6) for j in range(20)]
+    queries = spark.createDataFrame(pairs, "query_id long, source long, target long")
+    for hops in (1, 5, 6):
+        want = {}
+        for q, s, t in pairs:
+            best = {s: 0.0}
+            for _ in range(hops):
+                more = dict(best)
+                for a, b, c in edges:
+                    if a in best:
+                        more[b] = min(more.get(b, float("inf")), best[a] + c)
+                best = more
+            if t in best:
+                want[q] = round(best[t], 9)
+        assert {r.query_id: round(r.cost, 9) for r in S.within_hops(queries, frame, hops).collect()} == want
