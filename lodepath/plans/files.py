@@ -64,14 +64,16 @@ def node_file_ids(spark, sf):
 @query("""SELECT 'msmarco_valid_' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Q ' || s_suppkey || '?' ELSE 'does Big ' || s_name || ' cause Bad_Thing?' END AS question,
   'big ' || lower(s_name) AS cause, 'bad_thing' AS effect, s_suppkey % 3 = 0 AS answer FROM supplier WHERE s_suppkey % 3 <> 2""")
 def question_list_file(spark, sf):
-    """A JSON list of tagged questions (a small file by its nature): ids, texts, spans, labels; rows without a label go."""
+    """JSON lists of tagged questions, one for 1,000 keys at most, as a reader takes a list whole: ids, texts, spans, labels; rows
+    without a label go."""
     k = F.col("s_suppkey")
     tagged = F.array(*[F.array(w, F.lit("X")) for w in (F.lit("does"), F.lit("Big"), F.col("s_name"), F.lit("cause"), F.lit("Bad_Thing"))])
     answers = F.when(k % 3 == 0, F.array(F.lit(" Yes "))).when(k % 3 == 1, F.array(F.lit("No"))).otherwise(F.array(F.lit("?")))
     spans = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(4), F.lit(4)))
     one = F.to_json(F.struct(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit("Q "), k)).alias("question"), answers.alias("answer:Extracted"), spans.alias("query"), tagged.alias("question:POS")))
     path = new_path(spark, "questions")
-    table(spark, sf, "supplier").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value")).write.text(path)
+    lists = table(spark, sf, "supplier").groupBy(F.floor(k / 1000).alias("list")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    lists.write.partitionBy("list").text(path)
     return readers.msmarco_questions(spark, path, "msmarco_valid")
 
 
