@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodepath.functions import vectors as V
 from lodepath.operators.blocks import best_first
 from lodepath.plans.session import checkpointed as _cut
-from lodepath.plans.session import stored
+from lodepath.plans.session import discard, stored
 
 RESULT = "query_id long, path array<string>, visited long"
 
@@ -98,22 +98,23 @@ def distances(queries: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     Rounds go on until no cost falls, unless max_rounds is given: then only paths of so many edges count (a bound on the paths
     that are asked for, not on the work)."""
     start = covered(queries, edges).select("query_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"))
-    best = _cut(start)
-    frontier = best
-    adj = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cost")
+    best = stored(start.withColumn("fresh", F.lit(True)), "best")
+    adj = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cost"), "adjacency")
     for _ in count() if max_rounds is None else range(max_rounds):
         goal = best.where("node = target").select("query_id", F.col("dist").alias("goal"))
-        step = frontier.where("node <> target").join(adj, "node").select("query_id", "target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("node").alias("parent"))
         # nodes at the target's own cost still count as visited, so they stay
-        step = step.join(goal, "query_id", "left").where("goal IS NULL OR dist <= goal").drop("goal")
-        step = step.groupBy("query_id", "node").agg(F.min(F.struct("dist", "parent")).alias("d"), F.first("target").alias("target")).select("query_id", "target", "node", "d.dist", "d.parent")
-        old = best.select("query_id", "node", F.col("dist").alias("old"))
-        frontier = _cut(step.join(old, ["query_id", "node"], "left").where("old IS NULL OR dist < old").drop("old"))
-        if frontier.isEmpty():
+        front = best.where("fresh AND node <> target").join(goal, "query_id", "left").where("goal IS NULL OR dist <= goal")
+        step = front.join(adj, "node").select("query_id", "target", F.col("next").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("node").alias("parent"), "goal")
+        step = step.where("goal IS NULL OR dist <= goal").drop("goal").withColumn("new", F.lit(True))
+        # one aggregation merges a round: what is known stands against an equal cost
+        both = best.drop("fresh").withColumn("new", F.lit(False)).unionByName(step)
+        both = both.groupBy("query_id", "node").agg(F.min(F.struct("dist", "new", "parent")).alias("d"), F.first("target").alias("target"))
+        old, best = best, stored(both.select("query_id", "target", "node", "d.dist", "d.parent", F.col("d.new").alias("fresh")), "best")
+        discard(old)
+        if best.where("fresh").isEmpty():
             break
-        both = best.unionByName(frontier)
-        best = _cut(both.groupBy("query_id", "node").agg(F.min(F.struct("dist", "parent")).alias("d"), F.first("target").alias("target")).select("query_id", "target", "node", "d.dist", "d.parent"))
-    return best
+    discard(adj)
+    return best.drop("fresh")
 
 
 def within_hops(queries: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -147,7 +148,7 @@ def dijkstra(queries: DataFrame, edges: DataFrame, cap: int = -1, shortest: Call
     back = best.select(F.col("query_id").alias("q_"), F.col("node").alias("at_"), "parent")
     while True:
         step = going.join(back, (going.query_id == F.col("q_")) & (F.element_at("path", 1) == F.col("at_")))
-        step = _cut(step.select("query_id", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), F.col("parent").isNull().alias("end")))
+        step = stored(step.select("query_id", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), F.col("parent").isNull().alias("end")))
         ended = step.where("end").select("query_id", "path")
         done = ended if done is None else done.unionByName(ended)
         going = step.where("NOT end")
@@ -293,7 +294,7 @@ def astar_euclidean(queries: DataFrame, edges: DataFrame, vectors: DataFrame, ca
     goal = far.where("node = target").select("query_id", F.col("g").alias("goal"))
     order = F.struct("f", "g", "node") < F.struct(F.col("goal").alias("f"), F.col("goal").alias("g"), F.col("target").alias("node"))
     counted = far.join(goal, "query_id", "left").groupBy("query_id").agg(F.count_if(F.col("goal").isNull() | ((F.col("g") == 0) & (F.col("node") != F.col("target"))) | ((F.col("g") > 0) & order)).alias("n"))
-    plain = dijkstra(queries, edges)
+    plain = dijkstra(queries, edges, shortest=lambda *_: best)
     joined = plain.join(counted, "query_id", "left")
     path, visited = capped(F.col("path"), F.coalesce("n", F.lit(0)), F.lit(cap))
     return joined.select("query_id", path.alias("path"), visited.cast("long").alias("visited"), F.when(F.size(path) > 0, F.col("path_cost")).alias("path_cost"))
