@@ -78,3 +78,29 @@ def test_steps_meet_their_vectors_in_cells(spark):
         got = {r.key: r.cost for r in V.step_costs(spark.createDataFrame(steps, "key long, src long, dst long"), vectors, blocks).collect()}
         assert len(got) == 902 and got[1000] == 0.0 and got[1001] is None
         assert all(abs(got[k] - math.dist(vec[a], vec[b])) < 1e-5 for k, a, b in steps[:900])
+
+
+def test_question_lists_are_several(spark, tmp_path, monkeypatch):
+    from lodepath.plans import files
+
+    spark.range(2_500).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    made, read = [], files.readers.msmarco_questions
+    monkeypatch.setattr(files.readers, "msmarco_questions", lambda spark, path, name: (made.append(path), read(spark, path, name))[1])
+    assert files.question_list_file(spark, str(tmp_path)).count() == sum(i % 3 != 2 for i in range(2_500))
+    assert len(spark.read.text(made[0]).inputFiles()) == 3
+
+
+def test_relational_distances_keep_only_the_last_round(spark, monkeypatch):
+    """Folders of earlier rounds are deleted, and A* finds its distances once."""
+    from lodepath.operators import search as S
+
+    calls, kept, gone = [], [], []
+    find, store, drop = S.distances, S.stored, S.discard
+    monkeypatch.setattr(S, "distances", lambda *a, **k: (calls.append(1), find(*a, **k))[1])
+    monkeypatch.setattr(S, "stored", lambda df, name="step": (kept.append(name), store(df, name))[1])
+    monkeypatch.setattr(S, "discard", lambda *t: (gone.extend(t), drop(*t)))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(4)], "src string, dst string, cost double")
+    vectors = spark.createDataFrame([(f"n{i}", [float(i)]) for i in range(5)], "node string, vec array<double>")
+    q = spark.createDataFrame([(1, "n0", "n4")], "query_id long, source string, target string")
+    assert S.astar_euclidean(q, edges, vectors).first().path == [f"n{i}" for i in range(5)]
+    assert len(calls) == 1 and kept.count("best") == len(gone)
