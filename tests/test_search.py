@@ -275,3 +275,22 @@ def test_packed_hops_of_many_sources(spark):
         packed_hops(query, path, max_levels=3)
     none = spark.createDataFrame([], "src string, dst string, pos long")
     assert [r.hops for r in packed_hops(query, none).collect()] == [-1, -1]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 28])
+def test_searches_of_a_batch_share_what_they_fetch(spark, held):
+    """A node is asked for once for all searches of a batch; a batch that holds too much is split, down to single searches."""
+    from lodepath.operators import blocks as B
+
+    b = B.Batch("euclidean", -1)
+    b.searches = [(1, "a", "d", None), (2, "a", "e", None), (3, "b", "e", None)]
+    assert b.go(held)[0] == [] and [b.names[n] for n in b.asked] == ["a", "b"]
+    for src, dst, cost in (("a", "b", 1.0), ("a", "c", 4.0), ("b", "c", 1.0)):
+        b.near.setdefault(b.place(src), []).append((b.place(dst), cost))
+    ended, going = b.go(held)
+    assert ended == [] and len(going) == (2 if held == 1 else 1)
+    assert all([x.names[n] for n in x.asked] == ["c"] for x in going) and sorted(s[0] for x in going for s in x.searches) == [1, 2, 3]
+    names, pairs, vec = random_graph(8)
+    edges, vectors, ask, _ = tables(spark, names, pairs, vec)
+    queries = spark.createDataFrame(ask[:60], "query_id long, source string, target string")
+    assert same(B.best_first(queries, edges, vectors, held=held), S.astar_heap(queries, edges, vectors))
