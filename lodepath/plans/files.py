@@ -17,13 +17,18 @@ from lodepath.sources import readers, vector_files, writers
 
 # graph files
 
+#: Parts of a compressed file: their lines take a task some seconds to write, whatever the bytes of the table that they come from.
+PARTS_A_FILE = 10_000
+
 
 @query("""SELECT trim(p_name) AS cause, p_brand AS effect, p_size::BIGINT AS support, 'causenet' AS graph_source,
   CASE WHEN p_partkey % 3 = 0 THEN 'said ' || p_partkey WHEN p_partkey % 3 = 2 THEN trim(p_name) || ' risks ' || p_brand
        WHEN p_partkey % 4 = 0 THEN trim(p_name) || ' causes ' || p_brand WHEN p_partkey % 4 = 1 THEN p_brand || ' is a symptom of ' || trim(p_name)
        WHEN p_partkey % 4 = 2 THEN trim(p_name) || ' is a risk factor for ' || p_brand ELSE trim(p_name) || ' can cause ' || p_brand END AS sentence FROM part""")
 def relation_file_edges(spark, sf):
-    """Relations as compressed JSON lines, some of them loops, blank or without letters; the format follows from the name."""
+    """Relations as compressed JSON lines, some of them loops, blank or without letters; the format follows from the name.
+
+    Rows are dealt to files by their count: the table has few bytes for the work of its rows, so its splits would be too few."""
     k = F.col("p_partkey")
     heading = F.element_at(F.array(*[F.lit(h) for h in ("causes", "Symptoms", "Risk factor", "other")]), (k % 4 + 1).cast("int"))
     kind = F.when(k % 3 == 0, "clueweb12_sentence").when(k % 3 == 1, "wikipedia_list").otherwise("wikipedia_infobox")
@@ -33,7 +38,9 @@ def relation_file_edges(spark, sf):
     name = F.concat(F.lit(" "), F.translate("p_name", " ", "_"))
     lines = F.array(line(name, F.col("p_brand")), line(name, name), F.lit("  "), line(F.lit("--"), name))
     path = new_path(spark, "relations") + ".jsonl"
-    table(spark, sf, "part").select(F.explode(lines).alias("value")).write.option("compression", "bzip2").text(path)
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    dealt = parts.repartition(max(1, -(-parts.count() // PARTS_A_FILE)), "p_partkey")
+    dealt.select(F.explode(lines).alias("value")).write.option("compression", "bzip2").text(path)
     return readers.graph_edges(spark, path).select("cause", "effect", "support", "graph_source", "sentence")
 
 

@@ -90,6 +90,21 @@ def test_question_lists_are_several(spark, tmp_path, monkeypatch):
     assert len(spark.read.text(made[0]).inputFiles()) == 3
 
 
+def test_relation_files_are_several(spark, tmp_path, monkeypatch):
+    """One file for so many parts, though the table itself is a single small split; every part's edge is read back."""
+    from lodepath.plans import files
+
+    k = F.col("id")
+    part = spark.range(1_000).select(k.alias("p_partkey"), F.concat(F.lit("part "), k).alias("p_name"), F.lit("Brand#1").alias("p_brand"), (k % 50).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(files, "PARTS_A_FILE", 300, raising=False)
+    made, read = [], files.readers.graph_edges
+    monkeypatch.setattr(files.readers, "graph_edges", lambda spark, path: (made.append(path), read(spark, path))[1])
+    rows = files.relation_file_edges(spark, str(tmp_path)).collect()
+    assert sorted((r.cause, r.effect, r.support) for r in rows) == sorted((f"part {i}", "Brand#1", i % 50) for i in range(1_000))
+    assert len(spark.read.text(made[0]).inputFiles()) == 4
+
+
 def test_relational_distances_keep_only_the_last_round(spark, monkeypatch):
     """Folders of earlier rounds are deleted, and A* finds its distances once."""
     from lodepath.operators import search as S
