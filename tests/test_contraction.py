@@ -68,6 +68,19 @@ def test_a_path_takes_few_rounds(spark, monkeypatch):
     assert C.forest(edges, small=0).count() == 400 and written.count("step") <= 30
 
 
+def test_dense_links_are_read_in_few_rounds(spark, monkeypatch):
+    """Nodes of many neighbours nearly all go in one round, so dense links are not carried through a round for each halving."""
+    written = []
+    kept = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name="step": written.append(name) or kept(df, name))
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(8_000)})
+    edges = spark.createDataFrame(pairs, "cause long, effect long")
+    tree = [tuple(r) for r in C.forest(edges, small=0).collect()]
+    assert set(tree) <= set(pairs) and len(tree) == 399 and classes(tree) == classes(pairs)
+    assert written.count("step") <= 4
+
+
 def test_spanning_forest_of_several_trees(spark):
     """Levels are distances from the greatest root; steps have no gaps."""
     pairs = [("r", "a"), ("r", "b"), ("b", "r"), ("a", "c"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "y"), ("lone", "out")]
